@@ -3,7 +3,8 @@
 Every source gets a target in words. A document's expected copies are its source's target over its source's size: the whole
 part is certain, the rest is the probability of one more copy. Which documents get that copy is a fixed-size sample: they are
 ranked by the odds of a random number over their inclusion odds, and taken in that order until the words left to the source
-are used up; the words that then stay over go to the next documents in the order that fit.
+are used up; the words that then stay over go to the next documents in the order that fit, and at last to the one document,
+if any, that brings the source closer to its target than it is.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from cityloom.llm.common import write_table
 WORD = r"[^\x20\x09-\x0D]+"
 #: Steps of the ranking that a source's running total is first taken over.
 STEPS = 4096
+#: Sources up to which their targets are broadcast.
+FEW = 10_000
 
 
 def sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -45,13 +48,13 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_copies
 
 
 def _take(rows: DataFrame, budget: DataFrame) -> DataFrame:
-    """rows (id, source, size, z, taken) with one more copy for those that the budget (source, words) reaches in the order of z.
+    """Keys of the rows (id, key, source, size, z) that the budget (source, left) reaches in the order of z.
 
     The running total is taken over STEPS steps of z for each source, then over the documents of the step it ends in, so that no
     source meets in one task.
     """
     step = F.floor(F.col("z") * STEPS)
-    open_rows = rows.where("open").withColumn("step", step)
+    open_rows = rows.withColumn("step", step)
     per_step = open_rows.groupBy("source", "step").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("source").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = per_step.withColumn("total", F.sum("words").over(upto))
@@ -72,11 +75,14 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     from a hash of id and seed: reruns agree. An empty table gives an empty result; other columns are not read.
     """
     sized = sizes(df, id_col, text_col, source_col)
+    spark = df.sparkSession
     same = Window.partitionBy("id", "size", "source").orderBy("id")
     sized = write_table(sized.withColumn("n", F.row_number().over(same)), "sizes")
     goal = write_table(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most_copies), "targets")
     rate = goal.select(F.col("source").alias("s"), "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(1.0).alias("rate"))
-    rows = sized.join(F.broadcast(rate), F.col("source").eqNullSafe(F.col("s"))).drop("s") if goal.count() <= 10_000 else sized.join(rate, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    # a row for each source: broadcast where there are no more than FEW of them
+    few = goal.count() <= FEW
+    rows = sized.join(F.broadcast(rate) if few else rate, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     u = (F.pmod(F.xxhash64("id", "n", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     part = F.col("rate") - F.floor("rate")
     odds = F.greatest(part / (1 - part), F.lit(1e-12))
@@ -84,18 +90,18 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     rows = rows.select("id", "n", "source", "size", "source_size", "target", F.floor("rate").cast("long").alias("base"), (q / (1 + q)).alias("z"), F.xxhash64("id", "n", "source", "size").alias("key"))
     rows = write_table(rows, "ranked")
     extra: DataFrame | None = None
-    for _ in range(rounds):
-        if extra is None:
-            spent = rows.select("source", "source_size", "target", (F.col("base") * F.col("size")).alias("words"), F.lit(None).cast("long").alias("hit"))
-        else:
-            spent = rows.join(extra.select(F.col("key").alias("hit")), F.col("key") == F.col("hit"), "left").select("source", "source_size", "target", ((F.col("base") + F.when(F.col("hit").isNotNull(), 1).otherwise(0)) * F.col("size")).alias("words"), "hit")
-        left = spent.groupBy("source").agg((F.max("target") - F.sum("words")).alias("left"))
-        left = write_table(left, "left")
+    for turn in range(rounds + 1):
+        hits = spark.createDataFrame([], "hit long") if extra is None else extra.select(F.col("key").alias("hit"))
+        spent = rows.join(hits, F.col("key") == F.col("hit"), "left").withColumn("n_taken", F.col("base") + F.when(F.col("hit").isNotNull(), 1).otherwise(0))
+        left = write_table(spent.groupBy("source").agg((F.max("target") - F.sum(F.col("n_taken") * F.col("size"))).alias("left")), "left")
         limit = left.select(F.col("source").alias("s"), "left")
-        open_rows = rows if extra is None else rows.join(extra, "key", "left_anti")
-        fits = open_rows.join(F.broadcast(limit), F.col("source").eqNullSafe(F.col("s"))) if goal.count() <= 10_000 else open_rows.join(limit, F.col("source").eqNullSafe(F.col("s")))
-        fits = fits.select("id", "key", "source", "size", "z", ((F.col("size") > 0) & (F.col("base") < most_copies) & (F.col("size") <= F.col("left"))).alias("open"))
-        got = write_table(_take(fits, left), "extra")
+        free = spent.where("hit IS NULL AND size > 0").where(F.col("base") < most_copies).join(F.broadcast(limit) if few else limit, F.col("source").eqNullSafe(F.col("s")))
+        if turn < rounds:
+            got = _take(free.where("size <= left").select("id", "key", "source", "size", "z"), left)
+        else:  # the one more document that brings the source closest to its target, if any does
+            closest = F.min(F.struct(F.abs(F.col("size") - F.col("left")).alias("off"), "z", "key")).alias("c")
+            got = free.where("size < 2 * left").groupBy("source").agg(closest).select("c.key")
+        got = write_table(got, "extra")
         extra = got if extra is None else write_table(extra.union(got), "extra")
     done = rows.join(extra.select(F.col("key").alias("hit")), F.col("key") == F.col("hit"), "left")
     copies = F.col("base") + F.when(F.col("hit").isNotNull(), 1).otherwise(0)
