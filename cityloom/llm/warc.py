@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cityloom.llm.common import new_path, partitions, write_table
+from cityloom.llm.common import delete_path, new_path, partitions, write_table
 
 LINE = "\r\n"
 #: Payloads of fewer bytes are never turned into revisit records.
@@ -60,8 +60,8 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def write_monolithic(records: DataFrame, path: str) -> None:
-    """Write records as WARC files, each one gzip stream."""
-    records.repartition(partitions(records.sparkSession), "id").select("record").write.text(path, compression="gzip", lineSep=LINE + LINE)
+    """Write records as WARC files, each one gzip stream: one for each partition that the records come in."""
+    records.select("record").write.text(path, compression="gzip", lineSep=LINE + LINE)
 
 
 def split_stream(chunks: Iterator[bytes]) -> Iterator[bytes]:
@@ -171,4 +171,5 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str =
     raw, target = new_path(spark, "warc-raw"), new_path(spark, "warc")
     write_monolithic(records(pages, id_col, url_col, html_col), raw)
     write_table(normalise(spark, raw, target), "normalised")
+    delete_path(spark, raw)
     return read_records(index(spark, target))
