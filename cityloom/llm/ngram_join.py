@@ -210,13 +210,15 @@ def ngram_join(df: DataFrame, threshold: float = 0.8, words: int = 5, id_col: st
     # equal sets are one class, whatever their number
     one = usable.groupBy("id").agg(F.max(F.struct("n", "a", "b", "keys")).alias("s")).select("id", "s.*")
     classes = write_table(one.groupBy("n", "a", "b", "keys").agg(F.min("id").alias("rep"), F.count("*").alias("weight")), "classes")
-    nodes = classes.select("rep", "weight", "n", "keys", F.posexplode("keys").alias("tree", "prefix"))
+    nodes = classes.select("rep", F.posexplode("keys").alias("tree", "prefix"))
     spread = F.xxhash64("rep")
     full = nodes.groupBy("tree", "prefix").agg(F.count("*").alias("members"), F.sum(spread % (1 << 40)).alias("x"), F.bit_xor(spread).alias("y")).where("members > 1")
     # a node with the same members as one of an earlier tree has nothing to add
     full = full.groupBy("members", "x", "y").agg(F.min(F.struct("tree", "prefix")).alias("k")).select("k.tree", "k.prefix", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    visits = nodes.join(full, ["tree", "prefix"]).groupBy("rep").agg(F.max("weight").alias("weight"), F.max("n").alias("n"), F.max("keys").alias("keys"), F.collect_list(F.struct("tree", "prefix", "blocks")).alias("visits"))
-    texts = docs.join(visits, docs["id"] == visits["rep"]).select("rep", "weight", "n", "keys", "visits", _shingles(words)("text").alias("shingles")).where(F.size("shingles") == F.col("n"))
+    visits = nodes.join(full, ["tree", "prefix"]).groupBy("rep").agg(F.collect_list(F.struct("tree", "prefix", "blocks")).alias("visits"))
+    visits = visits.join(classes.select("rep", "weight", "n", "keys"), "rep")
+    # not deterministic, so to say, lest the test of its size drag it below the join, to every text
+    texts = docs.join(visits, docs["id"] == visits["rep"]).select("rep", "weight", "n", "keys", "visits", _shingles(words).asNondeterministic()("text").alias("shingles")).where(F.size("shingles") == F.col("n"))
     dealt = texts.select("rep", "weight", "keys", "shingles", F.explode("visits").alias("v")).select("rep", "weight", "keys", "shingles", "v.*")
     dealt = dealt.select("rep", "weight", "keys", "shingles", "tree", "prefix", F.explode(block_pairs(F.col("rep"), F.col("blocks"))).alias("p")).select("rep", "weight", "keys", "shingles", "tree", "prefix", "p.*")
     keyed = dealt.repartition(partitions(spark), "tree", "prefix", "i", "j").sortWithinPartitions("tree", "prefix", "i", "j", "side", "rep")
