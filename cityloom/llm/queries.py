@@ -86,7 +86,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.CompressionClassifier:
     """Learnt from the labelled rows that are not held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(F.col("toxic").isNotNull() & (id_remainder("doc_id", 5) != 0))
-    return toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.train(docs, labels)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cityloom.llm.common import bounded_sample
+
 WINDOW, LEVEL = 48, 6
 STEPS = np.array([1, 2, 3, 4, 6, 8, 11])
 
@@ -150,16 +152,19 @@ def fit(ordinary: list[str], toxic: list[str], toxic_share: float = 0.5, ordinar
     return best.calibrate(texts, labels, weight)
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_toxic: int = 900, max_ordinary: int = 2400, max_chars: int = 20_000) -> CompressionClassifier:
-    """Fit on a sample of labelled rows: at most max_toxic and max_ordinary of them, those with the smallest hash of id and text.
+def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_toxic: int = 900, max_ordinary: int = 2400, max_chars: int = 20_000) -> CompressionClassifier:
+    """Fit on a sample of labelled documents.
 
-    Only texts of at most max_chars characters are learnt from, so that what reaches the driver is bounded. Rows with a null
-    text or label are left out.
+    Of the ids that labels gives each class, at most max_toxic and max_ordinary with the smallest hash are taken, then their
+    texts are fetched; texts of more than max_chars characters are left out. So what is broadcast and what reaches the driver is
+    bounded by these parameters. Null texts, labels and ids are left out.
     """
-    known = labelled.where(F.col(text_col).isNotNull() & (F.length(text_col) <= max_chars)).select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("o"), F.col(text_col).alias("t"), F.col(label_col).alias("y"))
+    known = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
 
     def pick(y: int, n: int) -> list[str]:
-        return [r["t"] for r in known.where(F.col("y") == y).orderBy("o", "t").limit(n).collect()]
+        ids = bounded_sample(known.where(F.col("y") == y), F.xxhash64("i"), n).select("i").distinct()
+        texts = docs.where(F.length(text_col) <= max_chars).select(F.col(id_col).alias("j"), F.col(text_col).alias("t"))
+        return [r["t"] for r in texts.join(F.broadcast(ids), F.col("i") == F.col("j")).orderBy(F.xxhash64("j"), "t").limit(n).collect()]
 
     share = known.where(F.col("y").isin(0, 1)).agg(F.avg(F.col("y").cast("double"))).first()[0]
     return fit(pick(0, max_ordinary), pick(1, max_toxic), min(0.95, max(0.05, share or 0.0)))
