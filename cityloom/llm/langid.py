@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cityloom.llm.common import bounded_sample
+
 UNDETERMINED = "und"
 WINDOW, WIDTHS, FILTERS, VECTOR = 256, (2, 3, 4, 5), 12, 8
 
@@ -133,7 +135,8 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     step = F.greatest(F.lit(1), F.floor(size / max_windows))
     parts = F.transform(F.sequence(F.lit(0), F.lit(max_windows - 1)), lambda k: F.substring(F.encode(F.col(text_col), "utf-8"), (k * step * WINDOW + 1).cast("int"), F.lit(WINDOW)))
     order = F.xxhash64(F.col(id_col), F.col(text_col))
-    picked = known.select(order.alias("o"), F.col(lang_col).cast("string").alias("l"), parts.alias("w")).orderBy("o", "l").limit(max_texts).collect()
+    picked = bounded_sample(known, order, max_texts).select(order.alias("o"), F.col(lang_col).cast("string").alias("l"), parts.alias("w")).collect()
+    picked.sort(key=lambda r: (r["o"], r["l"]))
     languages = sorted({r["l"] for r in picked})
     net = ByteConvNet(languages)
     rows, labels = [], []
