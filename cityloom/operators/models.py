@@ -31,7 +31,7 @@ def one_vs_rest(df: DataFrame, labels: list[str], key: str = "bid", rounds: int
             out = out.withColumn(f"proba_{label}", F.lit(float(bool(ones[0]))))
             continue
         weight = F.when(F.col(label) == 1, F.lit(ones[1] / (2.0 * ones[0]))).otherwise(F.lit(ones[1] / (2.0 * (ones[1] - ones[0]))))
-        model = GBTClassifier(labelCol=label, featuresCol="features", weightCol="w", maxIter=rounds, maxDepth=4, seed=42, rawPredictionCol=f"raw_{label}", probabilityCol=f"p_{label}", predictionCol=f"hat_{label}")
+        model = GBTClassifier(labelCol=label, featuresCol="features", weightCol="w", maxIter=rounds, maxDepth=4, seed=42, predictionCol=f"hat_{label}").setRawPredictionCol(f"raw_{label}").setProbabilityCol(f"p_{label}")
         out = model.fit(data.where("train").withColumn("w", weight)).transform(out).withColumn(f"proba_{label}", vector_to_array(f"p_{label}")[1])
     return out.select(key, *[f"proba_{c}" for c in labels])
 
