@@ -196,6 +196,13 @@ class UnigramModel:
         ids = np.where(ids < 0, self.byte_ids[data[np.minimum(byte, total - 1)]], ids)
         return ids.astype(np.int32), np.bincount(np.repeat(chunk, each), minlength=n)
 
+    def _segment_all(self, chunks: list[bytes], most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+        """segment() of runs of chunks of about most bytes at a time: the tables of matches stay small."""
+        upto = np.cumsum([len(c) for c in chunks])
+        cuts = np.append(np.flatnonzero(np.diff(upto // most)) + 1, len(chunks))
+        parts = [self.segment(chunks[a:b]) for a, b in zip(np.append(0, cuts[:-1]), cuts)]
+        return np.concatenate([p for p, _ in parts]), np.concatenate([n for _, n in parts])
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, offsets) of texts; a null or empty text has no ids. Each distinct word of the batch is segmented once."""
         cut = _CHUNK.findall if self.whole_words else (lambda x: [x])
@@ -209,7 +216,7 @@ class UnigramModel:
         if not flat:
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         code, words = pd.factorize(np.array(flat, dtype=object))
-        ids, each = self.segment([w.encode() for w in words])
+        ids, each = self._segment_all([w.encode() for w in words])
         begin = (np.cumsum(each) - each)[code]
         length = each[code]
         out = ids[np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))]
