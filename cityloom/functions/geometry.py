@@ -97,3 +97,25 @@ def to_grid(lon: Column, lat: Column) -> tuple[Column, Column]:
     north = _N0 + _arc(p) - _arc(_LAT0) + nu * F.sin(p) * d * d / 2 * c
     east = _E0 + nu * d * c + nu * d * d * d / 6 * c * c * c * (psi - t * t)
     return east, north
+
+
+# WGS84's ellipsoid, and the published shift (metres), turn (seconds of arc) and scale (millionths) from HK80 to WGS84.
+_WGS_A, _WGS_F = 6378137.0, 1 / 298.257223563
+_SHIFT, _TURN, _SCALE = (-162.619, -276.959, -161.764), (0.067753, -2.243649, -1.158827), -1.094246
+
+
+def wgs84_to_grid(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """(easting, northing) in metres of WGS84 degrees: through geocentric coordinates to the grid's datum, then projected."""
+    e2 = 2 * _WGS_F - _WGS_F * _WGS_F
+    p, d = F.radians(lat), F.radians(lon)
+    nu = _WGS_A / F.sqrt(1 - e2 * F.sin(p) * F.sin(p))
+    m = 1 + _SCALE * 1e-6
+    x, y, z = ((c - t) / m for c, t in zip((nu * F.cos(p) * F.cos(d), nu * F.cos(p) * F.sin(d), nu * (1 - e2) * F.sin(p)), _SHIFT))
+    rx, ry, rz = (math.radians(s / 3600) for s in _TURN)
+    x, y, z = x + rz * y - ry * z, y - rz * x + rx * z, z + ry * x - rx * y
+    # geodetic latitude by Bowring's formula, exact to well below a millimetre on the ground
+    e2, b = 2 * _F - _F * _F, _A * (1 - _F)
+    flat = F.sqrt(x * x + y * y)
+    t = F.atan2(z * _A, flat * b)
+    out = F.atan2(z + e2 / (1 - e2) * b * F.pow(F.sin(t), 3), flat - e2 * _A * F.pow(F.cos(t), 3))
+    return to_grid(F.degrees(F.atan2(y, x)), F.degrees(out))

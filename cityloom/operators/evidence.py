@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cityloom.functions.text import (
-    COMMERCIAL, DEFAULT_SUB, EDUCATION, HEALTH, INDUSTRIAL, MIXED, NOISE, NON_ASSESSED, NON_MANUFACTURING, OFFICE, OTHER_INDUSTRIAL, PRIVATE_HOUSING, RESIDENTIAL, RESTAURANT, RETAIL, TEMPORARY, TRANSPORT, UNKNOWN,
+    COMMERCIAL, DEFAULT_SUB, EDUCATION, HEALTH, INDUSTRIAL, MIXED, NOISE, NON_ASSESSED, NON_MANUFACTURING, OFFICE, OTHER_INDUSTRIAL, PRIVATE_HOUSING, RESIDENTIAL, RESTAURANT, RETAIL, TEMPORARY, TRANSPORT, UNKNOWN, keyword_hits,
 )
 
 #: Class of a building by its category code; other codes give no evidence.
@@ -68,6 +68,27 @@ def ev_crowd(features: DataFrame) -> DataFrame:
     return _rows(both, "Crowd", F.col("m.main"), F.col("s.sub"), F.least("total", F.lit(0.9)), weight)
 
 
+# Words by which a keyword counts for more or less.
+_FUNCTIONAL = r"\b(?:building|tower|block|hall|house|centre)\b|大厦|大楼|中心|馆"
+_SHOP, _PLANT = "commercial|商業|office|寫字樓|centre", "industrial|工業|factory|工廠|warehouse"
+
+
+def keyword_evidence(buildings: DataFrame, keywords: dict[str, tuple[str, str]], strong: list[str]) -> DataFrame:
+    """``bid, main, sub, weight`` of every keyword (word: main, sub) in a building's text; buildings: bid, category, text, area.
+
+    50; non-assessed 65, or 30 for a text that names a building of more than 50 square metres; commercial and industrial words
+    with such a term 80; any strong keyword in the text 90; commercial in a residential category without more 10.
+    """
+    low = F.lower(F.coalesce("text", F.lit("")))
+    rows = buildings.select("bid", "category", "area", low.alias("low"), F.explode(F.array_distinct(keyword_hits(F.col("text"), list(keywords)))).alias("k"))
+    rows = rows.withColumns({"main": looked_up(F.col("k"), keywords, 0), "sub": looked_up(F.col("k"), keywords, 1)})
+    large = F.col("low").rlike(_FUNCTIONAL) & (F.coalesce("area", F.lit(0.0)) > 50)
+    term = ((F.col("main") == COMMERCIAL) & F.col("low").rlike(_SHOP)) | ((F.col("main") == INDUSTRIAL) & F.col("low").rlike(_PLANT))
+    weight = F.when(F.size(keyword_hits(F.col("low"), strong)) > 0, 90).when(F.col("main") == NON_ASSESSED, F.when(large, 30).otherwise(65)).when(term, 80)
+    weight = weight.when((F.col("main") == COMMERCIAL) & F.col("category").isin("1", "2", "3"), 10).otherwise(50)
+    return rows.select("bid", "main", "sub", weight.alias("weight"))
+
+
 def ev_keyword(hits: DataFrame) -> DataFrame:
     """Heaviest keyword evidence of a building from (bid, main, sub, weight); ties by main, then sub."""
     best = hits.groupBy("bid").agg(F.min(F.struct((-F.col("weight")).alias("w"), F.col("main").alias("main"), F.col("sub").alias("sub"))).alias("k"))

@@ -63,7 +63,7 @@ def oversample(df: DataFrame, label: str, key: str, columns: list[str], least: i
     n = rare.count()
     if n < 2 or n >= least:
         return df
-    near = neighbours(rare.select(key, "px", "py", *columns), key, cell)
+    near = neighbours(rare.select(key, *dict.fromkeys(["px", "py", *columns])), key, cell)
     d = (F.col("px") - F.col("n_px")) ** 2 + (F.col("py") - F.col("n_py")) ** 2
     best = near.withColumn("d", d).groupBy(key, *columns).agg(F.slice(F.sort_array(F.collect_list(F.struct("d", f"n_{key}", *[f"n_{c}" for c in columns]))), 1, k).alias("near"))
     copies = -(-(least - n) // n)
