@@ -2,8 +2,9 @@
 
 A vector is described by its nearest reference points (pivots), in order. Inverted lists hold, for each pivot, the vectors that
 have it among their nearest; two vectors of a list that share enough pivots are verified by their cosine in double precision.
-Pivots are a bounded sample of the vectors; every vector is indexed. Lists are dealt into blocks, so that any list fits, and a
-pair is looked at in the list of the smallest pivot that both have.
+Pivots are a bounded sample of the vectors; every vector is indexed. Equal vectors are one entry with a weight. A pair is looked
+at in the list of the smallest pivot that both have; a long list is split by the second smallest one, which loses nothing as two
+are demanded. Lists are dealt into blocks, so that any list fits.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from cityloom.llm.common import partitions, write_table
 from cityloom.llm.components import connected_components, forest
 
 NEAREST, SHARED, BLOCK = 10, 2, 192
+#: Blocks up to which a list is not split by a second pivot.
+NARROW = 16
 #: Pivots are 4 for each root of the number of vectors, within these bounds: that is all of the index that is broadcast.
 PIVOTS = (16, 4096)
 
@@ -65,8 +68,8 @@ def permutations(vectors: DataFrame, pivots: np.ndarray, nearest: int = NEAREST)
 
 def _search(threshold: float, least: int):
     def work(rows: pa.Table) -> list[pa.RecordBatch]:
-        pivot, i, j = (rows.column(k)[0].as_py() for k in ("pivot", "i", "j"))
-        ids, side = (np.asarray(rows.column(k).combine_chunks()) for k in ("id", "side"))
+        pivot, second, i, j = (rows.column(k)[0].as_py() for k in ("pivot", "second", "i", "j"))
+        ids, weight, side = (np.asarray(rows.column(k).combine_chunks()) for k in ("id", "weight", "side"))
         p = np.flatnonzero(side == 0)
         q = p if i == j else np.flatnonzero(side == 1)
         if not len(p) or not len(q) or i == j and len(p) < 2:
@@ -77,9 +80,11 @@ def _search(threshold: float, least: int):
         used, place = np.unique(order, return_inverse=True)
         has = np.zeros((len(ids), len(used)), np.float32)
         has[np.repeat(np.arange(len(ids)), len(order) // len(ids)), place] = 1
-        common = has[p] @ has[q].T
-        lower = int(np.searchsorted(used, pivot))
-        alike = (common >= min(least, len(order) // len(ids))) & (has[p][:, :lower] @ has[q][:, :lower].T == 0) if lower else common >= min(least, len(order) // len(ids))
+        alike = has[p] @ has[q].T >= min(least, len(order) // len(ids))
+        # pairs that share a pivot before those of this list belong to another one
+        before = (used < pivot) | (used != pivot) & (used < second)
+        if before.any():
+            alike &= has[p][:, before] @ has[q][:, before].T == 0
         alike &= x[p] @ x[q].T >= threshold
         if i == j:
             alike = np.triu(alike, 1)
@@ -87,44 +92,70 @@ def _search(threshold: float, least: int):
         if not len(a):
             return []
         a, b = p[a], q[b]
-        links = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
+        links = np.bincount(a, weight[b], len(ids)) + np.bincount(b, weight[a], len(ids))
         node, root = forest(ids[a], ids[b])
         hit = np.flatnonzero(links)
-        return [pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[hit], node])), pa.array(np.concatenate([links[hit], np.zeros(len(node), np.int64)])), pa.array(np.concatenate([ids[hit], root]))], names=["id", "links", "root"])]
+        found = np.concatenate([links[hit], np.zeros(len(node))]).astype(np.int64)
+        return [pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[hit], node])), pa.array(found), pa.array(np.concatenate([ids[hit], root]))], names=["id", "links", "root"])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from grouped(batches, ["pivot", "i", "j"], work)
+        yield from grouped(batches, ["pivot", "second", "i", "j"], work)
 
     return run
 
 
-def near_dedup(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", nearest: int = NEAREST, shared: int = SHARED) -> DataFrame:
+def dealt_lists(seen: DataFrame, shared: int, narrow: int = NARROW) -> DataFrame:
+    """Entries (id, weight, v, order) of every inverted list, dealt into pairs of blocks: ``pivot, second, i, j, side``.
+
+    Where two shared pivots are demanded, lists of more than narrow blocks are split by the second smallest pivot; second is -1
+    for the others.
+    """
+    columns = ["id", "weight", "v", "order", "pivot", "second"]
+    entries = seen.withColumn("pivot", F.explode("order"))
+    blocks = F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")
+    # as many rows as pivots: at most PIVOTS[1]
+    sizes = write_table(entries.groupBy("pivot").agg(blocks), "lists")
+    whole = sizes.where(F.col("blocks") <= narrow) if shared > 1 else sizes
+    out = entries.join(F.broadcast(whole), "pivot").withColumn("second", F.lit(-1)).select(*columns, "blocks")
+    long = sizes.where(F.col("blocks") > narrow).select("pivot")
+    if shared > 1 and long.limit(1).count():
+        split = entries.join(F.broadcast(long), "pivot").withColumn("second", F.explode(F.filter("order", lambda x: x > F.col("pivot"))))
+        parts = split.groupBy("pivot", "second").agg(blocks)
+        out = out.unionByName(split.join(parts, ["pivot", "second"]).select(*columns, "blocks"))
+    return out.select(*columns, F.explode(block_pairs(F.col("id"), F.col("blocks"))).alias("p")).select(*columns, "p.*")
+
+
+def near_dedup(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", nearest: int = NEAREST, shared: int = SHARED, narrow: int = NARROW) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of df.
 
     Links are pairs that share at least ``shared`` of their ``nearest`` pivots and have a cosine of at least threshold; none is
-    below it. Vectors that are null, zero or hold null or non-finite components link with nothing. Vectors of another length
-    than the most common one are compared among themselves. Rows that share an id are one node; a null id links with nothing.
-    An empty table gives an empty result; other columns are not read.
+    below it. Vectors that are null, zero or hold null or non-finite components link with nothing. Vectors of different lengths
+    are compared among themselves. Rows that share an id are one node, with the vector of the smallest hash; a null id links
+    with nothing. Equal vectors are one class, whatever their number, and link with each other. An empty table gives an empty
+    result; other columns are not read.
     """
     spark = df.sparkSession
     vector = F.col(vector_col) if dict(df.dtypes)[vector_col] == "array<float>" else F.col(vector_col).cast("array<double>")
     rows = df.select(F.col(id_col).cast("long").alias("id"), vector.alias("v"))
-    good = rows.where(usable(F.col("v")) & F.col("id").isNotNull()).dropDuplicates(["id"])
+    good = rows.where(usable(F.col("v")) & F.col("id").isNotNull())
+    key = F.struct(F.size("v").alias("n"), F.xxhash64("v").alias("a"), F.xxhash64(F.lit(7), "v").alias("b"))
+    nodes = write_table(good.groupBy("id").agg(F.min(key).alias("k")).select("id", "k.*"), "nodes")
+    classes = write_table(nodes.groupBy("n", "a", "b").agg(F.min("id").alias("rep"), F.count("*").alias("weight")), "classes")
+    picked = good.withColumn("k", key).join(classes, (F.col("id") == F.col("rep")) & (F.col("k.n") == F.col("n")) & (F.col("k.a") == F.col("a")) & (F.col("k.b") == F.col("b")))
     found = None
-    for length, count in sorted((r["n"], r["count"]) for r in good.groupBy(F.size("v").alias("n")).count().collect()):
-        same = good.where(F.size("v") == length)
+    for length, count in sorted((r["n"], r["count"]) for r in classes.groupBy("n").count().collect()):
+        same = picked.where(F.col("n") == length).select("id", "v", "weight").dropDuplicates(["id"])
         seen = write_table(permutations(same, choose_pivots(same, count), nearest), "permuted")
-        entries = seen.select("id", "v", "order", F.explode("order").alias("pivot"))
-        sizes = entries.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 0")
-        # as many rows as pivots: at most PIVOTS[1]
-        dealt = entries.join(F.broadcast(sizes), "pivot").select("id", "v", "order", "pivot", F.explode(block_pairs(F.col("id"), F.col("blocks"))).alias("p")).select("id", "v", "order", "pivot", "p.*")
-        keyed = dealt.repartition(partitions(spark), "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "side", "id")
+        dealt = dealt_lists(seen, shared, narrow)
+        keyed = dealt.repartition(partitions(spark), "pivot", "second", "i", "j").sortWithinPartitions("pivot", "second", "i", "j", "side", "id")
         links = write_table(keyed.mapInArrow(_search(threshold, shared), "id long, links long, root long"), "links")
         found = links if found is None else found.union(links)
     if found is None:
         found = spark.createDataFrame([], "id long, links long, root long")
-    parts = connected_components(found.where("id <> root").select(F.col("id").alias("src"), F.col("root").alias("dst"))).withColumnRenamed("node", "id")
-    counts = found.groupBy("id").agg(F.sum("links").alias("n"))
-    out = rows.select("id").join(counts, "id", "left").join(parts, "id", "left")
+    parts = connected_components(found.where("id <> root").select(F.col("id").alias("src"), F.col("root").alias("dst"))).withColumnRenamed("node", "rep")
+    per_class = classes.join(found.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("far")), "rep", "left").join(parts, "rep", "left")
+    per_class = per_class.select("n", "a", "b", (F.col("weight") - 1 + F.coalesce("far", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
+    per_node = nodes.join(per_class, ["n", "a", "b"]).select(F.col("id").alias("node"), "links", "component")
+    out = rows.select("id").join(per_node, F.col("id") == F.col("node"), "left")
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias("vec_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select(F.col("id").alias("vec_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

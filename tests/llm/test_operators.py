@@ -155,6 +155,19 @@ def test_pivot_index(spark):
     assert all(got[k]["n_links"] <= len(link.get(k, ())) for k in got)
     assert all(got[k]["kept"] and got[k]["n_links"] == 0 for k in (900, 901, 902, 903, 904))
     assert pivots.near_dedup(df.limit(0)).count() == 0
+    split = {r["vec_id"]: r for r in pivots.near_dedup(df, narrow=0).collect()}
+    assert split == got
+
+
+def test_pivot_index_counts_equal_vectors(spark):
+    """Groups of equal vectors, one of them a third of all, and a near copy of it: every copy counts, none is compared."""
+    rng = np.random.default_rng(8)
+    many, near = rng.normal(size=16), rng.normal(size=16) * 0.01
+    rows = [(k, [float(x) for x in many]) for k in range(100, 400)] + [(7, [float(x) for x in many + near])] + [(1000 + k, [float(x) for x in rng.normal(size=16)]) for k in range(500)]
+    rows += [(100, rows[0][1]), (2000, rows[-1][1])]
+    got = {r["vec_id"]: r for r in pivots.near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(got[k]["n_links"] == 300 and got[k]["component_id"] == 7 and not got[k]["kept"] for k in range(100, 400))
+    assert got[7]["n_links"] == 300 and got[7]["kept"] and got[2000]["n_links"] >= 1 and got[2000]["component_id"] == 1499
 
 
 def test_mixing(spark):
