@@ -21,9 +21,11 @@ from cityloom.llm.blocks import block_pairs, grouped, lists
 from cityloom.llm.common import partitions, write_table
 from cityloom.llm.components import connected_components, forest
 
-NEAREST, SHARED, BLOCK = 10, 2, 192
+NEAREST, SHARED, BLOCK = 10, 2, 1024
+#: Vectors whose cosines with the rest of a block are taken at once.
+TILE = 256
 #: Blocks up to which a list is not split by a second pivot.
-NARROW = 16
+NARROW = 4
 #: Pivots are 4 for each root of the number of vectors, within these bounds: that is all of the index that is broadcast.
 PIVOTS = (16, 4096)
 
@@ -80,18 +82,22 @@ def _search(threshold: float, least: int):
         used, place = np.unique(order, return_inverse=True)
         has = np.zeros((len(ids), len(used)), np.float32)
         has[np.repeat(np.arange(len(ids)), len(order) // len(ids)), place] = 1
-        alike = has[p] @ has[q].T >= min(least, len(order) // len(ids))
+        demanded = min(least, len(order) // len(ids))
         # pairs that share a pivot before those of this list belong to another one
-        before = (used < pivot) | (used != pivot) & (used < second)
-        if before.any():
-            alike &= has[p][:, before] @ has[q][:, before].T == 0
-        alike &= x[p] @ x[q].T >= threshold
-        if i == j:
-            alike = np.triu(alike, 1)
-        a, b = np.nonzero(alike)
+        before = np.flatnonzero((used < pivot) | (used != pivot) & (used < second))
+        ahead = has[:, before]
+        pairs = []
+        for at in range(0, len(p), TILE):
+            m = p[at : at + TILE]
+            n = p[at:] if i == j else q
+            alike = (has[m] @ has[n].T >= demanded) & (x[m] @ x[n].T >= threshold)
+            if len(before):
+                alike &= ahead[m] @ ahead[n].T == 0
+            a, b = np.nonzero(np.triu(alike, 1) if i == j else alike)
+            pairs.append((m[a], n[b]))
+        a, b = (np.concatenate(side) for side in zip(*pairs))
         if not len(a):
             return []
-        a, b = p[a], q[b]
         links = np.bincount(a, weight[b], len(ids)) + np.bincount(b, weight[a], len(ids))
         node, root = forest(ids[a], ids[b])
         hit = np.flatnonzero(links)
