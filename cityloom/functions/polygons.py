@@ -17,6 +17,15 @@ RING = "array<struct<x:double,y:double>>"
 TOUCH = 1e-4
 
 
+def rings(column: pa.Array) -> list[np.ndarray | None]:
+    """The rings of a column, without their closing points; missing points and coordinates are NaN."""
+    at, values = np.asarray(column.offsets), column.values
+    gone = np.asarray(values.is_null())
+    xy = np.stack([np.where(gone, np.nan, np.asarray(values.field(c).cast(pa.float64()).fill_null(math.nan))) for c in ("x", "y")], 1)
+    shut = lambda r: r[:-1] if len(r) > 1 and (r[0] == r[-1]).all() else r
+    return [shut(xy[a:b]) if ok else None for a, b, ok in zip(at[:-1], at[1:], column.is_valid().to_pylist())]
+
+
 def points(ring: list[dict] | None) -> np.ndarray | None:
     """(n, 2) of a ring, without the closing point."""
     if ring is None:
@@ -34,33 +43,66 @@ def _cross(o: np.ndarray, a: np.ndarray, p: np.ndarray) -> np.ndarray:
     return (a[..., 0] - o[..., 0]) * (p[..., 1] - o[..., 1]) - (a[..., 1] - o[..., 1]) * (p[..., 0] - o[..., 0])
 
 
-def clipped(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Part of ring p to the left of the line from a to b. A part in pieces stays one ring; its signed area is right."""
-    if not len(p):
-        return p
-    side = _cross(a, b, p)
-    q, other = np.roll(p, -1, 0), np.roll(side, -1)
-    inside, leaves = side >= 0, (side >= 0) != (other >= 0)
-    gap = np.where(leaves, side - other, 1.0)
-    both = np.stack([p, p + (side / gap)[:, None] * (q - p)], 1).reshape(-1, 2)
-    return both[np.stack([inside, leaves], 1).ravel()]
+def _turn(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]
+
+
+def _reach(direction: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How often the direction fits into its way from the origin to the line through a and b."""
+    return _turn(a, b - a) / _turn(direction, b - a)
+
+
+def wedges(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Signed areas that the triangles (origin, a, b) and (origin, c, d) share, row by row.
+
+    Both start at the origin, so what they share is the common angle, up to the nearer of the two outer sides; where those cross,
+    the angle is cut in two.
+    """
+    one, two = _turn(a, b), _turn(c, d)
+    sign = np.sign(one) * np.sign(two)
+    a, b = np.where(one[:, None] < 0, b, a), np.where(one[:, None] < 0, a, b)
+    c, d = np.where(two[:, None] < 0, d, c), np.where(two[:, None] < 0, c, d)
+    within = lambda x, s, e: (_turn(s, x) >= 0) & (_turn(x, e) >= 0)
+    begin, end = within(a, c, d), within(b, c, d)
+    live = (sign != 0) & (begin | within(c, a, b)) & (end | within(d, a, b))
+    first, last = np.where(begin[:, None], a, c), np.where(end[:, None], b, d)
+    meet = a + (_turn(c - a, d - c) / _turn(b - a, d - c))[:, None] * (b - a)
+    cut = np.isfinite(meet).all(1) & (_turn(first, meet) > 0) & (_turn(meet, last) > 0)
+    middle = np.where(cut[:, None], meet, first)
+    total = np.zeros(len(a))
+    for s, e in ((first, middle), (middle, last)):
+        between = s / np.hypot(s[:, 0], s[:, 1])[:, None] + e / np.hypot(e[:, 0], e[:, 1])[:, None]
+        near = (_reach(between, a, b) <= _reach(between, c, d))[:, None]
+        p, q = np.where(near, a, c), np.where(near, b, d)
+        area = _turn(_reach(s, p, q)[:, None] * s, _reach(e, p, q)[:, None] * e) / 2
+        total += np.where(live & (_turn(s, e) > 0) & np.isfinite(area), area, 0.0)
+    return sign * total
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], most: int = 1 << 17) -> np.ndarray:
+    """Areas that simple rings share, pair by pair: the wedges of every edge of one with every edge of the other, seen from a corner."""
+    out = np.zeros(len(left))
+    good = [k for k, (p, q) in enumerate(zip(left, right)) if len(p) > 2 and len(q) > 2 and np.isfinite(p).all() and np.isfinite(q).all()]
+    work = np.cumsum([len(left[k]) * len(right[k]) for k in good]) if good else np.zeros(0)
+    for part in range(int(work[-1] // most) + 1 if good else 0):
+        chosen = [k for k, w in zip(good, work) if w // most == part]
+        if not chosen:
+            continue
+        m, n = np.array([len(left[k]) for k in chosen]), np.array([len(right[k]) for k in chosen])
+        corner = np.array([left[k][0] for k in chosen])
+        p, q = np.concatenate([left[k] for k in chosen]) - np.repeat(corner, m, 0), np.concatenate([right[k] for k in chosen]) - np.repeat(corner, n, 0)
+        pair = np.repeat(np.arange(len(chosen)), m * n)
+        place = np.arange(len(pair)) - np.repeat(np.cumsum(m * n) - m * n, m * n)
+        i, j = place // n[pair], place % n[pair]
+        pm, qn = (np.cumsum(m) - m)[pair], (np.cumsum(n) - n)[pair]
+        with np.errstate(all="ignore"):  # parallel sides and flat triangles give what wedges() rules out
+            area = wedges(p[pm + i], p[pm + (i + 1) % m[pair]], q[qn + j], q[qn + (j + 1) % n[pair]])
+        out[chosen] = np.abs(np.bincount(pair, area, len(chosen)))
+    return out
 
 
 def overlap(p: np.ndarray, q: np.ndarray) -> float:
-    """Area that two simple rings share: p clipped by the triangles of a fan over q, each counted with the sign of its turn."""
-    if len(p) < 3 or len(q) < 3 or not (np.isfinite(p).all() and np.isfinite(q).all()):
-        return 0.0
-    base = q[0]
-    p, q = p - base, q - base
-    total = 0.0
-    for b, c in zip(q[1:-1], q[2:]):
-        turn = b[0] * c[1] - b[1] * c[0]
-        if turn == 0:
-            continue
-        first, second = (b, c) if turn > 0 else (c, b)
-        part = clipped(clipped(clipped(p, np.zeros(2), first), first, second), second, np.zeros(2))
-        total += math.copysign(1.0, turn) * signed_area(part)
-    return abs(total)
+    return float(overlaps([p], [q])[0])
 
 
 def _inside(at: np.ndarray, ring: np.ndarray) -> np.ndarray:
@@ -164,7 +206,16 @@ def _of_pairs(f: Callable[[np.ndarray, np.ndarray], float], a: Column, b: Column
 
 def ring_overlap(a: Column, b: Column) -> Column:
     """Area of the intersection; 0 for rings of less than three points or with missing ones."""
-    return _of_pairs(overlap, a, b)
+
+    @F.arrow_udf("double")
+    def run(left: pa.Array, right: pa.Array) -> pa.Array:
+        p, q = rings(left), rings(right)
+        none = np.array([x is None or y is None for x, y in zip(p, q)], bool)
+        empty = np.zeros((0, 2))
+        area = overlaps([empty if x is None else x for x in p], [empty if y is None else y for y in q])
+        return pa.array(area, pa.float64(), mask=none)
+
+    return run(a, b)
 
 
 def shared_boundary(fragment: Column, host: Column) -> Column:
