@@ -2,7 +2,7 @@
 
 A vector is described by its nearest reference points (pivots), in order. Inverted lists hold, for each pivot, the vectors that
 have it among their nearest; two vectors of a list that share enough pivots are verified by their cosine in double precision.
-Pivots are a bounded sample of the vectors; every vector is indexed. Equal vectors are one entry with a weight. A pair is looked
+Pivots are a bounded sample of the vectors, thinned so that no two are near each other; every vector is indexed. Equal vectors are one entry with a weight. A pair is looked
 at in the list of the smallest pivot that both have; a long list is split by the second smallest one, which loses nothing as two
 are demanded. Lists are dealt into blocks, so that any list fits.
 """
@@ -28,6 +28,9 @@ TILE = 256
 NARROW = 4
 #: Pivots are 4 for each root of the number of vectors, within these bounds: that is all of the index that is broadcast.
 PIVOTS = (16, 4096)
+#: Cosine from which a vector is too near a chosen pivot to be one. A group of near copies so has one pivot at most, and its members
+#: share that one and the others around the group; with many pivots inside it, the order of those would be noise.
+NEAR = 0.7
 
 
 def usable(vector):
@@ -42,11 +45,35 @@ def _unit(flat: np.ndarray, rows: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def choose_pivots(vectors: DataFrame, count: int) -> np.ndarray:
-    """The vectors with the smallest hash, at most PIVOTS[1] of them; those reach the driver."""
+def thinned(x: np.ndarray, many: int, threshold: float, step: int = 256) -> np.ndarray:
+    """Rows of x (unit vectors), in turn, that are not near an earlier one of them; at most many.
+
+    Near is a cosine of NEAR. Where most vectors are nearer than that, it lies between their median cosine and the threshold, so
+    that vectors in a narrow cone still have pivots; it is never above the threshold.
+    """
+    some = x[:512]
+    middle = np.median((some @ some.T)[np.triu_indices(len(some), 1)]) if len(some) > 1 else 0.0
+    near = min(threshold, max(NEAR, (middle + threshold) / 2 if middle > NEAR else NEAR))
+    kept = np.empty((0, x.shape[1]))
+    for at in range(0, len(x), step):
+        part = x[at : at + step]
+        part = part[(part @ kept.T < near).all(axis=1)]
+        alike, own = part @ part.T >= near, []
+        for i in range(len(part)):
+            if not alike[i, own].any():
+                own.append(i)
+        kept = np.concatenate([kept, part[own]])
+        if len(kept) >= many:
+            break
+    return kept[:many]
+
+
+def choose_pivots(vectors: DataFrame, count: int, threshold: float) -> np.ndarray:
+    """Thinned from twice as many vectors with the smallest hash: at most 2 x PIVOTS[1] of them reach the driver."""
     many = max(PIVOTS[0], min(PIVOTS[1], int(4 * math.sqrt(count))))
-    rows = vectors.select(F.xxhash64("id", "v").alias("o"), "v").orderBy("o").limit(many).collect()
-    return np.array([_unit(np.array(r["v"]), 1)[0] for r in rows])
+    rows = vectors.select(F.xxhash64("id", "v").alias("o"), "v").orderBy("o").limit(2 * many).toArrow().column("v").combine_chunks()
+    rows = pa.concat_arrays(rows.chunks) if isinstance(rows, pa.ChunkedArray) else rows
+    return thinned(_unit(np.asarray(rows.flatten()), len(rows)), many, threshold)
 
 
 def permutations(vectors: DataFrame, pivots: np.ndarray, nearest: int = NEAREST) -> DataFrame:
@@ -151,7 +178,7 @@ def near_dedup(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", ve
     found = None
     for length, count in sorted((r["n"], r["count"]) for r in classes.groupBy("n").count().collect()):
         same = picked.where(F.col("n") == length).select("id", "v", "weight").dropDuplicates(["id"])
-        seen = write_table(permutations(same, choose_pivots(same, count), nearest), "permuted")
+        seen = write_table(permutations(same, choose_pivots(same, count, threshold), nearest), "permuted")
         dealt = dealt_lists(seen, shared, narrow)
         keyed = dealt.repartition(partitions(spark), "pivot", "second", "i", "j").sortWithinPartitions("pivot", "second", "i", "j", "side", "id")
         links = write_table(keyed.mapInArrow(_search(threshold, shared), "id long, links long, root long"), "links")

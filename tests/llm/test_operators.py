@@ -170,6 +170,28 @@ def test_pivot_index_counts_equal_vectors(spark):
     assert got[7]["n_links"] == 300 and got[7]["kept"] and got[2000]["n_links"] >= 1 and got[2000]["component_id"] == 1499
 
 
+def test_pivot_index_finds_links_inside_a_hot_near_copy_group(spark):
+    """A third of the vectors are near, not equal, copies of one: their pairs are looked at, as outside the group."""
+    rng = np.random.default_rng(12)
+    hot = rng.normal(size=64) / 8 + rng.normal(size=(1000, 64)) * 0.029
+    x = np.concatenate([hot, rng.normal(size=(2000, 64)) / 8])
+    got = {r["vec_id"]: r["n_links"] for r in pivots.near_dedup(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(axis=1) - 1
+    assert want[:1000].mean() > 900 and sum(got.values()) >= 0.99 * want.sum() and all(got[k] <= want[k] for k in got)
+
+
+def test_thinned_pivots_are_apart():
+    rng = np.random.default_rng(13)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    hot = unit(np.concatenate([np.ones((700, 64)) + rng.normal(size=(700, 64)) * 0.2, rng.normal(size=(1300, 64))])[rng.permutation(2000)])
+    p = pivots.thinned(hot, 1000, 0.9)
+    cosines = (p @ p.T)[np.triu_indices(len(p), 1)]
+    assert len(p) == 1000 and cosines.max() < pivots.NEAR
+    cone = unit(np.ones((2000, 64)) + rng.normal(size=(2000, 64)) * 0.58)  # all pairs near 0.75
+    assert len(pivots.thinned(cone, 100, 0.9)) == 100
+
+
 def test_mixing(spark):
     rng = random.Random(6)
     rows = [(k, "w " * rng.choice([1, 5, 40, 200]), rng.choice(["a", "a", "a", "b", None])) for k in range(600)] + [(600, None, "a"), (601, "", "c"), (601, "", "c")]
