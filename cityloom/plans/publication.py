@@ -215,8 +215,9 @@ def repair_sub(v):
 
 @query()
 def fuse_pois(v):
-    osm = v.pois.where("osmid % 3 > 0").select("osmid", "name", "amenity", "shop", "px", "py")
-    places = v.pois.where("osmid % 3 > 0 AND osmid % 5 = 0").select((-F.col("osmid")).alias("osmid"), F.upper("name").alias("name"), "amenity", "shop", (F.col("px") + 3).alias("px"), "py")
+    """All points, and as places the shops among them, moved and in capitals."""
+    osm = v.pois.select("osmid", "name", "amenity", "shop", "px", "py")
+    places = v.pois.where("shop IS NOT NULL").select((-F.col("osmid")).alias("osmid"), F.upper("name").alias("name"), "amenity", "shop", (F.col("px") + 3).alias("px"), "py")
     return audit.fuse_pois(osm, places)
 
 

@@ -99,6 +99,14 @@ def test_fuse_pois_equals_brute_force(spark):
     assert got == want and len(want) < len(a) + len(b)
 
 
+def test_fuse_pois_query_takes_every_point_and_every_shop(spark):
+    pois = queries.Views(spark, SF).pois.select("osmid", "shop", "px", "py").collect()
+    got = {r.osmid for r in queries.QUERIES["fuse_pois"](spark, SF).collect()}
+    shops = [p for p in pois if p.shop is not None]
+    alone = {o.osmid for o in pois if all(math.hypot(o.px - p.px - 3, o.py - p.py) >= 10 for p in shops)}
+    assert {-p.osmid for p in shops} == {k for k in got if k < 0} and alone and alone <= got <= {s * p.osmid for p in pois for s in (1, -1)}
+
+
 def test_shares_add_up_and_take_nulls(spark):
     gfa = spark.createDataFrame([(1, 60.0, 40.0), (2, None, 10.0), (3, 0.0, 0.0), (4, None, None), (5, 0.0, 8.0)], "bid long, domestic double, nondomestic double")
     features = spark.createDataFrame([(1, "商业类别", "零售（Retail）", 3.0), (1, "商业类别", None, 1.0), (1, "工业类别", None, 4.0), (5, "工业类别", "x", 0.0), (5, None, None, None)], "bid long, main string, sub string, weight double")
