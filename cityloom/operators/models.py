@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -55,20 +57,53 @@ def f1_report(df: DataFrame, truth: str, guess: str) -> DataFrame:
     return j.select("label", "support", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round(f1, 6).alias("f1"))
 
 
+def _nearest(points: DataFrame, key: str, columns: list[str], k: int, cell: float) -> DataFrame:
+    """points with ``near``: the k nearest others, or all if there are fewer, the closest first.
+
+    Points with fewer within reach look again twice as far, until they have k or the reach spans all points.
+    """
+    from cityloom.operators.spatial import POINT, grid_pairs, point_distance, prefixed
+
+    n, *box = points.agg(F.count("*"), F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
+    k, span = min(k, n - 1), math.hypot(box[1] - box[0], box[3] - box[2])
+    reach = min(cell, 2 * span * math.sqrt(k / n)) or cell
+    others, open_points, found = prefixed(points, "n_"), points, None
+    while True:
+        pairs = grid_pairs(open_points, others, POINT, ("n_px", "n_py", "n_px", "n_py"), reach, reach)
+        pairs = pairs.withColumn("d", point_distance(F.col("px"), F.col("py"), F.col("n_px"), F.col("n_py"))).where((F.col(key) != F.col(f"n_{key}")) & (F.col("d") <= reach))
+        near = F.slice(F.sort_array(F.collect_list(F.struct("d", f"n_{key}", *[f"n_{c}" for c in columns]))), 1, k).alias("near")
+        best = pairs.groupBy(*points.columns).agg(near)
+        last = reach > span
+        new = best if last else best.where(F.size("near") >= k)
+        found = new if found is None else found.unionByName(new)
+        if last:
+            return found
+        open_points = open_points.join(new.select(key), key, "left_anti").select(*points.columns).localCheckpoint()
+        if open_points.isEmpty():
+            return found
+        reach *= 2
+
+
 def oversample(df: DataFrame, label: str, key: str, columns: list[str], least: int = 200, k: int = 5, cell: float = 300.0) -> DataFrame:
-    """df with synthetic rows of the positive class, so that it has at least ``least``: points between a row and one of its k nearest."""
-    from cityloom.operators.spatial import neighbours
+    """df with synthetic rows of the positive class: points between a row and one of its k nearest.
 
+    Up to ``least`` positives if there are fewer; else as many as there are other rows, if positives are under half of all. The
+    copies are dealt evenly over the positives, what is left over to those with the smallest hashes. Fewer than two positives
+    stay as they are.
+    """
     rare = df.where(F.col(label) == 1)
-    n = rare.count()
-    if n < 2 or n >= least:
+    total, n = df.agg(F.count("*"), F.count(F.when(F.col(label) == 1, 1))).first()
+    target = least if n < least else total - n if n and total / n > 2 else n
+    points = rare.select(key, *dict.fromkeys(["px", "py", *columns])).where("px IS NOT NULL AND py IS NOT NULL")
+    seeds = points.count() if n > 1 and target > n else 0
+    if seeds < 2:
         return df
-    near = neighbours(rare.select(key, *dict.fromkeys(["px", "py", *columns])), key, cell)
-    d = (F.col("px") - F.col("n_px")) ** 2 + (F.col("py") - F.col("n_py")) ** 2
-    best = near.withColumn("d", d).groupBy(key, *columns).agg(F.slice(F.sort_array(F.collect_list(F.struct("d", f"n_{key}", *[f"n_{c}" for c in columns]))), 1, k).alias("near"))
-    copies = -(-(least - n) // n)
-    made = best.where(F.size("near") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    whole, rest = divmod(target - n, seeds)
+    best = _nearest(points, key, columns, k, cell)
+    more = points.select(F.col(key).alias("more")).orderBy(F.xxhash64("more", F.lit(1)), "more").limit(rest)
+    copies = F.lit(whole) + F.col("more").isNotNull().cast("int")
+    made = best.join(more, F.col(key) == F.col("more"), "left").withColumn("copies", copies).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     other = F.get(F.col("near"), F.pmod(F.xxhash64(key, "copy"), F.size("near")).cast("int"))
     t = F.pmod(F.xxhash64("copy", key), F.lit(1000)) / 1000.0
     rows = made.select(F.lit(1).alias(label), *[(F.col(c) + t * (other[f"n_{c}"] - F.col(c))).alias(c) for c in columns], F.lit(True).alias("train"))
-    return df.unionByName(rows.limit(least - n), allowMissingColumns=True)
+    return df.unionByName(rows, allowMissingColumns=True)

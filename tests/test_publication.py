@@ -139,3 +139,16 @@ def test_oversampling_and_share_model(spark):
     assert out.where("rare = 1").count() == 40 and out.where("rare = 0").count() == rows.where("rare = 0").count()
     shares = queries.QUERIES["sub_shares_model"](spark, SF).collect()
     assert shares and all(0.05 < r.share <= 1 for r in shares)
+
+
+def test_oversampling_balances_many_positives_and_reaches_far_ones(spark):
+    rows = spark.range(1000).select(F.col("id").alias("bid"), (F.col("id") % 4 == 0).cast("int").alias("rare"), (F.col("id") * 7919 % 997).cast("double").alias("px"), (F.col("id") * 6101 % 991).cast("double").alias("py"))
+    out = models.oversample(rows, "rare", "bid", ["px", "py"], cell=50.0)
+    assert out.where("rare = 1").count() == 750 and out.where("rare = 0").count() == 750
+    assert out.where("rare = 1").exceptAll(rows.where("rare = 1").withColumn("train", F.lit(None).cast("boolean"))).where("px IS NULL OR py IS NULL").count() == 0
+    far = spark.createDataFrame([(k, int(k < 4), 10000.0 * k, 0.0) for k in range(20)], "bid long, rare int, px double, py double")
+    more = models.oversample(far, "rare", "bid", ["px", "py"], least=11)
+    assert more.where("rare = 1").count() == 11 and more.where("rare = 1 AND bid IS NULL AND px BETWEEN 0 AND 30000").count() == 7
+    near = {r.bid: [x["n_bid"] for x in r.near] for r in models._nearest(rows.where("rare = 1").select("bid", "px", "py"), "bid", ["px", "py"], 5, 10.0).collect()}
+    p = {r.bid: (r.px, r.py) for r in rows.where("rare = 1").collect()}
+    assert near == {a: [b for _, b in sorted((math.dist(p[a], p[b]), b) for b in p if b != a)[:5]] for a in p}
