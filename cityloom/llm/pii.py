@@ -33,7 +33,7 @@ LOOSE = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{2,63}+(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{2,63}+)++", r"[\[(]at[\])]"),
     ("phone", r"(?<![0-9A-Za-z+./-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])", r"[0-9]{3}[ .-][0-9]{4}"),
     ("secret", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])", "(?:AKIA|ASIA)[0-9A-Z]"),
-    ("secret", r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key) ?[=:] ?[^\s,;]{6,200}+", r"(?i)(?:password|passwd|pwd|secret|token|key) ?[=:]"),
+    ("secret", r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key) ?[=:] ?[^\s,;]{6,}+", r"(?i)(?:password|passwd|pwd|secret|token|key) ?[=:]"),
     ("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", r"[0-9]-[0-9]{2}-[0-9]"),
 )
 #: Gazetteers: what a span of the kind holds if it is one, and what speaks against it.
@@ -121,12 +121,12 @@ def _base_spans(kind: str) -> Column:
 
 
 def _loose_spans(n: int, kind: str) -> Column:
-    apart = F.filter(f"s_{n}", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    apart = F.filter(f"s_{n}", lambda x: ~F.exists("base", lambda b: (b["s"] <= x["s"]) & (x["e"] <= b["e"])))
     return F.transform(apart, lambda x: _span(kind, x, F.array(*_votes(kind, x, F.col("text"))).alias("votes"), F.least(F.length(x["t"]) / 8, F.lit(4)).cast("int").alias("size")))
 
 
 def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, base, loose``: base spans (k, s, e) in order, and loose spans (k, s, e, votes, size) that meet no base span."""
+    """``id, base, loose``: base spans (k, s, e) in order, and loose spans (k, s, e, votes, size) that no base span holds."""
     d = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     digits = F.col("text").rlike("[0-9]")
     wanted = {"email": F.contains("text", F.lit("@")), "ip": digits, "card": digits, "phone": digits & F.contains("text", F.lit("+"))}

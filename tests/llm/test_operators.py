@@ -277,6 +277,15 @@ def test_pii_base_spans(spark):
     assert pii.find_pii(frame(spark, [])).count() == 0
 
 
+def test_pii_secrets_are_marked_to_their_end(spark):
+    long = "api_key=" + "aB3x9Z7q" * 100
+    mixed = "password=abc@host.com!tail99X"
+    got = {r["id"]: r["spans_text"].split(",") for r in pii.find_pii(frame(spark, [(1, f"login {long} end", "s"), (2, f"login {mixed} end", "s"), (3, "call +1 (988) 555-2485 now", "s")])).collect()}
+    assert f"secret:6:{6 + len(long)}" in got[1]
+    assert f"secret:6:{6 + len(mixed)}" in got[2] and "email:15:27" in got[2]
+    assert got[3] == ["phone:5:22"]
+
+
 def test_warc_round_trip(spark):
     big, html = "<p>é" * 400, "<b>hi</b>\r\n\r\nWARC/1.1\r\n"
     rows = [(1, "u\nv", big), (2, "u", big), (3, None, html), (4, "u", html), (5, "u", None), (6, "u", ""), (6, "u", big), (None, "u", big), (7, "u", "z" * 300000)]
