@@ -7,6 +7,7 @@ it. Records are then read by offset from the normalised archives.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 import zlib
@@ -134,7 +135,8 @@ def index(spark: SparkSession, target: str) -> DataFrame:
 def read_records(entries: DataFrame) -> DataFrame:
     """Read the records of index entries by offset: ``page_id, url, record_type, refers_to, payload_digest, payload_bytes, payload``.
 
-    payload is null for revisits; payload_bytes is the length that the response's HTTP header states.
+    payload is null for revisits, whose digest and length are those that their headers state. Those of responses are taken from the
+    payload as read; where they differ from what the headers state, the record is damaged: an error.
     """
     schema = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload string"
 
@@ -153,8 +155,12 @@ def read_records(entries: DataFrame) -> DataFrame:
                         headers, block = parse(zlib.decompress(f.read(length), 31))
                         http, _, payload = block.partition(b"\r\n\r\n")
                         size = next(int(x[15:]) for x in http.split(b"\r\n") if x[:15].lower() == b"content-length:")
-                        kind = headers["warc-type"]
-                        out.append((number(headers["warc-record-id"]), headers.get("warc-target-uri", ""), kind, number(headers.get("warc-refers-to")), headers["warc-payload-digest"].removeprefix("sha1:"), size, payload.decode("utf-8") if kind == "response" else None))
+                        kind, digest = headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha1:")
+                        if kind == "response":
+                            stated, (digest, size) = (digest, size), (hashlib.sha1(payload).hexdigest(), len(payload))
+                            if stated != (digest, size):
+                                raise ValueError(f"{archive} at {offset}: payload of {size} bytes, sha1 {digest}; stated {stated}")
+                        out.append((number(headers["warc-record-id"]), headers.get("warc-target-uri", ""), kind, number(headers.get("warc-refers-to")), digest, size, payload.decode("utf-8") if kind == "response" else None))
             rows = pd.DataFrame(out, columns=schema.replace(",", "").split()[::2])
             yield rows.astype({"page_id": "Int64", "refers_to": "Int64"})
 

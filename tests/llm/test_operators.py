@@ -303,3 +303,21 @@ def test_warc_round_trip(spark):
 
         z = zlib.compressobj(6, zlib.DEFLATED, 31)
         list(warc.split_stream([z.compress(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc") + z.flush()]))
+
+
+@pytest.mark.parametrize("payload", [b"<p>gone</p>", b"<p>here</p>x"])
+def test_warc_reading_fails_on_a_damaged_payload(spark, tmp_path, payload):
+    import zlib
+
+    def archive(name, html):
+        http = b"HTTP/1.1 200 OK\r\nContent-Length: 11\r\n\r\n" + html
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Payload-Digest: sha1:{hashlib.sha1(b'<p>here</p>').hexdigest()}\r\nContent-Length: {len(http)}\r\n\r\n"
+        pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+        member = pack.compress(head.encode() + http + b"\r\n\r\n") + pack.flush()
+        (tmp_path / name).write_bytes(member)
+        return spark.createDataFrame([(str(tmp_path / name), 0, 0, len(member))], "archive string, number long, offset long, length long")
+
+    r = warc.read_records(archive("good.warc.gz", b"<p>here</p>")).first()
+    assert (r["payload"], r["payload_bytes"]) == ("<p>here</p>", 11)
+    with pytest.raises(Exception, match="payload of"):
+        warc.read_records(archive("bad.warc.gz", payload)).collect()
