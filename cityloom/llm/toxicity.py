@@ -3,9 +3,10 @@
 Windows of whole words are compressed with the ordinary dictionary, and with the toxic segments put in front of it; where the
 second is shorter, the window holds what toxic texts share and ordinary ones lack. The toxic dictionary is trained in rounds:
 the two halves of the toxic texts judge each other's windows, so that a window counts only if the other half's dictionary
-shortens it more than it does ordinary windows; the next dictionary is trained on those windows. The last one is made of the
-words without which such windows lose their difference. Thresholds on the differences are calibrated on labelled texts by a
-small logistic model over how many windows reach each difference.
+shortens it more than it does ordinary windows; the next dictionary is trained on those windows. The last one is trained on the
+words without which such windows lose their difference, each window's with its own. Thresholds on the differences are calibrated
+on labelled texts of every length by a small logistic model over how many windows reach each difference; toxic texts that a
+dictionary was trained on are measured with that of the other half.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from cityloom.llm.common import bounded_sample
 
 WINDOW, LEVEL = 48, 6
 STEPS = np.array([1, 2, 3, 4, 6, 8, 11])
+#: How many times more often than in ordinary text, for its amount, a word must carry windows to be trained on.
+LIFT = 4
 
 
 def word_windows(text: str | None, size: int = WINDOW) -> list[bytes]:
@@ -80,9 +83,8 @@ class CompressionClassifier:
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-(self.features(text) @ self.weights + self.offset))))
 
-    def calibrate(self, texts: list[str], labels: np.ndarray, weight: np.ndarray, rounds: int = 60, ridge: float = 1.0) -> CompressionClassifier:
-        """Logistic regression by Newton steps."""
-        x = np.array([self.features(t) for t in texts])
+    def calibrate(self, x: np.ndarray, labels: np.ndarray, weight: np.ndarray, rounds: int = 60, ridge: float = 1.0) -> CompressionClassifier:
+        """Logistic regression on rows of features by Newton steps."""
         x = np.hstack([x, np.ones((len(x), 1))])
         w = np.zeros(x.shape[1])
         keep = ridge * np.eye(len(w))
@@ -97,25 +99,18 @@ class CompressionClassifier:
         return self
 
 
-def _carriers(judge: CompressionClassifier, parts: list[bytes], least: int = 3) -> list[bytes]:
-    """Words that a window owes its difference to: without such a word, the difference falls by at least that many bytes."""
+def _carriers(judge: CompressionClassifier, parts: list[bytes], least: int = 3) -> list[list[bytes]]:
+    """Words that each window owes its difference to: without such a word, the difference falls by at least that many bytes."""
     out = []
     for window, whole in zip(parts, judge.differences(parts)):
         words = window.split()
         rest = judge.differences([b" " + b" ".join(words[:i] + words[i + 1 :]) + b" " for i in range(len(words))])
-        out += {w for w, d in zip(words, rest) if whole - d >= least}
+        out.append([w for w, d in zip(words, rest) if whole - d >= least])
     return out
 
 
-def fit(ordinary: list[str], toxic: list[str], toxic_share: float = 0.5, ordinary_bytes: int = 110_000, toxic_bytes: int = 8192) -> CompressionClassifier:
-    """Train both dictionaries and the thresholds on texts of either label; toxic_share is that of all labelled rows.
-
-    Where a class has no text, every score is that of the other class.
-    """
-    if not ordinary or not toxic:
-        none = CompressionClassifier(b" " * 16, b" " * 16)
-        none.offset = -20.0 if not toxic else 20.0
-        return none
+def fit(ordinary: list[str], toxic: list[str], ordinary_bytes: int = 110_000, toxic_bytes: int = 8192) -> tuple[CompressionClassifier, np.ndarray, np.ndarray]:
+    """Train both dictionaries; returns them uncalibrated, with features of ordinary and of toxic texts that the dictionary used for them does not know."""
     rng = np.random.default_rng(11)
     order = rng.permutation(len(ordinary))
     third = max(1, len(order) // 3)  # held back from the ordinary dictionary
@@ -124,12 +119,14 @@ def fit(ordinary: list[str], toxic: list[str], toxic_share: float = 0.5, ordinar
     base = [base[i] for i in rng.permutation(len(base))[:60_000]]
     held = [held[i] for i in rng.permutation(len(held))[:20_000]]
     common = _trained(ordinary_bytes, base, 16)
+    usual = Counter(w for window in base + held for w in window.split())
     parts = [(i % 2, w) for i, t in enumerate(toxic) for w in word_windows(t)]
-    half, text = np.array([h for h, _ in parts]), [w for _, w in parts]
+    half, text = np.array([h for h, _ in parts], int), [w for _, w in parts]
     chosen = np.ones(len(parts), bool)
-    carriers: Counter[bytes] = Counter()
+    # words that carried a window in any round, with how often; those as usual in ordinary text, given its amount, carry nothing
+    telling: list[Counter[bytes]] = [Counter(), Counter()]
     for size, segment in ((32768, 12), (8192, 10), (8192, 10)):
-        new, found = np.zeros(len(parts), bool), []
+        new, found = np.zeros(len(parts), bool), [[], []]
         for h in (0, 1):
             own, other = np.flatnonzero(chosen & (half == h)), np.flatnonzero(half != h)
             if not len(own) or not len(other):
@@ -137,37 +134,73 @@ def fit(ordinary: list[str], toxic: list[str], toxic_share: float = 0.5, ordinar
             judge = CompressionClassifier(common, _trained(size, [text[i] for i in own], segment))
             limit = max(1, np.quantile(judge.differences(held), 0.997))
             new[other] = judge.differences([text[i] for i in other]) > limit
-            found += _carriers(judge, [text[i] for i in other[new[other]]])
+            found[1 - h] = _carriers(judge, [text[i] for i in other[new[other]]])
         if not new.any():
             break
         chosen = new
-        carriers.update(found)
-    usual = Counter(w for window in base + held for w in window.split())
-    words = [w for w, n in carriers.most_common() if n >= 7 and n > 4 * usual[w]]
-    content = b" ".join(reversed(words))[-toxic_bytes:] if words else _trained(toxic_bytes, [text[i] for i in np.flatnonzero(chosen)], 12)
-    best = CompressionClassifier(common, b" " * 8 + content + b" ")
-    texts = [ordinary[i] for i in order[:third]] + toxic
-    labels = np.array([0.0] * third + [1.0] * len(toxic))
-    weight = np.where(labels > 0, toxic_share / len(toxic), (1 - toxic_share) / third) * len(labels)
-    return best.calibrate(texts, labels, weight)
+        for h in (0, 1):
+            telling[h].update(w for words in found[h] for w in words)
+    amount = sum(usual.values()) / max(1, sum(len(w.split()) for w in text))
+
+    def made(counts: Counter[bytes], windows: list[bytes]) -> CompressionClassifier:
+        """Trained on the telling words of windows, the ones of a window as one sample; without any, on the windows."""
+        told = {w for w, n in counts.items() if n > LIFT * usual[w] / amount}
+        samples = [b" " + b" ".join(words) + b" " for window in windows if (words := [w for w in window.split() if w in told])]
+        return CompressionClassifier(common, b" " * 8 + _trained(toxic_bytes, samples or windows or [b" "], 12) + b" ")
+
+    best = made(telling[0] + telling[1], [text[i] for i in np.flatnonzero(chosen)])
+    halves = [made(telling[h], [text[i] for i in np.flatnonzero(chosen & (half == h))]) for h in (0, 1)] if len(toxic) > 1 else [best, best]
+    return best, np.array([best.features(ordinary[i]) for i in order[:third]]), np.array([halves[1 - i % 2].features(t) for i, t in enumerate(toxic)])
+
+
+def calibrated(model: CompressionClassifier, ordinary: tuple[np.ndarray, float], toxic: tuple[np.ndarray, float], long_ordinary: np.ndarray, long_toxic: np.ndarray, toxic_share: float) -> CompressionClassifier:
+    """model with weights from features of short texts, (features, texts that each row stands for), and of long ones."""
+    x = [v[0] if isinstance(v, tuple) else v for v in (ordinary, long_ordinary, toxic, long_toxic)]
+    stand = np.concatenate([np.full(len(x[0]), ordinary[1]), np.ones(len(x[1])), np.full(len(x[2]), toxic[1]), np.ones(len(x[3]))])
+    labels = np.repeat([0.0, 0.0, 1.0, 1.0], [len(v) for v in x])
+    rows = np.concatenate([v.reshape(-1, 2 * len(STEPS) + 1) for v in x])
+    for y, share in ((0, 1 - toxic_share), (1, toxic_share)):
+        stand[labels == y] *= share * len(rows) / stand[labels == y].sum()
+    return model.calibrate(rows, labels, stand)
 
 
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_toxic: int = 900, max_ordinary: int = 2400, max_chars: int = 20_000) -> CompressionClassifier:
-    """Fit on a sample of labelled documents.
+    """Fit on a sample of labelled documents; where a class has no text, every score is that of the other class.
 
     Of the ids that labels gives each class, at most max_toxic and max_ordinary with the smallest hash are taken, then their
-    texts are fetched; texts of more than max_chars characters are left out. So what is broadcast and what reaches the driver is
-    bounded by these parameters. Null texts, labels and ids are left out.
+    texts are fetched. Of texts of more than max_chars characters only the features come, which are worked out where the texts
+    are; those count in the calibration as the others do. So what is broadcast and what reaches the driver is bounded by these
+    parameters. Null texts, labels and ids are left out.
     """
     known = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
+    size = 2 * len(STEPS) + 1
 
-    def pick(y: int, n: int) -> list[str]:
+    def picked(y: int, n: int) -> DataFrame:
         ids = bounded_sample(known.where(F.col("y") == y), F.xxhash64("i"), n).select("i").distinct()
-        texts = docs.where(F.length(text_col) <= max_chars).select(F.col(id_col).alias("j"), F.col(text_col).alias("t"))
-        return [r["t"] for r in texts.join(F.broadcast(ids), F.col("i") == F.col("j")).orderBy(F.xxhash64("j"), "t").limit(n).collect()]
+        return docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("j"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(ids), F.col("i") == F.col("j")).select("j", "t")
+
+    def short(rows: DataFrame, n: int) -> list[str]:
+        return [r["t"] for r in rows.where(F.length("t") <= max_chars).orderBy(F.xxhash64("j"), "t").limit(n).collect()]
 
+    both = picked(0, max_ordinary), picked(1, max_toxic)
+    ordinary, toxic = short(both[0], max_ordinary), short(both[1], max_toxic)
     share = known.where(F.col("y").isin(0, 1)).agg(F.avg(F.col("y").cast("double"))).first()[0]
-    return fit(pick(0, max_ordinary), pick(1, max_toxic), min(0.95, max(0.05, share or 0.0)))
+    if not ordinary or not toxic:
+        none = CompressionClassifier(b" " * 16, b" " * 16)
+        none.offset = -20.0 if not toxic else 20.0
+        return none
+    model, plain, bad = fit(ordinary, toxic)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("array<double>")
+    def features(text: pa.Array) -> pa.Array:
+        return pa.array([shared.value.features(t).tolist() for t in text.to_pylist()], pa.list_(pa.float64()))
+
+    def long(rows: DataFrame, n: int) -> np.ndarray:
+        found = rows.where(F.length("t") > max_chars).orderBy(F.xxhash64("j")).limit(n).select(features("t").alias("x")).collect()
+        return np.array([r["x"] for r in found]).reshape(-1, size)
+
+    return calibrated(model, (plain, len(ordinary) / len(plain)), (bad, 1.0), long(both[0], max_ordinary), long(both[1], max_toxic), min(0.95, max(0.05, share or 0.0)))
 
 
 def score(df: DataFrame, model: CompressionClassifier, text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -239,6 +239,27 @@ def test_toxicity(spark):
     assert toxicity.score(odd, toxicity.train(df.limit(0), labels.limit(0))).count() == 3
 
 
+def test_toxic_dictionary_is_trained_and_calibrated_on_every_length(spark, monkeypatch):
+    rng = random.Random(9)
+    word = lambda letters: "".join(rng.choices(letters, k=rng.randrange(6, 11)))
+    plain, bad = [word("aeioubcdlmnrst") for _ in range(3000)], [word("aeiougkpqvwxyz") for _ in range(150)]
+
+    def text(k):
+        w = rng.choices(plain, k=400 if k % 7 == 0 else 60)
+        return " ".join(w[:20] + (rng.choices(bad, k=6) if k % 3 == 0 else []) + w[20:])
+
+    docs = [(k, text(k)) for k in range(600)]
+    rows = []
+    calibrate = toxicity.CompressionClassifier.calibrate
+    monkeypatch.setattr(toxicity.CompressionClassifier, "calibrate", lambda self, x, labels, *more: rows.append((len(x), sum(labels))) or calibrate(self, x, labels, *more))
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(600)], "doc_id long, toxic int")
+    model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), labels, max_chars=1500)
+    short = [k for k, t in docs if len(t) <= 1500]
+    long = [k for k, t in docs if len(t) > 1500]
+    assert long and rows == [(len(long) + sum(k % 3 == 0 for k in short) + sum(k % 3 > 0 for k in short) // 3, 200)]
+    assert b"\x37\xa4\x30\xec" in model.toxic  # the mark of a dictionary that zstandard has trained
+
+
 def test_chat_round_trip(spark):
     turns = [(1, 0, "user", "a <|turn|> \\e \\b </s>[INST]"), (1, 1, "assistant", "b|>\n<|end|>"), (1, 1, "assistant", None), (2, 0, "role\nx", ""), (None, 0, None, "t"), (1, 0, "user", "a <|turn|> \\e \\b </s>[INST]")]
     df = spark.createDataFrame([(*t, 1) for t in turns], "conv_id long, turn long, role string, text string, n int")
