@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``; an own one only where that is unset (local runs)."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``; an own one only where that is unset and Spark runs locally."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = f"/tmp/checkpoints/{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -61,17 +63,19 @@ def id_remainder(column: str, modulus: int):
 
 
 def bounded_sample(df: DataFrame, order: Column, limit: int) -> DataFrame:
-    """The limit rows of df with the smallest hash ``order``, and all of them if there are no more.
+    """The limit rows of df with the smallest rank, and all of them if there are no more; the rank is a hash of ``order``.
 
-    Rows that a threshold on the hash can rule out never reach the sort, so that what tasks send on is about the limit, whatever
-    the size of df.
+    Rows that a threshold on the rank can rule out never reach the sort, so that what tasks send on is about the limit, whatever
+    the size of df. The threshold leaves limit + 8 roots of it on average; should it ever leave fewer than limit, it is not used.
     """
+    rank = F.pmod(F.xxhash64(order, F.lit(41)), F.lit(1 << 40))
     n = df.count()
+    few = df
     if n > 2 * limit:
-        part = F.pmod(F.xxhash64(order), F.lit(1 << 30))
-        few = df.where(part < F.lit(int((1 << 30) * min(1.0, 1.5 * limit / n))))
-        return few.orderBy(part, order).limit(limit)
-    return df.orderBy(order).limit(limit)
+        few = df.where(rank < F.lit(int((1 << 40) * min(1.0, (limit + 8 * limit**0.5 + 8) / n))))
+        if few.limit(limit).count() < limit:
+            few = df
+    return few.orderBy(rank, order).limit(limit)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

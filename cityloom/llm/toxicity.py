@@ -1,18 +1,16 @@
-"""Toxicity by compression distance: two zstandard dictionaries, one of ordinary and one of toxic text.
-
-Windows of whole words are compressed with the ordinary dictionary, and with the toxic segments put in front of it; where the
-second is shorter, the window holds what toxic texts share and ordinary ones lack. The toxic dictionary is trained in rounds:
-the two halves of the toxic texts judge each other's windows, so that a window counts only if the other half's dictionary
-shortens it more than it does ordinary windows; the next dictionary is trained on those windows. The last one is trained on the
-words without which such windows lose their difference, each window's with its own. Thresholds on the differences are calibrated
-on labelled texts of every length by a small logistic model over how many windows reach each difference; toxic texts that a
-dictionary was trained on are measured with that of the other half.
+"""Toxicity by compression distance: two zstandard dictionaries, one trained on ordinary and one on toxic text.
+
+Every text is cut into windows of whole words; each window is compressed with the ordinary dictionary and with both dictionaries
+at once, and the difference of the two lengths is what the toxic dictionary adds. (Compressed with the toxic dictionary alone, the
+ordinary words of a window drown that difference; the README has figures.) A toxic text is mostly ordinary, so the toxic dictionary
+is trained in rounds on the windows that dictionaries of other toxic texts shorten more than they do ordinary windows; what
+these have in common, whole words or parts of ever-different ones, is what zstandard's training keeps. Thresholds on the differences
+are calibrated on labelled texts that none of the dictionaries used for them has seen, by a small logistic model over how many
+windows reach each difference.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -22,9 +20,9 @@ from pyspark.sql import functions as F
 from cityloom.llm.common import bounded_sample
 
 WINDOW, LEVEL = 48, 6
-STEPS = np.array([1, 2, 3, 4, 6, 8, 11])
-#: How many times more often than in ordinary text, for its amount, a word must carry windows to be trained on.
-LIFT = 4
+STEPS = np.array([1, 2, 3, 4, 5, 6, 8, 10, 13])
+#: Share of ordinary windows whose difference a window must exceed to be chosen.
+SPARE = 0.005
 
 
 def word_windows(text: str | None, size: int = WINDOW) -> list[bytes]:
@@ -99,58 +97,40 @@ class CompressionClassifier:
         return self
 
 
-def _carriers(judge: CompressionClassifier, parts: list[bytes], least: int = 3) -> list[list[bytes]]:
-    """Words that each window owes its difference to: without such a word, the difference falls by at least that many bytes."""
-    out = []
-    for window, whole in zip(parts, judge.differences(parts)):
-        words = window.split()
-        rest = judge.differences([b" " + b" ".join(words[:i] + words[i + 1 :]) + b" " for i in range(len(words))])
-        out.append([w for w, d in zip(words, rest) if whole - d >= least])
-    return out
-
+def fit(ordinary: list[str], toxic: list[str], ordinary_bytes: int = 110_000, rounds: tuple[int, ...] = (8192, 4096, 2048, 2048), folds: int = 4) -> tuple[CompressionClassifier, np.ndarray, np.ndarray]:
+    """Train both dictionaries; returns them uncalibrated, with features of ordinary and of toxic texts that no dictionary used for them has seen.
 
-def fit(ordinary: list[str], toxic: list[str], ordinary_bytes: int = 110_000, toxic_bytes: int = 8192) -> tuple[CompressionClassifier, np.ndarray, np.ndarray]:
-    """Train both dictionaries; returns them uncalibrated, with features of ordinary and of toxic texts that the dictionary used for them does not know."""
-    rng = np.random.default_rng(11)
-    order = rng.permutation(len(ordinary))
-    third = max(1, len(order) // 3)  # held back from the ordinary dictionary
-    base = [w for i in order[third:] for w in word_windows(ordinary[i])] or [b" "]
+    A third of the ordinary texts is held back from the ordinary dictionary. Toxic texts are dealt into folds; each round trains, for
+    every fold, a toxic dictionary of that round's size on the chosen windows of the other folds, and chooses the fold's windows that
+    it shortens by more than all but SPARE of the windows held back. The windows chosen last train the dictionary that stays.
+    """
+    order = np.random.default_rng(11).permutation(len(ordinary))
+    third = max(1, len(order) // 3)
+    common = _trained(ordinary_bytes, [w for i in order[third:] for w in word_windows(ordinary[i])] or [b" "], 16)
     held = [w for i in order[:third] for w in word_windows(ordinary[i])] or [b" "]
-    base = [base[i] for i in rng.permutation(len(base))[:60_000]]
-    held = [held[i] for i in rng.permutation(len(held))[:20_000]]
-    common = _trained(ordinary_bytes, base, 16)
-    usual = Counter(w for window in base + held for w in window.split())
-    parts = [(i % 2, w) for i, t in enumerate(toxic) for w in word_windows(t)]
-    half, text = np.array([h for h, _ in parts], int), [w for _, w in parts]
-    chosen = np.ones(len(parts), bool)
-    # words that carried a window in any round, with how often; those as usual in ordinary text, given its amount, carry nothing
-    telling: list[Counter[bytes]] = [Counter(), Counter()]
-    for size, segment in ((32768, 12), (8192, 10), (8192, 10)):
-        new, found = np.zeros(len(parts), bool), [[], []]
-        for h in (0, 1):
-            own, other = np.flatnonzero(chosen & (half == h)), np.flatnonzero(half != h)
-            if not len(own) or not len(other):
-                continue
-            judge = CompressionClassifier(common, _trained(size, [text[i] for i in own], segment))
-            limit = max(1, np.quantile(judge.differences(held), 0.997))
-            new[other] = judge.differences([text[i] for i in other]) > limit
-            found[1 - h] = _carriers(judge, [text[i] for i in other[new[other]]])
+    parts = [(i % folds, w) for i, t in enumerate(toxic) for w in word_windows(t)]
+    fold, text = np.array([f for f, _ in parts], int), [w for _, w in parts]
+
+    def trained(mask: np.ndarray, size: int, segment: int) -> CompressionClassifier:
+        """On the windows of mask, equal ones once."""
+        return CompressionClassifier(common, _trained(size, list(dict.fromkeys(text[i] for i in np.flatnonzero(mask))) or [b" "], segment))
+
+    chosen, plain = np.ones(len(parts), bool), CompressionClassifier(common, b"").pair()[0]
+    plain_held, plain_text = np.array([len(plain(w)) for w in held]), np.array([len(plain(w)) for w in text], int)
+    for turn, size in enumerate(rounds):
+        gain, usual = np.zeros(len(parts)), np.zeros(len(held))
+        for f in range(folds):
+            both = trained(chosen & (fold != f), size, 12 if turn == 0 else 10).pair()[1]
+            for i in np.flatnonzero(fold == f):
+                gain[i] = plain_text[i] - len(both(text[i]))
+            usual += plain_held - np.array([len(both(w)) for w in held])
+        new = gain > np.quantile(usual / folds, 1 - SPARE)
         if not new.any():
             break
         chosen = new
-        for h in (0, 1):
-            telling[h].update(w for words in found[h] for w in words)
-    amount = sum(usual.values()) / max(1, sum(len(w.split()) for w in text))
-
-    def made(counts: Counter[bytes], windows: list[bytes]) -> CompressionClassifier:
-        """Trained on the telling words of windows, the ones of a window as one sample; without any, on the windows."""
-        told = {w for w, n in counts.items() if n > LIFT * usual[w] / amount}
-        samples = [b" " + b" ".join(words) + b" " for window in windows if (words := [w for w in window.split() if w in told])]
-        return CompressionClassifier(common, b" " * 8 + _trained(toxic_bytes, samples or windows or [b" "], 12) + b" ")
-
-    best = made(telling[0] + telling[1], [text[i] for i in np.flatnonzero(chosen)])
-    halves = [made(telling[h], [text[i] for i in np.flatnonzero(chosen & (half == h))]) for h in (0, 1)] if len(toxic) > 1 else [best, best]
-    return best, np.array([best.features(ordinary[i]) for i in order[:third]]), np.array([halves[1 - i % 2].features(t) for i, t in enumerate(toxic)])
+    best = trained(chosen, rounds[-1], 8)
+    apart = [trained(chosen & (fold != f), rounds[-1], 8) for f in range(folds)] if len(toxic) >= folds else [best] * folds
+    return best, np.array([best.features(ordinary[i]) for i in order[:third]]), np.array([apart[i % folds].features(t) for i, t in enumerate(toxic)])
 
 
 def calibrated(model: CompressionClassifier, ordinary: tuple[np.ndarray, float], toxic: tuple[np.ndarray, float], long_ordinary: np.ndarray, long_toxic: np.ndarray, toxic_share: float) -> CompressionClassifier:
@@ -164,7 +144,7 @@ def calibrated(model: CompressionClassifier, ordinary: tuple[np.ndarray, float],
     return model.calibrate(rows, labels, stand)
 
 
-def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_toxic: int = 900, max_ordinary: int = 2400, max_chars: int = 20_000) -> CompressionClassifier:
+def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_toxic: int = 1800, max_ordinary: int = 3600, max_chars: int = 20_000) -> CompressionClassifier:
     """Fit on a sample of labelled documents; where a class has no text, every score is that of the other class.
 
     Of the ids that labels gives each class, at most max_toxic and max_ordinary with the smallest hash are taken, then their
