@@ -2,7 +2,8 @@
 
 A turn's content is a list of parts: text, image, audio or document. A visitor goes through them in order: text is escaped,
 every other part becomes a numbered placeholder and an attachment with its reference and the tokens it will expand to. Each turn
-is written between control strings; control strings inside texts are broken by an escape that reading back takes out again.
+is written between control strings; control strings inside texts are broken by an escape that reading back takes out again. The
+same escape stands between a part and a text part after it, so that no control string can come about across their border.
 """
 
 from __future__ import annotations
@@ -62,7 +63,8 @@ def _visit(parts: Column, before: Column) -> Column:
     def step(acc: Column, part: Column) -> Column:
         n = acc["n"] + F.when(_known(part), 1).otherwise(0)
         mark = F.concat(F.lit("<|"), part["kind"], F.lit(":"), n.cast("string"), F.lit("|>"))
-        piece = F.when(_known(part), mark).otherwise(escape(F.coalesce(part["text"], F.lit(""))))
+        border = F.when(acc["out"] == "", "").otherwise("\\e")
+        piece = F.when(_known(part), mark).otherwise(F.concat(border, escape(F.coalesce(part["text"], F.lit("")))))
         return F.struct(F.concat(acc["out"], piece).alias("out"), n.alias("n"))
 
     return F.aggregate(parts, start, step, lambda acc: acc["out"])
@@ -71,8 +73,8 @@ def _visit(parts: Column, before: Column) -> Column:
 def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts: Column | None = None, text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
     """``conv, formatted, loss_spans, attachments, expanded_tokens``: one row per conversation.
 
-    parts is a column of type PARTS; without it text_col is the only part. Unknown kinds count as text, null text and null
-    role as empty, null parts as no part. Turns go by turn, then role, then content: rows that tie in all are equal. Null
+    parts is a column of type PARTS; without it text_col is the only part. Unknown kinds and null elements count as text, null
+    text and null role as empty, null parts as no part, negative units as none. Texts of any length are formatted whole. Turns go by turn, then role, then content: rows that tie in all are equal. Null
     conversation ids make one conversation. loss_spans are (start, end) in code points of the content of loss_role's turns.
     One conversation is one value, so its rows meet in a task; nothing there grows faster than their length. An empty table
     gives an empty result; other columns are not read.
