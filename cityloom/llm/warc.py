@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cityloom.llm.common import delete_path, new_path, partitions, write_table
+from cityloom.llm.common import delete_path, drop_table, new_path, partitions, write_table
 
 LINE = "\r\n"
 #: Payloads of fewer bytes are never turned into revisit records.
@@ -65,24 +65,43 @@ def write_monolithic(records: DataFrame, path: str) -> None:
     records.select("record").write.text(path, compression="gzip", lineSep=LINE + LINE)
 
 
+def _fields(head: bytes) -> dict[str, str]:
+    """Header lines by name in lower case, with or without a blank after the colon; of repeated ones the last."""
+    pairs = (line.decode("utf-8", "replace").partition(":") for line in head.split(b"\r\n") if b":" in line)
+    return {name.strip().lower(): value.strip() for name, _, value in pairs}
+
+
+def _length(head: bytes) -> int:
+    stated = _fields(head).get("content-length", "")
+    if not stated.isdecimal():
+        raise ValueError(f"record without a length: {head[:80]!r}")
+    return int(stated)
+
+
 def split_stream(chunks: Iterator[bytes]) -> Iterator[bytes]:
-    """Records of a gzip stream, or of several on end, inflated once in pieces; a record cut short at the end is an error."""
-    inflate, held = zlib.decompressobj(31), bytearray()
+    """Records of a gzip stream, or of several on end, inflated once in pieces.
+
+    A stream that ends before its gzip trailer, or within a record, is an error: the records that it lost can't be told from none.
+    No bytes at all are no records.
+    """
+    inflate, held, open_stream = zlib.decompressobj(31), bytearray(), False
     for chunk in chunks:
         while chunk:
+            open_stream = True
             held += inflate.decompress(chunk)
             chunk = inflate.unused_data
             if inflate.eof:
-                inflate = zlib.decompressobj(31)
+                inflate, open_stream = zlib.decompressobj(31), False
             begin = 0
             while (head := held.find(b"\r\n\r\n", begin)) >= 0:
-                size = next(int(x[15:]) for x in bytes(held[begin:head]).split(b"\r\n") if x[:15].lower() == b"content-length:")
-                end = head + 4 + size + 4
+                end = head + 4 + _length(bytes(held[begin:head])) + 4
                 if end > len(held):
                     break
                 yield bytes(held[begin:end])
                 begin = end
             del held[:begin]
+    if open_stream:
+        raise ValueError("archive ends within its gzip stream")
     if held:
         raise ValueError("archive ends within a record")
 
@@ -90,8 +109,7 @@ def split_stream(chunks: Iterator[bytes]) -> Iterator[bytes]:
 def parse(record: bytes) -> tuple[dict[str, str], bytes]:
     """(headers in lower case, block)."""
     head, _, block = record.partition(b"\r\n\r\n")
-    headers = dict(line.decode("utf-8", "replace").split(": ", 1) for line in head.split(b"\r\n")[1:] if b": " in line)
-    return {k.lower(): v for k, v in headers.items()}, block[: int(headers["Content-Length"])]
+    return _fields(head), block[: _length(head)]
 
 
 def _members(source: str, name: str, piece: int = 1 << 20) -> int:
@@ -114,7 +132,11 @@ def _members(source: str, name: str, piece: int = 1 << 20) -> int:
 
 
 def normalise(spark: SparkSession, path: str, target: str) -> DataFrame:
-    """Normalise all archives under path into the shared folder target; returns ``archive, records`` (one task an archive)."""
+    """Normalise all archives under path into the shared folder target; returns ``archive, records, error`` (one task an archive).
+
+    A damaged archive (cut short, not gzip, a record without a length) has its error and no records; nothing of it is written under
+    its name, and the others are not held up by it.
+    """
     _open(target)[0].create_dir(_open(target)[1], recursive=True)
     files = spark.read.format("binaryFile").load(path).select("path")
 
@@ -122,9 +144,13 @@ def normalise(spark: SparkSession, path: str, target: str) -> DataFrame:
         for batch in batches:
             for source in batch["path"]:
                 name = f"{target}/{source.rsplit('/', 1)[-1].split('.')[0]}.warc.gz"
-                yield pd.DataFrame({"archive": [name], "records": [_members(source, name)]})
+                try:
+                    n, error = _members(source, name), None
+                except (ValueError, zlib.error) as damage:
+                    n, error = 0, f"{source}: {damage}"
+                yield pd.DataFrame({"archive": [name], "records": [n], "error": pd.Series([error], dtype=object)})
 
-    return files.repartition(partitions(spark), "path").mapInPandas(work, "archive string, records long")
+    return files.repartition(partitions(spark), "path").mapInPandas(work, "archive string, records long, error string")
 
 
 def index(spark: SparkSession, target: str) -> DataFrame:
@@ -154,7 +180,7 @@ def read_records(entries: DataFrame) -> DataFrame:
                         f.seek(offset)
                         headers, block = parse(zlib.decompress(f.read(length), 31))
                         http, _, payload = block.partition(b"\r\n\r\n")
-                        size = next(int(x[15:]) for x in http.split(b"\r\n") if x[:15].lower() == b"content-length:")
+                        size = _length(http)
                         kind, digest = headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha1:")
                         if kind == "response":
                             stated, (digest, size) = (digest, size), (hashlib.sha1(payload).hexdigest(), len(payload))
@@ -171,11 +197,16 @@ def read_records(entries: DataFrame) -> DataFrame:
 def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write pages as monolithic archives, normalise those, and read every record back through the index.
 
-    An empty table gives an empty result; columns other than the three named are not read.
+    An empty table gives an empty result; columns other than the three named are not read. Damaged archives are an error that
+    names them.
     """
     spark = pages.sparkSession
     raw, target = new_path(spark, "warc-raw"), new_path(spark, "warc")
     write_monolithic(records(pages, id_col, url_col, html_col), raw)
-    write_table(normalise(spark, raw, target), "normalised")
+    done = write_table(normalise(spark, raw, target), "normalised")
+    damaged = [r["error"] for r in done.where("error IS NOT NULL").orderBy("archive").limit(20).collect()]
+    if damaged:
+        raise ValueError("damaged archives: " + "; ".join(damaged))
+    drop_table(done)
     delete_path(spark, raw)
     return read_records(index(spark, target))
