@@ -54,7 +54,6 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(documents(spark, sf_dir).select("doc_id", "text"))
 
-
     def count(n: int):
         return F.size(F.filter("spans", lambda x: x["k"] == n)).cast("long")
 
@@ -73,7 +72,7 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies", "chance")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
