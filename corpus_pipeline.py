@@ -38,9 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: not at all, or up to three times."""
     bounded_batches(spark)
-    copies = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("__copies")).where("__copies > 0").withColumnRenamed("doc_id", "__id")
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__id"]))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).select(*docs.columns)
+    return mixing.repeated(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
