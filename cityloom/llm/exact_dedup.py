@@ -1,23 +1,30 @@
 """Exact dedup: static binary-fuse filters of immutable snapshots screen the digests of incoming batches.
 
-A snapshot is a written table of classes (digest, kept id, size), dealt into buckets by digest; each bucket has a filter of 16
-bits a digest. An incoming batch is first grouped by itself. Its digests then pass the filters, bucket by bucket: negatives are
-new for certain; positives join the exact bucket on the full digest, and matches are confirmed on the texts' bytes.
+A snapshot is a written table of the classes that were new in its batch, dealt into buckets by digest; each bucket has a filter
+of 16 bits a digest. Neither is touched again. An incoming batch is first grouped by itself. Its digests then pass the filters of
+all snapshots before it, bucket by bucket: negatives are new for certain and are appended as they are; positives join the exact
+bucket on the full digest, and the texts of each pair are compared byte by byte. Equal ones become members of the class they met;
+false positives and texts that merely share a digest are new classes, appended too.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, LongType, StructType
 
-from cityloom.llm.common import partitions, write_table
+from cityloom.llm.common import drop_table, partitions, write_table
+
+#: A class within a batch: its digest, and a second hash that tells texts apart which share one.
+KEY = ["digest", "check"]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Digests that one filter holds on average at most, so that a bucket fits a task easily.
@@ -97,19 +104,23 @@ class BinaryFuse16:
         return cls(*np.frombuffer(data[:24], np.int64).tolist(), np.frombuffer(data[24:], np.uint16))
 
 
-@F.arrow_udf(BinaryType())
+@F.arrow_udf(StructType().add("digest", BinaryType()).add("check", LongType()))
 def text_digest(text: pa.Array) -> pa.Array:
-    """SHA-256 of texts with A-Z lower-cased, in UTF-8; null counts as empty."""
-    return pa.array([hashlib.sha256((t or "").encode().lower()).digest() for t in text.to_pylist()], pa.binary())
+    """SHA-256, and a second hash, of texts with A-Z lower-cased, in UTF-8; null counts as empty."""
+    low = [(t or "").encode().lower() for t in text.to_pylist()]
+    digests = pa.array([hashlib.sha256(t).digest() for t in low], pa.binary())
+    return pa.StructArray.from_arrays([digests, pa.array(np.array([xxhash.xxh64_intdigest(t) for t in low], np.uint64).view(np.int64))], ["digest", "check"])
 
 
 def normalised(text):
     return F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
 
 
-def _classes(rows: DataFrame) -> DataFrame:
-    """Duplicates within a batch, grouped by digest (combined in each task before the shuffle)."""
-    return rows.groupBy("digest").agg(F.max("id").alias("keep"), F.count("*").alias("size"))
+def _classes(rows: DataFrame, buckets: int) -> DataFrame:
+    """Duplicates within a batch, grouped by digest and second hash (combined in each task before the shuffle)."""
+    short = F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long")
+    groups = rows.groupBy(*KEY).agg(F.max("id").alias("keep"), F.count("*").alias("size"))
+    return groups.withColumn("short", short).withColumn("bucket", F.pmod(F.col("short"), F.lit(buckets)).cast("int"))
 
 
 def snapshot_filters(snapshot: DataFrame) -> DataFrame:
@@ -122,56 +133,65 @@ def snapshot_filters(snapshot: DataFrame) -> DataFrame:
 
 
 def screen(batch: DataFrame, filters: DataFrame) -> DataFrame:
-    """batch with ``maybe``: whether its bucket's filter holds the digest."""
+    """batch with ``maybe``: whether a filter of its bucket, of any snapshot, holds the digest."""
 
     def ask(rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        f = BinaryFuse16.from_bytes(held["filter"].iloc[0]) if len(held) else None
-        return rows.assign(maybe=f.contains(rows["short"].to_numpy().view(np.uint64)) if f else np.zeros(len(rows), bool))
+        short, maybe = rows["short"].to_numpy().view(np.uint64), np.zeros(len(rows), bool)
+        for f in held["filter"]:
+            maybe |= BinaryFuse16.from_bytes(f).contains(short)
+        return rows.assign(maybe=maybe)
 
-    schema = "digest binary, keep long, size long, bucket int, short long, maybe boolean"
-    return batch.select("digest", "keep", "size", "bucket", "short").groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(ask, schema)
+    schema = "digest binary, check long, keep long, size long, bucket int, short long, maybe boolean"
+    return batch.select(*KEY, "keep", "size", "bucket", "short").groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(ask, schema)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Digests of pairs (digest, keep, snap) whose two texts are equal byte for byte.
+def equal_bytes(pairs: DataFrame, docs: DataFrame, hashed: Callable[[Column], Column]) -> DataFrame:
+    """The pairs (digest, check, keep; snap_check, snap) whose two texts, fetched by the ids keep and snap, are equal byte for byte.
 
-    Texts are fetched by id for these pairs alone; where an id is null the digest decides.
+    Rows that share an id with another text are told apart by their hashes.
     """
-    wanted = pairs.select("digest", F.explode(F.array_distinct(F.array("keep", "snap"))).alias("id"))
-    texts = wanted.join(docs.select("id", "text"), "id", "left").select("digest", normalised(F.col("text")).alias("t"))
-    own = texts.where(F.unhex(F.sha2(F.col("t"), 256)) == F.col("digest"))
-    odd = own.groupBy("digest").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("digest")
-    return pairs.join(odd, "digest", "left_anti")
+    wanted = pairs.select(F.explode(F.array("keep", "snap")).alias("w")).distinct()
+    texts = docs.join(wanted, F.col("id").eqNullSafe(F.col("w")), "left_semi").select("id", normalised(F.col("text")).alias("t"), hashed(F.col("text")).alias("h"))
+    texts = texts.select("id", "t", "h.digest", "h.check").groupBy("id", *KEY).agg(F.min("t").alias("t"))
+    a, b = (texts.select(*[F.col(c).alias(f"{side}_{c}") for c in texts.columns]) for side in "ab")
+    own = F.col("keep").eqNullSafe(F.col("a_id")) & (F.col("digest") == F.col("a_digest")) & (F.col("check") == F.col("a_check"))
+    other = F.col("snap").eqNullSafe(F.col("b_id")) & (F.col("digest") == F.col("b_digest")) & (F.col("snap_check") == F.col("b_check"))
+    return pairs.join(a, own).join(b, other).where("a_t = b_t").select(*pairs.columns)
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2, hashed: Callable[[Column], Column] = text_digest) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` for every row of df.
 
-    Rows are dealt into batches by a hash of their id; each batch is screened by the filters of the snapshots before it and then
-    becomes a snapshot itself. Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the
-    largest id stays; rows that share that id too all stay. A null id is smaller than any other. An empty table gives an empty
-    result; other columns are not read, so their names can't clash.
+    Rows are dealt into batches by a hash of their id; each batch is screened by the filters of the snapshots before it, and its
+    new classes then become a snapshot themselves. Texts are equal when identical after lower-casing A-Z; null counts as empty. Of
+    equal texts the largest id stays; rows that share that id too all stay. A null id is smaller than any other. Texts of any
+    length are hashed and compared whole. An empty table gives an empty result; other columns are not read, so their names can't
+    clash. hashed gives (digest, check) of a text; text_sha256 is the digest in hex.
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = write_table(docs.select("id", text_digest("text").alias("digest"), F.pmod(F.xxhash64("id"), F.lit(batches)).alias("batch")), "digests")
+    rows = docs.select("id", hashed(F.col("text")).alias("h")).select("id", "h.digest", "h.check", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int").alias("batch"))
+    rows = write_table(rows, "digests")
     buckets = max(4 * 128, -(-rows.count() // BUCKET_DIGESTS), 2 * partitions(spark))
-    short = F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long")
-    known: DataFrame | None = None  # classes so far
+    known, filters, members = [], [], []
     for b in range(batches):
-        batch = _classes(rows.where(F.col("batch") == b)).withColumn("short", short).withColumn("bucket", F.pmod(F.col("short"), F.lit(buckets)).cast("int"))
-        if known is None:
-            known = write_table(batch.select("digest", "keep", "size", "short", "bucket"), "snapshot")
-            continue
-        screened = write_table(screen(batch, snapshot_filters(known)), "screened")
-        exact = known.select("digest", F.col("keep").alias("snap"), F.col("size").alias("snap_size"))
-        matches = _confirmed(screened.where("maybe").join(exact, "digest").select("digest", "keep", "snap", "size", "snap_size"), docs)
-        joined = matches.select("digest", F.greatest("keep", "snap").alias("new_keep"), (F.col("size") + F.col("snap_size")).alias("new_size"), F.lit(True).alias("hit"))
-        both = known.select("digest", "keep", "size", "short", "bucket").unionByName(screened.select("digest", "keep", "size", "short", "bucket"))
-        # a confirmed class replaces its two parts; both parts get the same values, one is kept
-        merged = both.groupBy("digest").agg(F.max("keep").alias("keep"), F.max("size").alias("size"), F.max("short").alias("short"), F.max("bucket").alias("bucket"))
-        merged = merged.join(joined, "digest", "left").select("digest", F.when(F.col("hit"), F.col("new_keep")).otherwise(F.col("keep")).alias("keep"), F.when(F.col("hit"), F.col("new_size")).otherwise(F.col("size")).alias("size"), "short", "bucket")
-        known = write_table(merged, "snapshot")
-    classes = known.select("digest", F.col("keep").alias("keep_id"), F.col("size").alias("group_size"))
-    out = rows.select("id", "digest").join(classes, "digest")
+        new = _classes(rows.where(F.col("batch") == b), buckets)
+        if known:
+            screened = write_table(screen(new, reduce(DataFrame.union, filters)), "screened")
+            held = reduce(DataFrame.union, known).select("digest", F.col("check").alias("snap_check"), F.col("keep").alias("snap"), "born")
+            met = write_table(equal_bytes(screened.where("maybe").join(held, "digest"), docs, hashed), "met")
+            members.append(met.select(F.lit(b).alias("batch"), *KEY, "keep", "size", "born", F.col("snap_check").alias("root")))
+            # negatives pass as they are; only positives are looked up among what was met
+            new = screened.where("NOT maybe").drop("maybe").unionByName(screened.where("maybe").drop("maybe").join(met.select(*KEY), KEY, "left_anti"))
+        snapshot = write_table(new.select(*KEY, "keep", "size", "short", "bucket", F.lit(b).alias("born")), "snapshot")
+        members.append(snapshot.select(F.col("born").alias("batch"), *KEY, "keep", "size", "born", F.col("check").alias("root")))
+        known.append(snapshot)
+        if b < batches - 1:
+            filters.append(write_table(snapshot_filters(snapshot), "filters"))
+    all_members = reduce(DataFrame.unionByName, members)
+    totals = all_members.groupBy("digest", "born", "root").agg(F.max("keep").alias("keep_id"), F.sum("size").alias("group_size"))
+    classes = write_table(all_members.drop("keep", "size").join(totals, ["digest", "born", "root"]).select("batch", *KEY, "keep_id", "group_size"), "classes")
+    for table in filters:
+        drop_table(table)
+    out = rows.join(classes, ["batch", *KEY])
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
