@@ -21,6 +21,10 @@ from cityloom.llm.common import bounded_sample
 
 WINDOW, LEVEL = 48, 6
 STEPS = np.array([1, 2, 3, 4, 5, 6, 8, 10, 13])
+#: Bytes that a dictionary is given at least.
+LEAST = 512
+#: Bytes that a trained dictionary's header takes at most.
+HEADER = 256
 #: Share of ordinary windows whose difference a window must exceed to be chosen.
 SPARE = 0.005
 
@@ -47,9 +51,15 @@ def _compressor(raw: bytes):
 
 
 def _trained(size: int, samples: list[bytes], k: int) -> bytes:
-    """Dictionary content; where there is too little to train on, the samples themselves."""
+    """Dictionary content; where there is too little to train on, the samples themselves.
+
+    The trainer lays out what it picks first, from the first samples, at the end, and then cuts the end to make room for its header of
+    up to HEADER bytes. Random bytes in front of the samples are what it picks first here, so that they are what is cut.
+    """
+    room = size + HEADER
+    spare = np.random.default_rng(7).bytes(max(len(samples), 1) + sum(map(len, samples)) * 3 * HEADER // (2 * room))
     try:
-        return zstandard.train_dictionary(size, samples, k=k, d=6).as_bytes()
+        return zstandard.train_dictionary(room, [spare[i : i + WINDOW] for i in range(0, len(spare), WINDOW)] + samples, k=k, d=6).as_bytes()
     except zstandard.ZstdError:
         return b"".join(dict.fromkeys(samples))[-size:]
 
@@ -97,11 +107,11 @@ class CompressionClassifier:
         return self
 
 
-def fit(ordinary: list[str], toxic: list[str], ordinary_bytes: int = 110_000, rounds: tuple[int, ...] = (8192, 4096, 2048, 2048), folds: int = 4) -> tuple[CompressionClassifier, np.ndarray, np.ndarray]:
+def fit(ordinary: list[str], toxic: list[str], ordinary_bytes: int = 110_000, rounds: tuple[int, ...] = (8192, 4096, 2048, 1024), folds: int = 4) -> tuple[CompressionClassifier, np.ndarray, np.ndarray]:
     """Train both dictionaries; returns them uncalibrated, with features of ordinary and of toxic texts that no dictionary used for them has seen.
 
     A third of the ordinary texts is held back from the ordinary dictionary. Toxic texts are dealt into folds; each round trains, for
-    every fold, a toxic dictionary of that round's size on the chosen windows of the other folds, and chooses the fold's windows that
+    every fold, a toxic dictionary of at most that round's size on the chosen windows of the other folds, and chooses the fold's windows that
     it shortens by more than all but SPARE of the windows held back. The windows chosen last train the dictionary that stays.
     """
     order = np.random.default_rng(11).permutation(len(ordinary))
@@ -112,8 +122,9 @@ def fit(ordinary: list[str], toxic: list[str], ordinary_bytes: int = 110_000, ro
     fold, text = np.array([f for f, _ in parts], int), [w for _, w in parts]
 
     def trained(mask: np.ndarray, size: int, segment: int) -> CompressionClassifier:
-        """On the windows of mask, equal ones once."""
-        return CompressionClassifier(common, _trained(size, list(dict.fromkeys(text[i] for i in np.flatnonzero(mask))) or [b" "], segment))
+        """On the windows of mask, equal ones once; a dictionary takes a sixteenth of them at most."""
+        own = list(dict.fromkeys(text[i] for i in np.flatnonzero(mask))) or [b" "]
+        return CompressionClassifier(common, _trained(max(LEAST, min(size, sum(map(len, own)) // 16)), own, segment))
 
     chosen, plain = np.ones(len(parts), bool), CompressionClassifier(common, b"").pair()[0]
     plain_held, plain_text = np.array([len(plain(w)) for w in held]), np.array([len(plain(w)) for w in text], int)
