@@ -53,6 +53,11 @@ def standard_table() -> dict[str, str]:
     return out
 
 
+def main_of_sub() -> Column:
+    """Map from a sub class, whole or only its Chinese part, to its main class."""
+    return _table({key: main for main, labels in SUB_LABELS.items() for label in labels for key in (label, label.split("（")[0])})
+
+
 def std_sub(c: Column) -> Column:
     """Standard sub class of a label in any brackets and spacing, by its Chinese part if need be; else, and for null, unknown."""
     table, plain = _table(standard_table()), _plain(c)

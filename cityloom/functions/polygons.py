@@ -257,3 +257,39 @@ def ring_of(*xy: tuple[Column, Column]) -> Column:
     """Closed ring of the given corners."""
     corners = [F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in xy]
     return F.array(*corners, corners[0])
+
+
+def _apart(a: np.ndarray | None, b: np.ndarray | None) -> float | None:
+    """Distance of two rings without closing points: 0 where they meet."""
+    if a is None or b is None or len(a) < 3 or len(b) < 3 or np.isnan(a).any() or np.isnan(b).any():
+        return None
+    p, q = a[:, None], np.roll(a, -1, 0)[:, None]
+    r, s = b[None], np.roll(b, -1, 0)[None]
+    if ((_cross(p, q, r) * _cross(p, q, s) < 0) & (_cross(r, s, p) * _cross(r, s, q) < 0)).any() or _holds(a, b[0]) or _holds(b, a[0]):
+        return 0.0
+
+    def near(point: np.ndarray, start: np.ndarray, end: np.ndarray) -> float:
+        way = end - start
+        long = (way * way).sum(-1)
+        t = np.clip(((point - start) * way).sum(-1) / np.where(long == 0, 1, long), 0, 1)
+        return float(np.sqrt(((point - start - t[..., None] * way) ** 2).sum(-1)).min())
+
+    return min(near(p, r, s), near(r, p, q))
+
+
+def _holds(ring: np.ndarray, point: np.ndarray) -> bool:
+    a, b = ring, np.roll(ring, -1, 0)
+    spans = (a[:, 1] > point[1]) != (b[:, 1] > point[1])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        x = a[:, 0] + (point[1] - a[:, 1]) * (b[:, 0] - a[:, 0]) / (b[:, 1] - a[:, 1])
+    return bool((spans & (point[0] < x)).sum() % 2)
+
+
+def ring_apart(a: Column, b: Column) -> Column:
+    """Distance of two rings; 0 where they overlap or one holds the other, null for rings that are null or have less than three sound points."""
+
+    @F.arrow_udf("double")
+    def gap(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([_apart(p, q) for p, q in zip(rings(x), rings(y))], pa.float64())
+
+    return gap(a, b)

@@ -11,6 +11,7 @@ PUBLIC_HOUSING, PRIVATE_HOUSING, OTHER_HOUSING = "公共房屋（Public Housing
 RESTAURANT, RETAIL, OFFICE, HEALTH, EDUCATION, OTHER_COMMERCIAL = "食肆（Restaurant）", "零售（Retail）", "办公室（Office）", "医疗（Human Health）", "教育（Education）", "其他商业（Other Commercial）"
 OTHER_INDUSTRIAL, NON_MANUFACTURING = "其他工业（Other Industrial）", "非制造业（Non-manufacturing）"
 NOISE, TRANSPORT, TEMPORARY = "绝对噪声相关", "交通基础设施", "临时/杂项设施"
+# Words and labels by which texts are classified.
 #: Registry usage texts, the first group that occurs decides.
 REGISTRY_WORDS = (
     (("寫字樓", "商業", "Office", "Commercial"), COMMERCIAL, OFFICE),
@@ -91,16 +92,19 @@ def fold_script(c: Column, traditional: str, simplified: str) -> Column:
 
 
 def keyword_pattern(keywords: list[str], latin_word_boundary: bool = True) -> str:
-    """One alternation, longest keyword first; Latin keywords match whole words if asked."""
+    """One alternation, longest keyword first, without those of one character; Latin keywords match whole words if asked."""
     parts = []
-    for k in sorted(set(keywords), key=lambda k: (-len(k), k)):
+    for k in sorted({k for k in keywords if len(k.strip()) > 1}, key=lambda k: (-len(k), k)):
         quoted = "".join("\\" + ch if not ch.isalnum() and ch != " " else ch for ch in k.lower())
         parts.append(rf"\b{quoted}\b" if latin_word_boundary and k.isascii() else quoted)
-    return "(?U)" + "|".join(parts)
+    return "(?U)" + ("|".join(parts) or "(?!)")
 
 
-def keyword_hits(c: Column, keywords: list[str], latin_word_boundary: bool = True) -> Column:
-    """All keywords of a text from left to right, the longest at a place."""
+def keyword_hits(c: Column, keywords: list[str], latin_word_boundary: bool = True, fold: tuple[str, str] = ("", "")) -> Column:
+    """All keywords of a text from left to right, the longest at a place; fold (traditional, simplified) is applied to the text and the keywords before."""
+    table = str.maketrans(*fold)
+    keywords = [k.translate(table) for k in keywords]
+    c = fold_script(c, *fold) if fold[0] else c
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(keyword_pattern(keywords, latin_word_boundary)), F.lit(0))
 
 

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cityloom.functions.text import (
-    COMMERCIAL, DEFAULT_SUB, EDUCATION, HEALTH, INDUSTRIAL, MIXED, NOISE, NON_ASSESSED, NON_MANUFACTURING, OFFICE, OTHER_INDUSTRIAL, PRIVATE_HOUSING, RESIDENTIAL, RESTAURANT, RETAIL, TEMPORARY, TRANSPORT, UNKNOWN, keyword_hits,
+    COMMERCIAL, DEFAULT_SUB, EDUCATION, HEALTH, INDUSTRIAL, MIXED, NOISE, NON_ASSESSED, NON_MANUFACTURING, OFFICE, OTHER_COMMERCIAL, OTHER_INDUSTRIAL, PRIVATE_HOUSING, PUBLIC_HOUSING, RESIDENTIAL, RESTAURANT, RETAIL, TEMPORARY, TRANSPORT, UNKNOWN, clean_tag, keyword_hits,
 )
 
-#: Class of a building by its category code; other codes give no evidence.
-CATEGORY = {"1": (RESIDENTIAL, PRIVATE_HOUSING), "2": (RESIDENTIAL, PRIVATE_HOUSING), "3": (RESIDENTIAL, PRIVATE_HOUSING), "4": (COMMERCIAL, OFFICE)}
+# Classes of category codes (others give no evidence), of words of a name, and of tags.
+CATEGORY = {"1": (RESIDENTIAL, PRIVATE_HOUSING), "2": (RESIDENTIAL, PRIVATE_HOUSING), "3": (RESIDENTIAL, PUBLIC_HOUSING), "4": (COMMERCIAL, OTHER_COMMERCIAL)}
 #: Words of a name that decide where nothing else does: word, main, sub, weight.
 NAME_WORDS = (
     ("station", NON_ASSESSED, TRANSPORT, 65), ("restaurant", COMMERCIAL, RESTAURANT, 70), ("school", COMMERCIAL, EDUCATION, 70), ("hospital", COMMERCIAL, HEALTH, 70), ("garden", RESIDENTIAL, PRIVATE_HOUSING, 60),
@@ -23,7 +23,17 @@ TAG_CLASS = {
     "hospital": (COMMERCIAL, HEALTH), "clinic": (COMMERCIAL, HEALTH), "industrial": (INDUSTRIAL, OTHER_INDUSTRIAL), "warehouse": (INDUSTRIAL, NON_MANUFACTURING),
     "apartments": (RESIDENTIAL, PRIVATE_HOUSING), "residential": (RESIDENTIAL, PRIVATE_HOUSING), "house": (RESIDENTIAL, PRIVATE_HOUSING), "yes": (RESIDENTIAL, PRIVATE_HOUSING),
 }
+#: Tags that make a POI of a podium commercial by themselves.
+PODIUM_TAGS = {
+    "restaurant": RESTAURANT, "fast_food": RESTAURANT, "cafe": RESTAURANT, "bakery": RESTAURANT,
+    "retail": RETAIL, "convenience": RETAIL, "supermarket": RETAIL, "mall": RETAIL, "optician": RETAIL, "eyewear_and_optician": RETAIL, "fruits_and_vegetables": RETAIL,
+    "bank": OTHER_COMMERCIAL, "bank_credit_union": OTHER_COMMERCIAL, "real_estate": OTHER_COMMERCIAL, "hairdresser": OTHER_COMMERCIAL, "hair_salon": OTHER_COMMERCIAL, "beauty": OTHER_COMMERCIAL, "employment_agencies": OTHER_COMMERCIAL,
+}
+#: Building tags that are housing where a feature has no other tag, and what marks public housing in a name.
+HOUSING_TAGS, PUBLIC_MARK = ("apartments", "residential", "house", "yes"), "邨"
 SCHEMA = ("bid", "src", "main", "sub", "conf", "weight")
+#: Sources of evidence in the order in which the first of equal weight gives the sub class.
+SOURCES = ("GFA", "BDBIAR", "OSM", "LandsD_Category", "Keyword", "Name_Keyword")
 
 
 def looked_up(c: Column, table: dict[str, tuple[str, ...]], pick: int) -> Column:
@@ -39,16 +49,32 @@ def ev_gfa(gfa: DataFrame) -> DataFrame:
     total = F.col("domestic") + F.col("nondomestic")
     share = F.col("domestic") / total
     main = F.when(share > 0.99, RESIDENTIAL).when(share < 0.01, COMMERCIAL).otherwise(MIXED)
-    sub = F.when(share > 0.99, PRIVATE_HOUSING).when(share < 0.01, OFFICE)
-    return _rows(gfa.where(total > 20), "GFA", main, sub, F.lit(0.95), F.when(share < 0.01, 80).when(share > 0.99, 100).otherwise(100))
+    shop = share < 0.01
+    return _rows(gfa.where(total > 20), "GFA", main, F.when(share > 0.99, PRIVATE_HOUSING), F.when(shop, 0.9).otherwise(1.0), F.when(shop, 80).otherwise(100))
 
 
 def ev_registry(matched: DataFrame, main: Column, sub: Column) -> DataFrame:
-    return _rows(matched, "Registry", main, sub, F.lit(0.6), F.lit(60))
+    return _rows(matched, "BDBIAR", main, sub, F.lit(0.6), F.lit(60))
 
 
 def ev_category(buildings: DataFrame) -> DataFrame:
-    return _rows(buildings, "Category", looked_up(F.col("category"), CATEGORY, 0), looked_up(F.col("category"), CATEGORY, 1), F.lit(0.5), F.lit(50))
+    return _rows(buildings, "LandsD_Category", looked_up(F.col("category"), CATEGORY, 0), looked_up(F.col("category"), CATEGORY, 1), F.lit(0.5), F.lit(50))
+
+
+def crowd_class(features: DataFrame, keywords: dict[str, tuple[str, str]], building_name: Column) -> DataFrame:
+    """features (shop, amenity, building, name) with main and sub.
+
+    The first keyword in shop, amenity, building and name decides. A feature without amenity and shop is housing if its building
+    tag says so, public housing if its name or the building's bears the mark of an estate; without a building tag it is unknown.
+    """
+    tag = {c: clean_tag(F.col(c)) for c in ("shop", "amenity", "building")}
+    text = F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("shop", "amenity", "building", "name")])
+    first = F.get(keyword_hits(text, list(keywords)), F.lit(0))
+    bare, home = (tag["amenity"] == "") & (tag["shop"] == ""), tag["building"].isin(*HOUSING_TAGS)
+    public = F.contains(F.coalesce("name", F.lit("")), F.lit(PUBLIC_MARK)) | F.contains(F.coalesce(building_name, F.lit("")), F.lit(PUBLIC_MARK))
+    main = F.when(bare & home, RESIDENTIAL).when(bare & (tag["building"] == ""), UNKNOWN).otherwise(looked_up(first, keywords, 0))
+    sub = F.when(bare & home, F.when(public, PUBLIC_HOUSING).otherwise(PRIVATE_HOUSING)).otherwise(looked_up(first, keywords, 1))
+    return features.withColumns({"main": main, "sub": sub})
 
 
 def crowd_votes(features: DataFrame) -> DataFrame:
@@ -65,7 +91,7 @@ def ev_crowd(features: DataFrame) -> DataFrame:
     best = subs.groupBy("bid").agg(F.min(F.struct((-F.round("votes", 9)).alias("v"), F.col("sub").alias("sub"))).alias("s"))
     both = top.join(best, "bid", "left")
     weight = F.when(F.col("total") < 0.1, 40.0).otherwise(75 + F.least(F.col("total") * 20, F.lit(20.0)))
-    return _rows(both, "Crowd", F.col("m.main"), F.col("s.sub"), F.least("total", F.lit(0.9)), weight)
+    return _rows(both, "OSM", F.col("m.main"), F.col("s.sub"), F.least("total", F.lit(0.9)), weight)
 
 
 # Words by which a keyword counts for more or less.
@@ -100,42 +126,70 @@ def ev_name(buildings: DataFrame, evidence: DataFrame, name: Column) -> DataFram
     low = F.lower(F.coalesce(name, F.lit("")))
     hits = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.struct(F.lit(-weight).alias("w"), F.lit(n).alias("n"), F.lit(main).alias("main"), F.lit(sub).alias("sub"))) for n, (w, main, sub, weight) in enumerate(NAME_WORDS)]))
     bare = buildings.where("category = '9'").join(evidence.select("bid").distinct(), "bid", "left_anti").withColumn("k", F.array_min(hits))
-    return _rows(bare.where("k IS NOT NULL"), "Name", F.col("k.main"), F.col("k.sub"), -F.col("k.w") / 100, -F.col("k.w"))
+    return _rows(bare.where("k IS NOT NULL"), "Name_Keyword", F.col("k.main"), F.col("k.sub"), -F.col("k.w") / 100, -F.col("k.w"))
 
 
 def score_board(evidence: DataFrame) -> DataFrame:
-    """Per building the two mains with the largest summed weight (ties by name) and the weight of all evidence."""
-    sums = evidence.groupBy("bid", "main").agg(F.sum("weight").alias("score"))
+    """Per building the two mains with the largest summed weight (ties by name), the weight of all evidence, and of the winner its sources and the sub class of its heaviest evidence."""
+    order = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in SOURCES]), F.col("src")), F.lit(0))
+    heaviest = F.min(F.when(F.col("sub").isNotNull() & (F.col("sub") != UNKNOWN), F.struct((-F.col("weight")).alias("w"), order.alias("o"), F.col("sub").alias("sub"))))
+    sums = evidence.groupBy("bid", "main").agg(F.sum("weight").alias("score"), F.array_join(F.array_sort(F.collect_set("src")), "+").alias("sources"), heaviest["sub"].alias("sub"))
     rank = F.row_number().over(Window.partitionBy("bid").orderBy(F.round("score", 9).desc(), "main"))
     ranked = sums.withColumn("rn", rank)
     at = lambda n, c: F.max(F.when(F.col("rn") == n, F.col(c)))
-    return ranked.groupBy("bid").agg(at(1, "main").alias("winner"), at(1, "score").alias("score"), at(2, "main").alias("runner_up"), at(2, "score").alias("runner_score"), F.sum("score").alias("total"))
+    return ranked.groupBy("bid").agg(
+        at(1, "main").alias("winner"), at(1, "score").alias("score"), at(2, "main").alias("runner_up"), at(2, "score").alias("runner_score"), F.sum("score").alias("total"), at(1, "sources").alias("sources"), at(1, "sub").alias("sub")
+    )
 
 
 def fusion(buildings: DataFrame, evidence: DataFrame) -> DataFrame:
-    """``bid, main, conf, conflicted, mixed, source`` for every building.
+    """``bid, main, sub, conf, conflicted, mixed, source`` for every building, before its shares are worked out.
 
     A floor area that says mixed decides alone. Without evidence: unknown. Evidence of less than 30 in all: the category's class.
-    A winner of less than 1.5 times the runner-up, neither of them mixed, is a conflict and becomes mixed.
+    A winner of less than 1.5 times the runner-up, neither of them mixed, is a conflict and becomes mixed. Else the source names
+    all sources of the winner, and the sub class is that of its heaviest evidence, or the default one.
     """
     by_area = evidence.where((F.col("src") == "GFA") & (F.col("main") == MIXED)).select("bid", F.lit(True).alias("area_mixed")).distinct()
     b = buildings.select("bid", "category").join(score_board(evidence), "bid", "left").join(by_area, "bid", "left")
-    fallback = F.coalesce(looked_up(F.col("category"), CATEGORY, 0), F.lit(UNKNOWN))
     conflict = F.coalesce((F.col("score") < 1.5 * F.col("runner_score")) & (F.col("winner") != MIXED) & (F.col("runner_up") != MIXED), F.lit(False))
-    case = F.when(F.col("area_mixed"), "Area").when(F.col("winner").isNull(), "None").when(F.col("total") < 30, "Category").when(conflict, "Conflict").otherwise("Evidence")
-    b = b.withColumn("source", case)
-    main = F.when(F.col("source").isin("Area", "Conflict"), MIXED).when(F.col("source") == "None", UNKNOWN).when(F.col("source") == "Category", fallback).otherwise(F.col("winner"))
+    b = b.withColumn("case", F.when(F.col("area_mixed"), "area").when(F.col("winner").isNull(), "none").when(F.col("total") < 30, "little").when(conflict, "conflict").otherwise("won"))
+    case = lambda *names: F.col("case").isin(*names)
+    fallback = lambda pick: F.coalesce(looked_up(F.col("category"), CATEGORY, pick), F.lit(UNKNOWN))
+    main = F.when(case("area", "conflict"), MIXED).when(case("none"), UNKNOWN).when(case("little"), fallback(0)).otherwise(F.col("winner"))
+    default = F.coalesce(looked_up(F.col("winner"), {k: (v,) for k, v in DEFAULT_SUB.items() if k != NON_ASSESSED}, 0), F.lit(UNKNOWN))
+    sub = F.when(main == MIXED, MIXED).when(case("none"), UNKNOWN).when(case("little"), fallback(1)).otherwise(F.coalesce("sub", default))
+    source = F.when(case("area"), "GFA_Mixed").when(case("none"), "Unknown").when(case("little"), "低证据推断").when(main == MIXED, "Fusion_Inferred_Mixed").otherwise(F.col("sources"))
     base = F.least(F.col("score") / 120, F.lit(0.99))
-    conf = F.when(F.col("source") == "Area", 0.95).when(F.col("source") == "None", 0.0).when(F.col("source") == "Category", 0.4).when(F.col("source") == "Conflict", base * 0.7).otherwise(base)
-    return b.select("bid", main.alias("main"), F.round(conf, 6).alias("conf"), (F.col("source") == "Conflict").alias("conflicted"), (main == MIXED).alias("mixed"), "source")
+    conf = F.when(case("area"), 0.95).when(case("none"), 0.0).when(case("little"), 0.4).when(case("conflict"), base * 0.7).otherwise(base)
+    return b.select("bid", main.alias("main"), sub.alias("sub"), F.round(conf, 6).alias("conf"), case("conflict").alias("conflicted"), (main == MIXED).alias("mixed"), source.alias("source"))
+
+
+def podium_class(amenity: Column, shop: Column, main: Column, sub: Column) -> tuple[Column, Column, Column]:
+    """(commercial, sub class, reason) of a POI by its tags; main and sub are what else is known of it. Untagged ones are skipped."""
+    a, s = F.lower(clean_tag(amenity)), F.lower(clean_tag(shop))
+    table = F.create_map(*[F.lit(x) for p in PODIUM_TAGS.items() for x in p])
+    tag = F.when(a != "", a).otherwise(s)
+    known = F.coalesce((main == COMMERCIAL) & (sub != UNKNOWN), F.lit(False))
+    found = F.coalesce(table[a], table[s], F.when((tag != "") & known, sub))
+    reason = F.when(tag == "", "skip:no_amenity_shop").when(table[a].isNotNull(), F.concat(F.lit("amenity:"), a)).when(table[s].isNotNull(), F.concat(F.lit("shop:"), s)).when(known, F.concat(F.lit("fallback:"), tag)).otherwise(F.concat(F.lit("unmapped:"), tag))
+    return found.isNotNull(), found, reason
 
 
 def podium_override(fused: DataFrame, buildings: DataFrame, pois: DataFrame) -> DataFrame:
-    """Podiums won by residential become commercial if at least two POIs and half of the tagged ones (bid, main) are commercial."""
-    counts = pois.groupBy("bid").agg(F.sum(F.when(F.col("main") == COMMERCIAL, 1).otherwise(0)).alias("hits"), F.count("main").alias("tagged"))
+    """fused with ``overridden``: podiums won by residential become commercial if at least two POIs, and half of those with an amenity or a shop, are commercial.
+
+    pois are ``bid, amenity, shop, main, sub``. The sub class is the one of most such POIs (ties by name), the confidence that of
+    a weight of 95 at least, and the override is the only source.
+    """
+    commercial, sub, reason = podium_class(F.col("amenity"), F.col("shop"), F.col("main"), F.col("sub"))
+    tagged = pois.select("bid", commercial.alias("hit"), sub.alias("p_sub")).where(~reason.startswith("skip"))
+    per_sub = tagged.groupBy("bid", "p_sub").agg(F.count("*").alias("n"), F.count_if("hit").alias("h"))
+    counts = per_sub.groupBy("bid").agg(F.sum("h").alias("hits"), F.sum("n").alias("tagged"), F.min(F.when(F.col("h") > 0, F.struct((-F.col("h")).alias("n"), "p_sub")))["p_sub"].alias("p_sub"))
     j = fused.join(buildings.select("bid", "structure_type"), "bid").join(counts, "bid", "left")
     turn = F.coalesce((F.col("structure_type") == "P") & (F.col("main") == RESIDENTIAL) & (F.col("hits") >= 2) & (F.col("hits") >= 0.5 * F.col("tagged")), F.lit(False))
-    return j.select("bid", F.when(turn, COMMERCIAL).otherwise(F.col("main")).alias("main"), F.when(turn, F.greatest("conf", F.lit(0.791667))).otherwise(F.col("conf")).alias("conf"), turn.alias("overridden"))
+    j = j.withColumn("overridden", turn)
+    new = {"main": F.lit(COMMERCIAL), "sub": F.col("p_sub"), "conf": F.greatest("conf", F.round(F.lit(95 / 120), 6)), "source": F.lit("Podium_Commercial_Override")}
+    return j.select("bid", *[F.when(F.col("overridden"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in fused.columns if c != "bid"], "overridden")
 
 
 def sub_shares(weighted: DataFrame) -> DataFrame:

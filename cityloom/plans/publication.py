@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cityloom.functions import geometry as geo, labels as lb, polygons as pg, text as tx
-from cityloom.operators import audit, evidence as ev, models, proportions as pr, spatial as sp, verdicts as vd
+from cityloom.operators import audit, evidence as ev, models, proportions as pr, records as rc, spatial as sp, verdicts as vd
 from cityloom.plans import queries as q
 from cityloom.plans.queries import B, Views, query
 
@@ -87,22 +87,25 @@ def poi_trace(v):
     return told.groupBy("bid").agg(F.array_join(F.transform(rows, lambda r: r["label"]), " | ").alias("trace"))
 
 
-_TAXONOMY = "; ".join(f"{m}: {', '.join(subs)}" for m, subs in lb.SUB_LABELS.items())
+_STRONG_NAMES = ("商場", "Plaza", "工廠")
+_TAXONOMY = rc.taxonomy_text(lb.SUB_LABELS, _STRONG_NAMES)
+_TAXONOMY_SQL = "'||chr(10)||'".join(["- Strong names: 商場, 工廠"] + [f"- {m}: {', '.join(subs)}" for m, subs in lb.SUB_LABELS.items()])
 
 
-@query(q._EV + q._FUSED + f" select bid, 'Taxonomy:'||chr(10)||'{_TAXONOMY}'||chr(10)||'Building: '||coalesce(name_en,'')||chr(10)||'Present class: '||main||chr(10)||'Answer in JSON.' as prompt from fu join fx_buildings using (bid) where length(regexp_replace(coalesce(name_en,''), '[0-9\\s\\W_]+', '', 'g')) > 1 and (main in ('未知类别','混合用途') or conflicted)", *q._EV_VIEWS)
+@query(q._EV + q._FUSED + q._POI + q._POI_TRACE + f" select bid, 'Label a building.'||chr(10)||'Name: '||name_en||chr(10)||'Structure: '||structure_type||chr(10)||'POIs: '||case when pi.bid is null then 'No record' else 'x[y]' end||chr(10)||'Floors: '||coalesce(storeys,'Unknown')||chr(10)||'Category code: '||category||chr(10)||'Present class: '||main||chr(10)||'{_TAXONOMY_SQL}'||chr(10)||'Answer in JSON: reasoning, main_class, sub_class, confidence from 0 to 1.' as prompt from fu join fx_buildings using (bid) left join pi using (bid) where {q._OPEN}", *q._EV_VIEWS, "pois")
 def review_prompts(v):
-    j = q.fused(v).join(v.buildings.select("bid", "name_en"), "bid")
-    asked = vd.review_candidates(j, v.buildings.where("false"), "name_en", "main", "conflicted")
-    return vd.prompts(asked, F.col("name_en"), F.col("main"), _TAXONOMY).select("bid", "prompt")
+    rows = q.review_rows(v).join(v.buildings.select("bid", "structure_type", "storeys", "category"), "bid")
+    asked = vd.review_candidates(rows, v.buildings.where("false"), "name_en", "official", "pois")
+    given = {"Name": F.col("name_en"), "Structure": F.col("structure_type"), "POIs": F.coalesce("pois", F.lit("No record")), "Floors": F.coalesce("storeys", F.lit("Unknown")), "Category code": F.col("category"), "Present class": F.col("main")}
+    return vd.prompts(asked, given, _TAXONOMY).select("bid", "prompt")
 
 
 # Evidence of categories, keywords and names.
 
 
-@query(" select bid, case when category='4' then '商业类别' else '住宅类别' end as main, 50.0::double as weight from fx_buildings where category in ('1','2','3','4')", "buildings")
+@query(" select bid, case when category='4' then '商业类别' else '住宅类别' end as main, case category when '3' then '公共房屋（Public Housing）' when '4' then '其他商业（Other Commercial）' else '私人房屋（Private Housing）' end as sub, 0.5::double as conf, 50.0::double as weight from fx_buildings where category in ('1','2','3','4')", "buildings")
 def ev_category(v):
-    return ev.ev_category(v.buildings).select("bid", "main", "weight")
+    return ev.ev_category(v.buildings).select("bid", "main", "sub", "conf", "weight")
 
 
 #: Words of the stand-in descriptions as keywords: word, main, sub.
@@ -139,8 +142,8 @@ def _weighted_features(v: Views) -> DataFrame:
     return polys.unionByName(pois)
 
 
-_SHARES = (
-    q._GFA + q._POI + f""", ft as (select bid, case f.building when 'industrial' then '工业类别' else '住宅类别' end as main, case f.building when 'industrial' then '其他工业（Other Industrial）' else '私人房屋（Private Housing）' end as sub, least({q._OVER},1.0::double)*((f.x2-f.x1)*(f.y2-f.y1)) as w from fx_buildings b join fx_polys f on {q._MEET} where {q._OVER} >= 0.2
+_SHARE_BODY = (
+    q._POI + f""", ft as (select bid, case f.building when 'industrial' then '工业类别' else '住宅类别' end as main, case f.building when 'industrial' then '其他工业（Other Industrial）' else '私人房屋（Private Housing）' end as sub, least({q._OVER},1.0::double)*((f.x2-f.x1)*(f.y2-f.y1)) as w from fx_buildings b join fx_polys f on {q._MEET} where {q._OVER} >= 0.2
  union all select bid, main, sub, 0.3::double from pc where main is not null)
 , nz as (select bid, domestic/(domestic+nondomestic) as dr, nondomestic/(domestic+nondomestic) as nr from g where domestic+nondomestic > 0)
 , fw as (select bid, sum(w) filter (main='商业类别') as c, sum(w) as t from ft where main in ('商业类别','工业类别') group by bid)
@@ -148,6 +151,7 @@ _SHARES = (
 , mm as (select * from ms where share > 1e-12), ss as (select bid, main, sub, sum(w) as w from ft group by 1,2,3), sp as (select bid, main, sub, w/sum(w) over (partition by bid, main) as part from ss)
 """
 )
+_SHARES = q._GFA + _SHARE_BODY
 _SHARE_VIEWS = ("buildings", "permits", "permit_links", "polys", "pois")
 
 
@@ -170,13 +174,86 @@ def prop_final(v):
     return pr.prop_final(rows, q.building_pois(v).select("bid", "sub"))
 
 
+_FULL = q._EV + q._FUSED + q._PODIUM + _SHARE_BODY + f"""
+, c1 as (select bid, sub, round(count(*)/sum(count(*)) over (partition by bid), 4)::double as part from pc where sub is not null group by bid, sub)
+, x1 as (select po.bid, po.main, case when po.main='商业类别' and c1.sub is not null then c1.sub when po.sub='未知类别' then {q._DEFAULT.format('po.main')} else po.sub end as sub, case when po.main='商业类别' then coalesce(part, 1.0) else 1.0 end::double as share from po left join c1 on c1.bid=po.bid and po.main='商业类别' where po.main in ('住宅类别','商业类别','工业类别','非评估类别'))
+, x2 as (select mm.bid, mm.main, coalesce(sp.sub, {q._DEFAULT.format('mm.main')}) as sub, mm.share*coalesce(part, 1.0) as share from mm join po on po.bid=mm.bid and po.main='混合用途' left join sp on sp.bid=mm.bid and sp.main=mm.main where po.source <> 'GFA_Mixed' or mm.share*coalesce(part, 1.0) > 0.01)
+, pf as (select bid, case when fl <= 1 then 1.0 else 1.0/fl end::double as part from (select bid, coalesce(nullif(try_cast(storeys as double), 0), 5) as fl from fx_buildings) join po using (bid) where po.main='混合用途' and bid not in (select bid from nz))
+, s1 as (select bid, sub, count(*)/sum(count(*)) over (partition by bid) as share from pc where sub is not null group by bid, sub)
+, x3 as (select bid, '商业类别' as main, coalesce(sub, '其他商业（Other Commercial）') as sub, part*coalesce(share, 1) as share from pf left join s1 using (bid) union all select bid, '住宅类别', '私人房屋（Private Housing）', 1-part from pf where part < 1)
+, xs as (select * from (select * from x1 union all select * from x2 union all select * from x3) where share > 1e-12)
+, xn as (select bid, string_agg(sub, '-' order by round(share,9) desc, sub) as subs, first(sub order by round(share,9) desc, sub) as top from xs group by bid)
+, fin as (select po.bid, main, case when main='混合用途' then coalesce(subs, main) else coalesce(top, po.sub) end as sub, conf, conflicted, mixed, source from po left join xn using (bid))
+"""
+_FULL_VIEWS = (*q._EV_VIEWS, "pois")
+
+
+def decided(v: Views) -> DataFrame:
+    """Decided buildings: evidence, podium override, shares, and the sub class that these give."""
+    board = ev.podium_override(q.fused(v), v.buildings, q.building_pois(v)).drop("overridden")
+    n = F.coalesce(F.nullif(tx.safe_number(F.col("storeys")), F.lit(0.0)), F.lit(5.0))
+    return pr.with_shares(board, q.gfa(v), _weighted_features(v), v.buildings, n, q.building_pois(v))
+
+
+@query(_FULL + " select bid, main, sub, conf, conflicted, mixed, source from fin", *_FULL_VIEWS)
+def fusion(v):
+    return decided(v).drop("shares")
+
+
+@query(_FULL + " select bid, main, sub, round(share, 6) as share from xs", *_FULL_VIEWS)
+def fusion_shares(v):
+    return decided(v).select("bid", F.inline("shares")).select("bid", "main", "sub", F.round("share", 6).alias("share"))
+
+
+_FLOORS = "case when try_cast(storeys as double) > 0 then try_cast(storeys as double) when top_height > 0 then greatest(round_even((case when base_height > 0 then top_height-base_height else top_height end)/3, 0), 1.0) else 5.0 end::double"
+_DEALT = _FULL + f", tg as (select bid, (x2-x1)*(y2-y1)*{_FLOORS} as gfa from fx_buildings), dl as (select bid, coalesce(xs.main, '未知类别') as main, coalesce(xs.sub, '未知类别') as sub, gfa*coalesce(share, 1.0) as w from tg left join xs using (bid))"
+
+
+def dealt_areas(v: Views) -> DataFrame:
+    """``bid, main, sub, weight``: footprint times floors of every building, dealt by its shares."""
+    total = v.buildings.select("bid", (geo.box_area(*(F.col(c) for c in B)) * q.floors()).alias("gfa"))
+    rows = total.join(decided(v).select("bid", "shares"), "bid").select("bid", "gfa", F.inline_outer("shares"))
+    return rows.select("bid", F.coalesce("main", F.lit(tx.UNKNOWN)).alias("main"), F.coalesce("sub", F.lit(tx.UNKNOWN)).alias("sub"), (F.col("gfa") * F.coalesce("share", F.lit(1.0))).alias("weight"))
+
+
+@query(_DEALT + " select main, sub, round(sum(w), 2) as gfa from dl group by main, sub", *_FULL_VIEWS)
+def gfa_by_class(v):
+    return dealt_areas(v).groupBy("main", "sub").agg(F.round(F.sum("weight"), 2).alias("gfa"))
+
+
+_ZONED = _DEALT + f", zb as (select b.bid, zone_label from ({q._CENTRE}) b left join (select zone_label, x1 as zx1, y1 as zy1, x2 as zx2, y2 as zy2 from fx_zones) on cx > zx1 and cx < zx2 and cy > zy1 and cy < zy2)"
+
+
+@query(_ZONED + " select round(sum(w) filter (main='商业类别' and (zone_label in ('C','C/R','CDA') or zone_label like 'C(%')) / sum(w) filter (main='商业类别'), 6) as commercial, round(sum(w) filter (main='住宅类别' and (regexp_matches(zone_label, '^R\\([A-E]\\)') or zone_label in ('V','C/R','CDA'))) / sum(w) filter (main='住宅类别'), 6) as residential from zb join dl using (bid)", *_FULL_VIEWS, "zones")
+def zoning_alignment(v):
+    zoned = sp.zone_of_point(sp.centroid(v.buildings).select("bid", "px", "py"), v.zones, "bid", "px", "py").select("bid", F.coalesce("zone_label", F.lit("")).alias("z"))
+    j = zoned.join(dealt_areas(v), "bid")
+    share = lambda main, ok: F.round(F.sum(F.when((F.col("main") == main) & ok, F.col("weight"))) / F.sum(F.when(F.col("main") == main, F.col("weight"))), 6)
+    return j.agg(share(tx.COMMERCIAL, F.col("z").rlike(r"^(?:C|C/R|CDA)$|^C\(")).alias("commercial"), share(tx.RESIDENTIAL, F.col("z").rlike(r"^R\([A-E]\)|^(?:V|C/R|CDA)$")).alias("residential"))
+
+
+# Names of the published columns.
+_PUBLIC = {"bid": "Building_ID_建筑ID", "name_en": "Building_Name_EN_建筑英文名", "structure_type": "Structure_Type_建筑类型", "floors": "Estimated_Floors_估算层数", "main": "UBEM_Main_Class_主类别", "sub": "UBEM_Sub_Class_子类别", "conf": "Confidence_置信度", "source": "Source_来源"}
+_CANON_SQL = "case sub " + " ".join(f"when '{k}' then '{x}'" for k, x in sorted(lb.canonical_table().items())) + " else sub end"
+
+
+@query(_FULL + f" select bid as \"{_PUBLIC['bid']}\", name_en as \"{_PUBLIC['name_en']}\", structure_type as \"{_PUBLIC['structure_type']}\", {_FLOORS} as \"{_PUBLIC['floors']}\", case main when '住宅类别' then 'Residential_住宅类别' when '商业类别' then 'Commercial_商业类别' when '工业类别' then 'Industrial_工业类别' when '混合用途' then 'Mixed-use_混合用途' when '非评估类别' then 'Non-assessed_非评估类别' else 'Unknown_未知类别' end as \"{_PUBLIC['main']}\", array_to_string(list_transform(string_split(replace(sub, 'Non-m', 'Non~m'), '-'), lambda s: case replace(s, 'Non~m', 'Non-m') {_CANON_SQL.removeprefix('case sub').removesuffix('else sub end')} else replace(s, 'Non~m', 'Non-m') end), '-') as \"{_PUBLIC['sub']}\", conf as \"{_PUBLIC['conf']}\", source as \"{_PUBLIC['source']}\", 'POLYGON (('||printf('%.2f %.2f, %.2f %.2f, %.2f %.2f, %.2f %.2f, %.2f %.2f', x1, y1, x2, y1, x2, y2, x1, y2, x1, y1)||'))' as geometry from fin join fx_buildings using (bid)", *_FULL_VIEWS)
+def public_dataset(v):
+    """The published table: renamed, in order, labels in both languages, with geometry."""
+    rows = decided(v).join(v.buildings.select("bid", "name_en", "structure_type", q.floors().alias("floors"), *B), "bid")
+    rows = rows.withColumns({"main": tx.canon_main(F.col("main")), "sub": F.when(F.col("sub") == tx.UNKNOWN, "Unknown_未知类别").otherwise(lb.canon_subs(F.col("sub")))})
+    corner = [F.format_string("%.2f %.2f", *(F.col(c) for c in p)) for p in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"), ("x1", "y1"))]
+    shape = F.concat(F.lit("POLYGON (("), F.concat_ws(", ", *corner), F.lit("))"))
+    return rows.withColumn("geometry", shape).select(*_PUBLIC, "geometry").withColumnsRenamed(_PUBLIC)
+
+
 # Audits, repairs, POI fusion.
 
 
-@query(q._V + ", f as (select bid, case when how='taken' then case when vm='食肆（Restaurant）' then '商业类别' else vm end else main end as fm from h) select h.bid, main as s3_main, vm as s4_main, fm as s5_main from h join f using (bid) where vc >= 0.8 order by sha256(h.bid::varchar), h.bid::varchar limit 100", "buildings")
+@query(q._V + ", f as (select bid, case when how='taken' then tm else main end as fm from h) select h.bid, main as s3_main, vm as s4_main, fm as s5_main from h join f using (bid) where vc >= 0.8 order by sha256(h.bid::varchar), h.bid::varchar limit 100", "buildings")
 def audit_semantic(v):
     rows = q.verdict_rows(v)
-    sheet = audit.audit_semantic(rows, rows, vd.verdict_merge(rows, F.create_map(F.lit(tx.RESTAURANT), F.lit(tx.COMMERCIAL))))
+    sheet = audit.audit_semantic(rows, rows, vd.verdict_merge(rows, lb.main_of_sub()))
     return sheet.select("bid", "s3_main", "s4_main", "s5_main")
 
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cityloom.functions import alignment, geometry as geo, text as tx
-from cityloom.operators import evidence as ev, models, spatial as sp, verdicts as vd
+from cityloom.functions import alignment, geometry as geo, labels as lb, text as tx
+from cityloom.operators import evidence as ev, models, records as rc, spatial as sp, verdicts as vd
 from cityloom.plans.views import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -440,60 +440,75 @@ def label_english(v):
 _EV = (
     _GFA
     + f"""
-, e1 as (select bid, case when domestic/(domestic+nondomestic) > 0.99 then '住宅类别' when domestic/(domestic+nondomestic) < 0.01 then '商业类别' else '混合用途' end as main, case when domestic/(domestic+nondomestic) < 0.01 then 80.0 else 100.0 end as weight from g where domestic+nondomestic > 20 and bid % 3 = 0)
+, ga as (select bid, domestic/(domestic+nondomestic) as share from g where domestic+nondomestic > 20)
+, e1 as (select bid, case when share > 0.99 then '住宅类别' when share < 0.01 then '商业类别' else '混合用途' end as main, case when share > 0.99 then '私人房屋（Private Housing）' end as sub, case when share < 0.01 then 0.9 else 1.0 end as conf, case when share < 0.01 then 80.0 else 100.0 end as weight from ga join fx_buildings using (bid))
 , n as (select * from {_NEAR} where rn = 1)
-, e2 as (select bid, case usage_class when 'MACHINERY' then '工业类别' when 'BUILDING' then '住宅类别' when 'HOUSEHOLD' then '商业类别' end as main, 60.0 as weight from n join fx_registry using (rid) where usage_class in ('MACHINERY','BUILDING','HOUSEHOLD'))
-, cv as (select bid, case f.building when 'industrial' then '工业类别' else '住宅类别' end as main, sum(least({_OVER},1.0::double)) as v from fx_buildings b join fx_polys f on {_MEET} where {_OVER} >= 0.2 group by 1,2)
+, e2 as (select bid, case usage_class when 'MACHINERY' then '工业类别' when 'BUILDING' then '住宅类别' when 'HOUSEHOLD' then '商业类别' end as main, case usage_class when 'MACHINERY' then '其他工业（Other Industrial）' when 'BUILDING' then '私人房屋（Private Housing）' when 'HOUSEHOLD' then '办公室（Office）' end as sub, 0.6 as conf, 60.0 as weight from n join fx_registry using (rid) where usage_class in ('MACHINERY','BUILDING','HOUSEHOLD'))
+, cf as (select bid, case f.building when 'industrial' then '工业类别' else '住宅类别' end as main, case f.building when 'industrial' then '其他工业（Other Industrial）' else '私人房屋（Private Housing）' end as sub, least({_OVER},1.0::double) as v from fx_buildings b join fx_polys f on {_MEET} where {_OVER} >= 0.2)
+, cv as (select bid, main, sum(v) as v from cf group by 1,2)
+, cs as (select bid, sub, row_number() over (partition by bid order by round(sum(v),9) desc, sub) rn from cf group by 1,2)
 , ct as (select bid, main, row_number() over (partition by bid order by round(v,9) desc, main) rn, sum(v) over (partition by bid) t from cv)
-, e3 as (select bid, main, case when t < 0.1 then 40.0 else 75+least(t*20,20.0::double) end as weight from ct where rn = 1)
-, e4 as (select bid, case when category in ('1','2','3') then '住宅类别' else '商业类别' end as main, 50.0 as weight from fx_buildings where category in ('1','2','3','4'))
-, e as (select 'GFA' as src, bid, main, weight::double as weight from e1 union all select 'Registry', bid, main, weight::double from e2 union all select 'Crowd', bid, main, weight::double from e3 union all select 'Category', bid, main, weight::double from e4)
-, sb as (select bid, main, sum(weight) as score, row_number() over (partition by bid order by round(sum(weight),9) desc, main) rn, sum(sum(weight)) over (partition by bid) total from e group by bid, main)
-, w as (select bid, max(main) filter (rn=1) as winner, max(score) filter (rn=1) as score, max(main) filter (rn=2) as runner_up, max(score) filter (rn=2) as runner_score, max(total) as total from sb group by bid)
+, e3 as (select ct.bid, main, sub, least(t, 0.9) as conf, case when t < 0.1 then 40.0 else 75+least(t*20,20.0::double) end as weight from ct join cs on cs.bid=ct.bid and cs.rn=1 where ct.rn = 1)
+, e4 as (select bid, case when category in ('1','2','3') then '住宅类别' else '商业类别' end as main, case category when '3' then '公共房屋（Public Housing）' when '4' then '其他商业（Other Commercial）' else '私人房屋（Private Housing）' end as sub, 0.5 as conf, 50.0 as weight from fx_buildings where category in ('1','2','3','4'))
+, e as (select 1 as o, 'GFA' as src, bid, main, sub, conf::double as conf, weight::double as weight from e1 union all select 2, 'BDBIAR', bid, main, sub, conf::double, weight::double from e2 union all select 3, 'OSM', bid, main, sub, conf::double, weight::double from e3 union all select 4, 'LandsD_Category', bid, main, sub, conf::double, weight::double from e4)
+, sb as (select bid, main, sum(weight) as score, string_agg(distinct src, '+' order by src) as sources, first(sub order by weight desc, o) filter (sub is not null) as sub, row_number() over (partition by bid order by round(sum(weight),9) desc, main) rn, sum(sum(weight)) over (partition by bid) total from e group by bid, main)
+, w as (select bid, max(main) filter (rn=1) as winner, max(score) filter (rn=1) as score, max(main) filter (rn=2) as runner_up, max(score) filter (rn=2) as runner_score, max(total) as total, max(sources) filter (rn=1) as sources, max(sub) filter (rn=1) as wsub from sb group by bid)
 """
 )
 _EV_VIEWS = ("buildings", "permits", "permit_links", "registry", "polys")
 
 
 def all_evidence(v: Views) -> DataFrame:
-    """Floor areas (of every third building, so that the other sources have a say), registry, crowd and category."""
+    """Floor areas, registry, crowd and category."""
     spelled = F.create_map(*[F.lit(x) for p in (("MACHINERY", "Factory"), ("BUILDING", "Residential"), ("HOUSEHOLD", "Commercial")) for x in p])[F.col("usage_class")]
     matched = sp.nearest_within(v.buildings.select("bid", *B), v.registry.select("rid", "px", "py", "usage_class"), 30.0).where("rid IS NOT NULL")
     main, sub = tx.registry_class(spelled)
     tag = F.col("f_building")
     crowd = strong(v).select("bid", ev.looked_up(tag, ev.TAG_CLASS, 0).alias("main"), ev.looked_up(tag, ev.TAG_CLASS, 1).alias("sub"), F.least("ratio", F.lit(1.0)).alias("weight"))
-    parts = [ev.ev_gfa(gfa(v).where("bid % 3 = 0")), ev.ev_registry(matched, main, sub), ev.ev_crowd(crowd), ev.ev_category(v.buildings)]
+    parts = [ev.ev_gfa(gfa(v)), ev.ev_registry(matched, main, sub), ev.ev_crowd(crowd), ev.ev_category(v.buildings)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-@query(_EV + " select bid, src, main, round(weight, 6) as weight from e", *_EV_VIEWS)
+def _evidence_of(rows: DataFrame) -> DataFrame:
+    return rows.select("bid", "main", "sub", F.round("conf", 6).alias("conf"), F.round("weight", 6).alias("weight"))
+
+
+@query(_EV + " select bid, src, main, sub, round(conf, 6) as conf, round(weight, 6) as weight from e", *_EV_VIEWS)
 def evidence_rows(v):
-    return all_evidence(v).select("bid", "src", "main", F.round("weight", 6).alias("weight"))
+    return all_evidence(v).select("bid", "src", "main", "sub", F.round("conf", 6).alias("conf"), F.round("weight", 6).alias("weight"))
 
 
-@query(_EV + " select bid, main, round(weight, 6) as weight from e where src = 'GFA'", *_EV_VIEWS)
+@query(_EV + " select bid, main, sub, round(conf, 6) as conf, round(weight, 6) as weight from e where src = 'GFA'", *_EV_VIEWS)
 def ev_gfa(v):
-    return ev.ev_gfa(gfa(v).where("bid % 3 = 0")).select("bid", "main", F.round("weight", 6).alias("weight"))
+    return _evidence_of(ev.ev_gfa(gfa(v)))
+
 
+@query(_EV + " select bid, main, sub, round(conf, 6) as conf, round(weight, 6) as weight from e where src = 'BDBIAR'", *_EV_VIEWS)
+def ev_registry(v):
+    return _evidence_of(all_evidence(v).where("src = 'BDBIAR'"))
 
-@query(_EV + " select bid, main, round(weight, 6) as weight from e where src = 'Crowd'", *_EV_VIEWS)
+
+@query(_EV + " select bid, main, sub, round(conf, 6) as conf, round(weight, 6) as weight from e where src = 'OSM'", *_EV_VIEWS)
 def ev_crowd(v):
-    return all_evidence(v).where("src = 'Crowd'").select("bid", "main", F.round("weight", 6).alias("weight"))
+    return _evidence_of(all_evidence(v).where("src = 'OSM'"))
 
 
-@query(_EV + " select bid, winner, round(score,6) as score, runner_up, round(runner_score,6) as runner_score, round(total,6) as total from w", *_EV_VIEWS)
+@query(_EV + " select bid, winner, round(score,6) as score, runner_up, round(runner_score,6) as runner_score, round(total,6) as total, sources, wsub as sub from w", *_EV_VIEWS)
 def score_board(v):
     s = ev.score_board(all_evidence(v))
-    return s.select("bid", "winner", F.round("score", 6).alias("score"), "runner_up", F.round("runner_score", 6).alias("runner_score"), F.round("total", 6).alias("total"))
+    return s.select("bid", "winner", F.round("score", 6).alias("score"), "runner_up", F.round("runner_score", 6).alias("runner_score"), F.round("total", 6).alias("total"), "sources", "sub")
 
 
-_FUSED = """, f0 as (select b.bid, b.category, w.*exclude(bid), b.bid in (select bid from e where src='GFA' and main='混合用途') as am from fx_buildings b left join w on w.bid=b.bid)
-, f1 as (select *, case when am then 'Area' when winner is null then 'None' when total < 30 then 'Category' when coalesce(score < 1.5*runner_score and winner <> '混合用途' and runner_up <> '混合用途', false) then 'Conflict' else 'Evidence' end as source from f0)
-, fu as (select bid, case when source in ('Area','Conflict') then '混合用途' when source='None' then '未知类别' when source='Category' then case when category in ('1','2','3') then '住宅类别' when category='4' then '商业类别' else '未知类别' end else winner end as main,
- round(case source when 'Area' then 0.95 when 'None' then 0.0 when 'Category' then 0.4 when 'Conflict' then least(score/120, 0.99)*0.7 else least(score/120, 0.99) end, 6)::double as conf, source='Conflict' as conflicted, source from f1)
+_DEFAULT = "case {0} when '住宅类别' then '私人房屋（Private Housing）' when '商业类别' then '其他商业（Other Commercial）' when '工业类别' then '其他工业（Other Industrial）' else '未知类别' end"
+_FUSED = f""", f0 as (select b.bid, b.category, w.*exclude(bid), b.bid in (select bid from e where src='GFA' and main='混合用途') as am from fx_buildings b left join w on w.bid=b.bid)
+, f1 as (select *, case when am then 'area' when winner is null then 'none' when total < 30 then 'little' when coalesce(score < 1.5*runner_score and winner <> '混合用途' and runner_up <> '混合用途', false) then 'conflict' else 'won' end as step from f0)
+, f2 as (select *, case when step in ('area','conflict') then '混合用途' when step='none' then '未知类别' when step='little' then case when category in ('1','2','3') then '住宅类别' when category='4' then '商业类别' else '未知类别' end else winner end as main from f1)
+, fu as (select bid, main, case when main='混合用途' then main when step in ('none','little') then '未知类别' else coalesce(wsub, {_DEFAULT.format('winner')}) end as sub,
+ round(case step when 'area' then 0.95 when 'none' then 0.0 when 'little' then 0.4 when 'conflict' then least(score/120, 0.99)*0.7 else least(score/120, 0.99) end, 6)::double as conf, step='conflict' as conflicted, main='混合用途' as mixed,
+ case when step='area' then 'GFA_Mixed' when step='none' then 'Unknown' when step='little' then '低证据推断' when main='混合用途' then 'Fusion_Inferred_Mixed' else sources end as source from f2)
 """
 
 
@@ -501,8 +516,9 @@ def fused(v: Views) -> DataFrame:
     return ev.fusion(v.buildings, all_evidence(v))
 
 
-@query(_EV + _FUSED + " select bid, main, conf, conflicted, main='混合用途' as mixed, source from fu", *_EV_VIEWS)
-def fusion(v):
+@query(_EV + _FUSED + " select bid, main, sub, conf, conflicted, mixed, source from fu", *_EV_VIEWS)
+def fusion_board(v):
+    """What the evidence decides, before podiums and shares."""
     return fused(v)
 
 
@@ -520,12 +536,27 @@ _POI = ", pc as (select bid, case when amenity in ('restaurant','school') or sho
 
 
 def building_pois(v: Views) -> DataFrame:
-    return sp.grid_pairs(v.buildings.select("bid", *B), poi_classes(v).select("osmid", "px", "py", "main", "sub"), B, sp.POINT, 40.0).select("bid", "main", "sub")
+    return sp.grid_pairs(v.buildings.select("bid", *B), poi_classes(v).select("osmid", "px", "py", "amenity", "shop", "main", "sub"), B, sp.POINT, 40.0).select("bid", "amenity", "shop", "main", "sub")
+
+
+_PODIUM = """, pk as (select bid, case when amenity='restaurant' then '食肆（Restaurant）' when shop='retail' then '零售（Retail）' when shop='bank' then '其他商业（Other Commercial）' when amenity='school' then '教育（Education）' end as psub from fx_buildings join fx_pois on px between x1 and x2 and py between y1 and y2 where coalesce(amenity,'nan')<>'nan' or shop is not null)
+, pn as (select bid, psub, count(*) as n, count(psub) as h from pk group by 1,2)
+, pt as (select bid, sum(h) as hits, sum(n) as tagged, first(psub order by h desc, psub) filter (h > 0) as psub from pn group by bid)
+, p0 as (select fu.*, psub, coalesce(structure_type='P' and main='住宅类别' and hits>=2 and hits>=0.5*tagged, false) as overridden from fu join fx_buildings using (bid) left join pt using (bid))
+, po as (select bid, case when overridden then '商业类别' else main end as main, case when overridden then psub else sub end as sub, case when overridden then greatest(conf, 0.791667) else conf end as conf, conflicted, mixed, case when overridden then 'Podium_Commercial_Override' else source end as source, overridden from p0)
+"""
+
+
+@query(" select osmid, amenity='restaurant' or shop in ('retail','bank') or amenity='school' as commercial, case when amenity='restaurant' then '食肆（Restaurant）' when shop='retail' then '零售（Retail）' when shop='bank' then '其他商业（Other Commercial）' when amenity='school' then '教育（Education）' end as sub, case when amenity='restaurant' then 'amenity:restaurant' when shop in ('retail','bank') then 'shop:'||shop when amenity='school' then 'fallback:school' when shop is not null then 'unmapped:'||shop else 'skip:no_amenity_shop' end as reason from fx_pois".replace("amenity='restaurant' or shop in ('retail','bank') or amenity='school' as commercial", "coalesce(amenity='restaurant' or shop in ('retail','bank') or amenity='school', false) as commercial"), "pois")
+def podium_class(v):
+    p = poi_classes(v)
+    hit, sub, reason = ev.podium_class(F.col("amenity"), F.col("shop"), F.col("main"), F.col("sub"))
+    return p.select("osmid", hit.alias("commercial"), sub.alias("sub"), reason.alias("reason"))
 
 
-@query(_EV + _FUSED + _POI + ", c as (select bid, count(*) filter (main='商业类别') h, count(main) t from pc group by bid) select fu.bid, case when structure_type='P' and fu.main='住宅类别' and h>=2 and h>=0.5*t then '商业类别' else fu.main end as main, coalesce(structure_type='P' and fu.main='住宅类别' and h>=2 and h>=0.5*t, false) as overridden from fu join fx_buildings using (bid) left join c using (bid)", *_EV_VIEWS, "pois")
+@query(_EV + _FUSED + _PODIUM + " select bid, main, sub, conf, source, overridden from po", *_EV_VIEWS, "pois")
 def podium_override(v):
-    return ev.podium_override(fused(v), v.buildings, building_pois(v)).select("bid", "main", "overridden")
+    return ev.podium_override(fused(v), v.buildings, building_pois(v)).select("bid", "main", "sub", "conf", "source", "overridden")
 
 
 @query(_POI + " select bid, sub, round(count(*)/sum(count(*)) over (partition by bid), 6)::double as share from pc where sub is not null group by bid, sub", "buildings", "pois")
@@ -576,10 +607,19 @@ def apply_pairs(v):
     return vd.apply_pairs(v.buildings.select("bid", main.alias("main")), resolve_hosts(v))
 
 
-@query(_EV + _FUSED + " select bid from fu join fx_buildings using (bid) where length(regexp_replace(coalesce(name_en,''), '[0-9\\s\\W_]+', '', 'g')) > 1 and (main in ('未知类别','混合用途') or conflicted) and bid not in (select bid from fx_buildings where bid % 10 = 0)".replace("\\\\", "\\"), *_EV_VIEWS)
+_POI_TRACE = ", pi as (select distinct bid from pc where sub is not null)"
+_OPEN = "length(regexp_replace(coalesce(name_en,''), '[0-9\\s\\W_]+', '', 'g')) > 1 and (lower(trim(coalesce(info_desc,''))) not in ('none','nan','','无','null','undefined') or pi.bid is not null) and (main='未知类别' or main='非评估类别' or (main='商业类别' and sub like '%其他%') or conflicted)"
+
+
+def review_rows(v: Views) -> DataFrame:
+    seen = building_pois(v).where("sub IS NOT NULL").select("bid", F.lit("x[y]").alias("pois")).distinct()
+    return fused(v).join(v.buildings.select("bid", "name_en", F.col("info_desc").alias("official")), "bid").join(seen, "bid", "left")
+
+
+@query(_EV + _FUSED + _POI + _POI_TRACE + f" select bid from fu join fx_buildings using (bid) left join pi using (bid) where {_OPEN} and bid not in (select bid from fx_buildings where p_done)".replace(" and bid not in (select bid from fx_buildings where p_done)", " and bid not in (select fragment_id from fx_pair_log)"), *_EV_VIEWS, "pois", "pair_log")
 def review_candidates(v):
-    j = fused(v).join(v.buildings.select("bid", "name_en"), "bid")
-    return vd.review_candidates(j, v.buildings.where("bid % 10 = 0"), "name_en", "main", "conflicted").select("bid")
+    """Buildings that the pair log names count as processed."""
+    return vd.review_candidates(review_rows(v), v.pair_log.select(F.col("fragment_id").alias("bid")), "name_en", "official", "pois").select("bid")
 
 
 def verdict_rows(v: Views) -> DataFrame:
@@ -587,23 +627,63 @@ def verdict_rows(v: Views) -> DataFrame:
     m = F.col("bid") % 5
     said = F.when(m == 0, tx.RESIDENTIAL).when(m == 1, tx.COMMERCIAL).when(m == 2, F.lit("invented")).when(m == 3, tx.RESTAURANT)
     b = v.buildings.select("bid", F.when(F.col("bid") % 7 == 0, tx.MIXED).otherwise(tx.INDUSTRIAL).alias("main"), F.lit("s").alias("sub"), F.lit("Rule").alias("source"), F.when(F.col("bid") % 2 == 0, "x[shop]").alias("pois"))
-    return b.withColumns({"v_main": said, "v_sub": F.lit("vs"), "v_conf": (F.col("bid") % 100) / 100})
+    several = F.when(F.col("bid") % 3 == 0, f"{tx.PRIVATE_HOUSING}-{tx.RETAIL}-{tx.OFFICE}").when(F.col("bid") % 3 == 1, tx.RETAIL).otherwise("vs")
+    return b.withColumns({"v_main": F.when(F.col("bid") % 11 == 0, tx.MIXED).otherwise(said), "v_sub": several, "v_conf": (F.col("bid") % 100) / 100, "main_vector": F.lit("m:1.00"), "sub_vector": F.lit("s:1.00")})
 
 
-_V = ", r as (select bid, case when bid%7=0 then '混合用途' else '工业类别' end as main, case bid%5 when 0 then '住宅类别' when 1 then '商业类别' when 2 then 'invented' when 3 then '食肆（Restaurant）' end as vm, (bid%100)/100.0 as vc, bid%2=0 as shop from fx_buildings), h as (select *, case when vm is null or vc < 0.8 then 'kept' when vm='invented' then 'invented' when main='混合用途' and shop then 'guarded' else 'taken' end as how from r)"
+_V = ", r as (select bid, case when bid%7=0 then '混合用途' else '工业类别' end as main, case when bid%11=0 then '混合用途' else case bid%5 when 0 then '住宅类别' when 1 then '商业类别' when 2 then 'invented' when 3 then '食肆（Restaurant）' end end as vm, case bid%3 when 0 then '私人房屋（Private Housing）-零售（Retail）-办公室（Office）' when 1 then '零售（Retail）' else 'vs' end as vsub, (bid%100)/100.0 as vc, bid%2=0 as shop from fx_buildings), h as (select *, case when vm is null or vc < 0.8 then 'kept' when vm='invented' then 'invented' when main='混合用途' and shop and vm<>'混合用途' then 'guarded' else 'taken' end as how, case when vm='食肆（Restaurant）' then '商业类别' else vm end as tm, case when vm='食肆（Restaurant）' then vm else vsub end as ts from r)"
 
 
-@query(_V + " select bid, case when how='taken' then case when vm='食肆（Restaurant）' then '商业类别' else vm end else main end as final_main, case when how='taken' then case when vm='食肆（Restaurant）' then vm else 'vs' end else 's' end as final_sub, case how when 'taken' then 'LLM_Verified (Conf: '||printf('%.2f', vc::double)||')' when 'invented' then 'Rule (LLM Rejected - Hallucination)' when 'guarded' then 'Rule (LLM Override Rejected - Bottom Shop Protected)' else 'Rule' end as final_source, how='taken' as overridden from h", "buildings")
+@query(_V + " select bid, case when how='taken' then tm else main end as final_main, case when how='taken' then ts else 's' end as final_sub, case how when 'taken' then 'LLM_Verified (Conf: '||printf('%.2f', vc::double)||')' when 'invented' then 'Rule (LLM Rejected - Hallucination)' when 'guarded' then 'Rule (LLM Override Rejected - Bottom Shop Protected)' else 'Rule' end as final_source, how='taken' as overridden, case when how<>'taken' then 'm:1.00' when tm<>'混合用途' then tm||':1.00' when bid%3=0 then '住宅类别:0.33-商业类别:0.67' else '混合用途:1.00' end as final_main_vector, case when how<>'taken' then 's:1.00' when tm='混合用途' and bid%3=0 then '私人房屋（Private Housing）:0.33-零售（Retail）:0.33-办公室（Office）:0.33' else ts||':1.00' end as final_sub_vector from h", "buildings")
 def verdict_merge(v):
-    subs = F.create_map(F.lit(tx.RESTAURANT), F.lit(tx.COMMERCIAL))
-    return vd.verdict_merge(verdict_rows(v), subs).select("bid", "final_main", "final_sub", "final_source", "overridden")
+    return vd.verdict_merge(verdict_rows(v), lb.main_of_sub()).select("bid", "final_main", "final_sub", "final_source", "overridden", "final_main_vector", "final_sub_vector")
+
+
+_ML = ", p as (select *, (x2-x1)*(y2-y1) as area, ((bid*37)%100)/100.0 as pr, ((bid*59)%100)/100.0 as pc, ((bid*83)%100)/100.0 as pi from fx_buildings), m as (select *, greatest(pr, pc, pi)::double as ml_conf, list_filter([case when pr>=0.5 then '住宅类别' end, case when pc>=0.5 then '商业类别' end, case when pi>=0.5 then '工业类别' end], lambda x: x is not null) as active from p), ml as (select *, case when len(active)=0 then '未知类别' when len(active)=1 then active[1] else '混合用途' end as ml_main, case when len(active)=0 then '未知类别' when len(active)=1 then active[1] else array_to_string(list_sort(active), '/') end as ml_sub, case when len(active)=0 then 'ML Low Confidence' when len(active)=1 then 'ML Single Class' else 'ML Multi-Label' end as ml_source from m)"
+
+
+def probabilities(v: Views) -> DataFrame:
+    """Probabilities derived from the ids, as models would give them."""
+    p = lambda k: ((F.col("bid") * k) % 100) / 100
+    return v.buildings.withColumns({"p_res": p(37), "p_com": p(59), "p_ind": p(83)})
+
 
+def summary(v: Views) -> DataFrame:
+    return vd.ml_summary(probabilities(v), {tx.RESIDENTIAL: "p_res", tx.COMMERCIAL: "p_com", tx.INDUSTRIAL: "p_ind"})
 
-@query(", r as (select bid, (x2-x1)*(y2-y1) as area, case bid%4 when 0 then '非评估类别' when 1 then '未知类别' else '商业类别' end as main, case when bid%6=2 then '未知类别' else 's' end as sub, case when bid%5=0 then 'Unknown' else 'GFA' end as source, case bid%3 when 0 then '住宅类别' when 1 then '工业类别' end as mm, (bid%100)/100.0 as mc from fx_buildings), s as (select *, case when main='非评估类别' then 'Protected' when not (main='未知类别' or sub='未知类别') and source<>'Unknown' then 'Rule_Engine' when mc < 0.5 then 'ML_Low_Confidence_Discard' when mm is not null then 'Machine_Learning_Predicted' when area < 100 then 'Fallback_to_Area' else 'Fallback_to_Default' end as step from r) select bid, step, case when step in ('Protected','ML_Low_Confidence_Discard') then '非评估类别' when step='Rule_Engine' then main when step='Machine_Learning_Predicted' then mm when step='Fallback_to_Area' then '住宅类别' else '商业类别' end as final_main from s", "buildings")
+
+@query(_ML + " select bid, ml_main, ml_sub, ml_source, ml_conf from ml", "buildings")
+def ml_summary(v):
+    return summary(v).select("bid", "ml_main", "ml_sub", "ml_source", "ml_conf")
+
+
+_CALIBRATED = (
+    _ML
+    + """, r0 as (select *, case bid%9 when 0 then '非评估类别' when 1 then 'nan' when 2 then '混合用途' else '商业类别' end as main0, case when bid%6=2 then 'unknown' else '餐饮（Catering）' end as sub0, case when bid%5=0 then 'Unknown' else 'GFA' end as source, case bid%8 when 1 then '' when 3 then '未知类别:1.00' else '餐饮（Catering）:1.00' end as mix0, bid%4=0 as modelled from ml)
+, r as (select *, case when main0='nan' then '未知类别' else main0 end as main, case when sub0='unknown' then '未知类别' else '食肆（Restaurant）' end as sub, replace(mix0,'餐饮（Catering）','食肆（Restaurant）') as mix from r0)
+, s as (select *, case when main='未知类别' then '全残(主类未知)' when sub='未知类别' then '半残(子类未知)' when mix='' or mix like '%未知%' then '半残(比例空缺或异常)' else '' end as gap from r)
+, t as (select *, case when main='非评估类别' then 'protected' when gap='' and source<>'Unknown' then 'rule' when ml_conf < 0.5 then 'discard' when ml_main='混合用途' then 'several' when ml_main<>'未知类别' then 'one' when area < 100 then 'area' else 'default' end as step from s)
+, u as (select *, list_transform(active, lambda x: case when modelled and x='商业类别' then '零售（Retail）' when x='住宅类别' then '私人房屋（Private Housing）' when x='商业类别' then '其他商业（Other Commercial）' else '其他工业（Other Industrial）' end) as tops from t)
+ select bid, case when step in ('protected','discard') then '非评估类别' when step='rule' then main when step in ('several','one') then ml_main when step='area' then '住宅类别' else '商业类别' end as final_main,
+ case step when 'protected' then '非评估类别' when 'rule' then sub when 'discard' then '置信度过低归为非评估' when 'area' then '其他房屋（Other Housing）' when 'default' then '其他商业（Other Commercial）' else tops[1] end as final_sub,
+ case step when 'protected' then '非评估类别:1.00' when 'rule' then mix when 'discard' then '置信度过低归为非评估:1.00' when 'area' then '其他房屋（Other Housing）:1.00' when 'default' then '其他商业（Other Commercial）:1.00' when 'several' then array_to_string(list_transform(tops, lambda x: x||':'||printf('%.2f', 1.0::double/len(tops))), '-') else case when modelled and ml_main='商业类别' then '零售（Retail）:0.75-办公室（Office）:0.25' else tops[1]||':1.00' end end as final_vector,
+ case step when 'protected' then 'Protected('||source||')' when 'rule' then 'Rule_Engine('||source||')' when 'discard' then 'ML_Low_Confidence_Discard' when 'area' then 'Fallback_to_Area' when 'default' then 'Fallback_to_Default' else 'Machine_Learning_Predicted' end as final_source,
+ case step when 'protected' then '保留被判定为噪声/非评估的建筑' when 'rule' then '保留规则确定性结论' when 'discard' then 'ML推断置信度过低(P='||printf('%.2f', ml_conf)||')' when 'area' then '全流程未识别,小面积归住宅' when 'default' then '强制兜底为商业' else case when gap='' then 'ML推断填补-' else 'ML覆盖['||gap||']-' end || case step when 'several' then 'ML多标签混合' else 'ML回归精准分配' end || '(P='||printf('%.2f', ml_conf)||')' end as note from u"""
+)
+
+
+@query(_CALIBRATED, "buildings")
 def final_calibration(v):
     b = F.col("bid")
-    rows = v.buildings.select("bid", geo.box_area(*(F.col(c) for c in B)).alias("area"), F.when(b % 4 == 0, tx.NON_ASSESSED).when(b % 4 == 1, tx.UNKNOWN).otherwise(tx.COMMERCIAL).alias("main"), F.when(b % 6 == 2, tx.UNKNOWN).otherwise("s").alias("sub"), F.when(b % 5 == 0, "Unknown").otherwise("GFA").alias("source"), F.when(b % 3 == 0, tx.RESIDENTIAL).when(b % 3 == 1, tx.INDUSTRIAL).alias("ml_main"), ((b % 100) / 100).alias("ml_conf"))
-    return vd.final_calibration(rows).select("bid", "step", "final_main")
+    rows = summary(v).withColumns({
+        "area": geo.box_area(*(F.col(c) for c in B)),
+        "main": F.when(b % 9 == 0, tx.NON_ASSESSED).when(b % 9 == 1, "nan").when(b % 9 == 2, tx.MIXED).otherwise(tx.COMMERCIAL),
+        "sub": F.when(b % 6 == 2, "unknown").otherwise("餐饮（Catering）"),
+        "source": F.when(b % 5 == 0, "Unknown").otherwise("GFA"),
+        "vector": F.when(b % 8 == 1, "").when(b % 8 == 3, "未知类别:1.00").otherwise("餐饮（Catering）:1.00"),
+        "props": F.when(b % 4 == 0, F.create_map(F.lit(tx.COMMERCIAL), F.create_map(F.lit(tx.RETAIL), F.lit(0.75), F.lit(tx.OFFICE), F.lit(0.25)))),
+    })
+    return vd.final_calibration(rows).select("bid", "final_main", "final_sub", "final_vector", "final_source", "note")
 
 
 @query(_LAST + " select seq from fx_pair_log where (fragment_id, host_id) not in (select (fragment_id, host_id) from d where ai_decision in ('keep','merge','delete'))", "pair_log")
@@ -626,29 +706,6 @@ def parse_verdict(v):
 # Labels, vectors, publication.
 
 
-@query(_EV + _FUSED + ", z as (select bid, main, round(gfa, 2) as gfa from fu join (select bid, (x2-x1)*(y2-y1) as gfa from fx_buildings) using (bid)) select main, round(sum(gfa), 2) as gfa from z group by main", *_EV_VIEWS)
-def gfa_by_class(v):
-    area = v.buildings.select("bid", F.round(geo.box_area(*(F.col(c) for c in B)), 2).alias("gfa"))
-    return fused(v).join(area, "bid").groupBy("main").agg(F.round(F.sum("gfa"), 2).alias("gfa"))
-
-
-_ZONED = _EV + _FUSED + f", zb as (select b.bid, (x2-x1)*(y2-y1) as gfa, zone_label from ({_CENTRE}) b left join (select zone_label, x1 as zx1, y1 as zy1, x2 as zx2, y2 as zy2 from fx_zones) on cx > zx1 and cx < zx2 and cy > zy1 and cy < zy2)"
-
-
-@query(_ZONED + " select round(sum(gfa) filter (main='商业类别' and (zone_label in ('C','C/R','CDA') or zone_label like 'C(%')) / sum(gfa) filter (main='商业类别'), 6) as commercial, round(sum(gfa) filter (main='住宅类别' and (regexp_matches(zone_label, '^R\\([A-E]\\)') or zone_label in ('V','C/R','CDA'))) / sum(gfa) filter (main='住宅类别'), 6) as residential from zb join fu using (bid)", *_EV_VIEWS, "zones")
-def zoning_alignment(v):
-    zoned = sp.zone_of_point(sp.centroid(v.buildings).select("bid", "px", "py"), v.zones, "bid", "px", "py")
-    j = zoned.join(v.buildings.select("bid", geo.box_area(*(F.col(c) for c in B)).alias("gfa")), "bid").join(fused(v).select("bid", "main"), "bid")
-    z = F.coalesce("zone_label", F.lit(""))
-    share = lambda main, ok: F.round(F.sum(F.when((F.col("main") == main) & ok, F.col("gfa"))) / F.sum(F.when(F.col("main") == main, F.col("gfa"))), 6)
-    return j.agg(share(tx.COMMERCIAL, z.rlike(r"^(?:C|C/R|CDA)$|^C\(")).alias("commercial"), share(tx.RESIDENTIAL, z.rlike(r"^R\([A-E]\)|^(?:V|C/R|CDA)$")).alias("residential"))
-
-
-@query(_EV + _FUSED + " select bid, case main when '住宅类别' then 'Residential_住宅类别' when '商业类别' then 'Commercial_商业类别' when '工业类别' then 'Industrial_工业类别' when '混合用途' then 'Mixed-use_混合用途' when '非评估类别' then 'Non-assessed_非评估类别' else 'Unknown_未知类别' end as main_class, case main when '住宅类别' then 'residential' when '商业类别' then 'commercial' when '工业类别' then 'industrial' end as target, conf as confidence from fu", *_EV_VIEWS)
-def public_dataset(v):
-    return fused(v).select("bid", tx.canon_main(F.col("main")).alias("main_class"), tx.ml_target(F.col("main")).alias("target"), F.col("conf").alias("confidence"))
-
-
 @query(" select bid, printf('%.2f', 0.75::double) as top, case when bid % 2 = 0 then 'Non-manufacturing:0.75-Office:0.25' else 'Office:0.75-Non-manufacturing:0.25' end as vector, case when bid % 2 = 0 then 'Non-manufacturing' else 'Office' end as dominant, 0.75::double as share from fx_buildings", "buildings")
 def vector_round_trip(v):
     even = F.col("bid") % 2 == 0
@@ -658,13 +715,14 @@ def vector_round_trip(v):
     return v.buildings.select("bid", F.format_string("%.2f", back[tx.dominant_label(back)]).alias("top"), text.alias("vector"), tx.dominant_label(back).alias("dominant"), back[tx.dominant_label(back)].alias("share"))
 
 
-@query(_EV + _FUSED + " select bid, (main='住宅类别')::int as is_residential, (main='商业类别')::int as is_commercial, (main='工业类别')::int as is_industrial from fu where main in ('住宅类别','商业类别','工业类别') and not conflicted and conf >= 0.4", *_EV_VIEWS)
+@query(_EV + _FUSED + " select bid, (main='住宅类别')::int as is_residential, (main='商业类别')::int as is_commercial, (main='工业类别')::int as is_industrial from fu where main in ('住宅类别','商业类别','工业类别') and (source in ('OSM_Aggregation','BDBIAR','Keyword','Keyword_Priority','LandsD_Category','Inherited_via_Consensus_merge','Machine_Learning','Corrected_by_Rule') or source like '%Inherited%' or source like '%\_LLM\_Corrected%' escape '\\')".replace("\\\\", "\\"), *_EV_VIEWS)
 def training_set(v):
     return training(v).select("bid", "is_residential", "is_commercial", "is_industrial")
 
 
 def training(v: Views) -> DataFrame:
-    t = fused(v).where("NOT conflicted AND conf >= 0.4").withColumn("target", tx.ml_target(F.col("main"))).where("target IS NOT NULL")
+    """Buildings of a source that is trusted and of one of the three classes that models learn."""
+    t = fused(v).where(rc.high_confidence(F.col("source"))).withColumn("target", tx.ml_target(F.col("main"))).where("target IS NOT NULL")
     return t.withColumns({f"is_{c}": (F.col("target") == c).cast("int") for c in ("residential", "commercial", "industrial")})
 
 
@@ -679,9 +737,19 @@ def feature_table(v: Views) -> DataFrame:
     return base.join(zones.join(F.broadcast(codes), "zone_label").drop("zone_label"), "bid").join(sp.density(base.select("bid", "px", "py"), "bid").select("bid", "density"), "bid").join(dominant, "bid")
 
 
-@query()
+_FEATURES = f""", c as ({_CENTRE}), zo as (select bid, min_by(zone_label, zone_id) as zone_label from c left join (select zone_id, zone_label, x1 as zx1, y1 as zy1, x2 as zx2, y2 as zy2 from fx_zones) on cx between zx1 and zx2 and cy between zy1 and zy2 group by bid)
+, zc as (select bid, dense_rank() over (order by coalesce(zone_label,''))::bigint as zone_code from zo)
+, dn as (select a.bid, count(b.bid) as density from c a left join c b on a.bid<>b.bid and abs(a.cx-b.cx)<=50 and abs(a.cy-b.cy)<=50 and sqrt(pow(a.cx-b.cx,2)+pow(a.cy-b.cy,2))<=50 group by a.bid)
+, nc as (select a.bid, b.category as t, count(*) as n from c a join c b on a.bid<>b.bid and abs(a.cx-b.cx)<=100 and abs(a.cy-b.cy)<=100 and sqrt(pow(a.cx-b.cx,2)+pow(a.cy-b.cy,2))<=100 where b.category<>'9' group by 1,2)
+, nr as (select *, row_number() over (partition by bid order by n desc, t) rn from nc)
+ select c.bid, round((x2-x1)*(y2-y1),6) as area, round(2*((x2-x1)+(y2-y1)),6) as perimeter, round(4*pi()*((x2-x1)*(y2-y1))/(pow(2*((x2-x1)+(y2-y1)),2)+0.000001),6) as compactness, round(cx,6) as px, round(cy,6) as py, zone_code, density, coalesce(nr.t,'-1')::int as dominant_code, round(case when base_height > 0 then top_height-base_height else top_height end, 6)::double as height
+ from c join zc using (bid) join dn using (bid) left join nr on nr.bid=c.bid and rn=1"""
+
+
+@query(_FEATURES, "buildings", "zones")
 def features(v):
-    return feature_table(v).select("bid", *models.FEATURES)
+    rounded = ("area", "perimeter", "compactness", "px", "py", "height")
+    return feature_table(v).select("bid", *[F.round(c, 6).alias(c) if c in rounded else F.col(c) for c in models.FEATURES])
 
 
 @query()

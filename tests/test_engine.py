@@ -82,9 +82,19 @@ def test_text(spark):
 
 def test_fusion_branches(spark):
     b = spark.createDataFrame([(k, c) for k, c in enumerate("141919")], "bid long, category string")
-    e = spark.createDataFrame([(0, "GFA", tx.MIXED, None, 0.9, 100.0), (1, "Crowd", tx.COMMERCIAL, None, 0.5, 20.0), (2, "A", tx.COMMERCIAL, None, 0.5, 60.0), (2, "B", tx.RESIDENTIAL, None, 0.5, 50.0), (3, "A", tx.COMMERCIAL, None, 0.5, 90.0)], "bid long, src string, main string, sub string, conf double, weight double")
-    got = {r["bid"]: (r["main"], r["source"], r["conf"]) for r in ev.fusion(b, e).collect()}
-    assert got[0] == (tx.MIXED, "Area", 0.95) and got[1] == (tx.COMMERCIAL, "Category", 0.4) and got[2] == (tx.MIXED, "Conflict", 0.35) and got[3] == (tx.COMMERCIAL, "Evidence", 0.75) and got[5] == (tx.UNKNOWN, "None", 0.0)
+    e = spark.createDataFrame([(0, "GFA", tx.MIXED, None, 0.9, 100.0), (1, "OSM", tx.COMMERCIAL, None, 0.5, 20.0), (2, "OSM", tx.COMMERCIAL, None, 0.5, 60.0), (2, "GFA", tx.RESIDENTIAL, None, 0.5, 50.0), (3, "OSM", tx.COMMERCIAL, tx.RETAIL, 0.5, 45.0), (3, "BDBIAR", tx.COMMERCIAL, tx.OFFICE, 0.5, 45.0)], "bid long, src string, main string, sub string, conf double, weight double")
+    got = {r["bid"]: (r["main"], r["sub"], r["source"], r["conf"]) for r in ev.fusion(b, e).collect()}
+    assert got[0] == (tx.MIXED, tx.MIXED, "GFA_Mixed", 0.95) and got[1] == (tx.COMMERCIAL, tx.OTHER_COMMERCIAL, "低证据推断", 0.4) and got[2] == (tx.MIXED, tx.MIXED, "Fusion_Inferred_Mixed", 0.35)
+    assert got[3] == (tx.COMMERCIAL, tx.OFFICE, "BDBIAR+OSM", 0.75) and got[5] == (tx.UNKNOWN, tx.UNKNOWN, "Unknown", 0.0)
+
+
+def test_podium_counts_every_tagged_poi(spark):
+    """Two of ten tagged POIs are no half, whether or not the others are known."""
+    f = spark.createDataFrame([(k, tx.RESIDENTIAL, tx.PRIVATE_HOUSING, 0.5, "OSM") for k in (1, 2)], "bid long, main string, sub string, conf double, source string")
+    b = spark.createDataFrame([(1, "P"), (2, "P")], "bid long, structure_type string")
+    pois = [(k, "restaurant", None, None, None) for k in (1, 1, 2, 2)] + [(1, None, "odd", None, None)] * 8 + [(2, None, "odd", None, None), (2, "nan", None, None, None)]
+    got = {r["bid"]: (r["main"], r["sub"], r["overridden"]) for r in ev.podium_override(f, b, spark.createDataFrame(pois, "bid long, amenity string, shop string, main string, sub string")).collect()}
+    assert got == {1: (tx.RESIDENTIAL, tx.PRIVATE_HOUSING, False), 2: (tx.COMMERCIAL, tx.RESTAURANT, True)}
 
 
 @pytest.mark.parametrize("rule", ["keep", "merge", "delete", None])
