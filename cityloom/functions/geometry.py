@@ -76,20 +76,6 @@ def valid_ring(ring: Column) -> Column:
     return F.coalesce((F.size(ring) >= 4) & ~bad & (first["x"] == last["x"]) & (first["y"] == last["y"]), F.lit(False))
 
 
-def interior_point(ring: Column) -> tuple[Column, Column]:
-    """(x, y) of a point within a closed ring: the middle of the widest span of a horizontal line that meets no vertex.
-
-    The line lies between the middle of the ring's height and the next vertex above; of spans equally wide the first counts.
-    """
-    ys = F.transform(ring, lambda p: p["y"])
-    middle = (F.array_min(ys) + F.array_max(ys)) / 2
-    y = (F.array_max(F.filter(ys, lambda v: v <= middle)) + F.array_min(F.filter(ys, lambda v: v > middle))) / 2
-    cut = F.filter(_edges(ring), lambda e: (e["y1"] > y) != (e["y2"] > y))
-    xs = F.array_sort(F.transform(cut, lambda e: e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])))
-    spans = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(xs) / 2) - 1, F.lit(0)).cast("int")), lambda i: F.struct((F.get(xs, 2 * i) - F.get(xs, 2 * i + 1)).alias("w"), ((F.get(xs, 2 * i) + F.get(xs, 2 * i + 1)) / 2).alias("x")))
-    return F.array_min(spans)["x"], y
-
-
 # The published definition of the HK80 grid (transverse Mercator on the International 1924 ellipsoid).
 _A, _F, _LAT0, _LON0, _N0, _E0 = 6378388.0, 1 / 297.0, math.radians(22 + 18 / 60 + 43.68 / 3600), math.radians(114 + 10 / 60 + 42.80 / 3600), 819069.80, 836694.05
 

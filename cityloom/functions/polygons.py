@@ -285,7 +285,7 @@ def _holds(ring: np.ndarray, point: np.ndarray) -> bool:
     return bool((spans & (point[0] < x)).sum() % 2)
 
 
-def ring_apart(a: Column, b: Column) -> Column:
+def ring_gap(a: Column, b: Column) -> Column:
     """Distance of two rings; 0 where they overlap or one holds the other, null for rings that are null or have less than three sound points."""
 
     @F.arrow_udf("double")
@@ -293,3 +293,33 @@ def ring_apart(a: Column, b: Column) -> Column:
         return pa.array([_apart(p, q) for p, q in zip(rings(x), rings(y))], pa.float64())
 
     return gap(a, b)
+
+
+def _inner(p: np.ndarray | None) -> dict | None:
+    if p is None or len(p) < 3 or np.isnan(p).any():
+        return None
+    middle = (p[:, 1].min() + p[:, 1].max()) / 2
+    above, below = p[p[:, 1] > middle, 1], p[p[:, 1] <= middle, 1]
+    if not len(above):
+        return None
+    y = (below.max() + above.min()) / 2
+    a, b = p, np.roll(p, -1, 0)
+    cut = (a[:, 1] > y) != (b[:, 1] > y)
+    a, b = a[cut], b[cut]
+    x = np.sort(a[:, 0] + (y - a[:, 1]) * (b[:, 0] - a[:, 0]) / (b[:, 1] - a[:, 1]))
+    best = int(np.argmax(x[1::2] - x[::2]))
+    return {"x": float((x[2 * best] + x[2 * best + 1]) / 2), "y": float(y)}
+
+
+def interior_point(ring: Column) -> Column:
+    """``struct(x, y)`` of a point within a ring: the middle of the widest span of a horizontal line that meets no vertex.
+
+    The line lies between the middle of the ring's height and the next vertex above; of spans equally wide the first counts. Null
+    for rings that are null, flat, or have less than three sound points.
+    """
+
+    @F.arrow_udf("struct<x:double,y:double>")
+    def inner(x: pa.Array) -> pa.Array:
+        return pa.array([_inner(p) for p in rings(x)], pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+
+    return inner(ring)

@@ -62,7 +62,7 @@ def numbered(df: DataFrame, *order: str, name: str = "row_id") -> DataFrame:
     at = sorted(cuts)[:: max(1, len(cuts) // 64)]
     part = F.lit(0)
     for n, cut in enumerate(at):
-        part = F.when(key >= F.struct(*[F.lit(x) for x in cut]), n + 1).otherwise(part)
+        part = F.when(key >= F.struct(*[F.lit(x).alias(c) for c, x in zip(order, cut)]), n + 1).otherwise(part)
     rows = df.withColumn("__part", part)
     sizes = rows.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "__before")

@@ -102,6 +102,14 @@ def centroid(df: DataFrame) -> DataFrame:
     return df.withColumns({"px": (F.col("x1") + F.col("x2")) / 2, "py": (F.col("y1") + F.col("y2")) / 2})
 
 
+def layer_points(df: DataFrame, kind: str = "kind") -> DataFrame:
+    """df (kind and a box) with px, py: the centres, if every row of the layer is a polygon; else nulls."""
+    other = df.agg(F.count_if(~F.upper(F.col(kind)).isin("POLYGON", "MULTIPOLYGON")).alias("other")).select((F.col("other") == 0).alias("all_areas"))
+    centre = lambda a, b: F.when(F.col("all_areas"), (F.col(a) + F.col(b)) / 2)
+    one = df.withColumn("__k", F.lit(1)).join(F.broadcast(other.withColumn("__k", F.lit(1))), "__k")
+    return one.withColumns({"px": centre("x1", "x2"), "py": centre("y1", "y2")}).drop("__k", "all_areas")
+
+
 def feature_weight(is_point: Column, ratio: Column, area: Column) -> Column:
     """Polygons: their overlap, 1 at most; points: 50 square metres of the building's area, 0.3 at most, 0.1 without an area."""
     return F.when(~is_point, F.least(ratio, F.lit(1.0))).when(area > 0, F.least(50.0 / area, F.lit(0.3))).otherwise(0.1)

@@ -332,7 +332,11 @@ def area_hist(v):
 
 @query(" select bid from fx_buildings order by sha256(bid::varchar), bid limit 100", "buildings")
 def hash_sample(v):
-    return v.buildings.select("bid").orderBy(F.sha2(F.col("bid").cast("string"), 256), "bid").limit(100)
+    return hash_sample_rows(v)
+
+
+def hash_sample_rows(v: Views, *more: str) -> DataFrame:
+    return v.buildings.select("bid", *more).orderBy(F.sha2(F.col("bid").cast("string"), 256), "bid").limit(100)
 
 
 @query(" select bid, dense_rank() over (order by category)::bigint as code from fx_buildings", "buildings")

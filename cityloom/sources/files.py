@@ -2,32 +2,84 @@
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
+import uuid
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from cityloom.functions import geometry as geo, text as tx
+
 RING = "array<struct<x:double,y:double>>"
 
 
-def scan_geojson(spark: SparkSession, path: str, properties: str, geometry: bool = False) -> DataFrame:
-    """One row per feature of collections under path: the properties (a DDL string) and, if asked, ``kind``, ``px, py`` and ``ring``.
+def work_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir; an own one only where that is unset and Spark runs locally."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = f"/tmp/checkpoints/{uuid.uuid4().hex}"
+        spark.sparkContext.setCheckpointDir(named)
+    return f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def prefer_cached(spark: SparkSession, cached: str, raw: DataFrame) -> DataFrame:
+    """The stage table at cached if it is there, else raw."""
+    return spark.read.parquet(cached) if exists(spark, cached) else raw
+
+
+def _points(ring: Column) -> Column:
+    return F.transform(ring, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
 
-    Rings are outer rings of polygons; files that are not JSON give no row.
+
+def feature_geometry(geometry: Column, to_grid: bool = False) -> dict[str, Column]:
+    """``kind, px, py, parts`` of a geometry (type, coordinates as JSON text).
+
+    parts is an array of polygons, each an array of rings, the outer one first. Degrees are put on the grid if asked.
+    """
+    at, kind = geometry["coordinates"], F.upper(geometry["type"])
+    point = F.from_json(at, "array<double>")
+    polygon = F.from_json(at, "array<array<array<double>>>")
+    several = F.from_json(at, "array<array<array<array<double>>>>")
+    parts = F.when(kind == "POLYGON", F.array(polygon)).when(kind == "MULTIPOLYGON", several)
+    rings = F.transform(parts, lambda rs: F.transform(rs, _points))
+    x, y = F.get(point, F.lit(0)), F.get(point, F.lit(1))
+    if to_grid:
+        placed = lambda p: F.struct(*[c.alias(n) for c, n in zip(geo.wgs84_to_grid(p["x"], p["y"]), ("x", "y"))])
+        rings = F.transform(rings, lambda rs: F.transform(rs, lambda r: F.transform(r, placed)))
+        x, y = geo.wgs84_to_grid(x, y)
+    is_point = kind == "POINT"
+    return {"kind": kind, "px": F.when(is_point, x), "py": F.when(is_point, y), "parts": rings}
+
+
+def scan_geojson(spark: SparkSession, path: str, properties: str, geometry: bool = False, to_grid: bool = False) -> DataFrame:
+    """One row per feature of collections under path: the properties (a DDL string) and, if asked, ``kind, px, py, parts, ring``.
+
+    parts has all polygons with their holes, ring is the outer ring of the first. Files that are not JSON, or not there, give no row.
     """
     schema = f"features array<struct<properties:struct<{properties}>, geometry:struct<type:string, coordinates:string>>>"
+    if not exists(spark, path):
+        return spark.createDataFrame([], StructType.fromDDL(properties))
     rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
     if not geometry:
         return rows.select("f.properties.*")
-    at = F.col("f.geometry.coordinates")
-    point = F.from_json(at, "array<double>")
-    rings = F.from_json(at, "array<array<array<double>>>")
-    ring = F.transform(F.get(rings, F.lit(0)), lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
-    is_point = F.col("f.geometry.type") == "Point"
-    return rows.select("f.properties.*", F.upper("f.geometry.type").alias("kind"), F.when(is_point, F.get(point, F.lit(0))).alias("px"), F.when(is_point, F.get(point, F.lit(1))).alias("py"), F.when(~is_point, ring).alias("ring"))
+    shape = feature_geometry(F.col("f.geometry"), to_grid)
+    return rows.select("f.properties.*", *[c.alias(n) for n, c in shape.items()]).withColumn("ring", F.get(F.get("parts", F.lit(0)), F.lit(0)))
+
+
+def scan_features(spark: SparkSession, path: str, properties: str, to_grid: bool = False) -> DataFrame:
+    """Line-delimited features, as write_features lays them out: properties and ``kind, px, py, parts``."""
+    schema = f"properties struct<{properties}>, geometry struct<type:string, coordinates:string>"
+    rows = spark.read.schema(schema).json(path)
+    return rows.select("properties.*", *[c.alias(n) for n, c in feature_geometry(F.col("geometry"), to_grid).items()])
 
 
 def scan_points_csv(spark: SparkSession, path: str, schema: str | StructType, x: str, y: str) -> DataFrame:
@@ -36,29 +88,37 @@ def scan_points_csv(spark: SparkSession, path: str, schema: str | StructType, x:
 
 
 def wkb_points(df: DataFrame, column: str) -> DataFrame:
-    """df with px, py of a column of WKB points; anything else gives nulls."""
-    schema = StructType([f for f in df.schema.fields if f.name != column]).add("px", "double").add("py", "double")
+    """df with px, py of a column of WKB points, decoded in batches; anything else, and points without coordinates, give nulls."""
 
-    def read(data: bytes | None) -> tuple[float | None, float | None]:
-        if data is None or len(data) < 21:
-            return None, None
-        order = "<" if data[0] == 1 else ">"
-        kind, px, py = struct.unpack(f"{order}Idd", bytes(data[1:21]))
-        return (px, py) if kind & 0xFF == 1 else (None, None)
+    @F.arrow_udf("struct<x:double,y:double>")
+    def decode(data: pa.Array) -> pa.Array:
+        rows = [bytes(x) if x is not None and len(x) >= 21 else bytes(21) for x in data.to_pylist()]
+        raw = np.frombuffer(b"".join(x[:21] for x in rows), np.dtype([("order", "u1"), ("kind", "V4"), ("x", "V8"), ("y", "V8")]))
+        little = raw["order"] == 1
+        field = lambda name, kind: np.where(little, np.ascontiguousarray(raw[name]).view(f"<{kind}"), np.ascontiguousarray(raw[name]).view(f">{kind}"))
+        with np.errstate(invalid="ignore"):
+            x, y = field("x", "f8").astype(float), field("y", "f8").astype(float)
+        good = (field("kind", "u4") & 0xFF == 1) & np.isfinite(x) & np.isfinite(y) & np.array([v is not None and len(v) >= 21 for v in data.to_pylist()], bool)
+        return pa.StructArray.from_arrays([pa.array(np.where(good, x, 0.0), mask=~good), pa.array(np.where(good, y, 0.0), mask=~good)], ["x", "y"])
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            at = [read(x) for x in b[column]]
-            yield b.drop(columns=column).assign(px=[a for a, _ in at], py=[c for _, c in at])
+    return df.withColumn("__p", decode(F.col(column))).withColumns({"px": F.col("__p.x"), "py": F.col("__p.y")}).drop("__p", column)
 
-    return df.mapInPandas(decode, schema)
+
+def primary(column: Column, kind: str) -> Column:
+    """The primary value of a struct column, or the column itself where it is plain text."""
+    return column["primary"] if kind.startswith("struct") else column.cast("string")
 
 
 def scan_places(spark: SparkSession, path: str) -> DataFrame:
-    """Places with a prefixed id, the primary name and category and their point."""
+    """Places with a prefixed id, the primary name and category, the tags of the category, and their point; without a point: left out.
+
+    names and categories may be structs with a primary value or plain text.
+    """
     raw = spark.read.parquet(path)
-    rows = raw.select(F.concat(F.lit("ovt_"), F.col("id").cast("string")).alias("osmid"), F.col("names.primary").alias("name"), F.col("categories.primary").alias("category"), F.col("geometry"))
-    return wkb_points(rows, "geometry").where("px IS NOT NULL AND NOT isnan(px) AND NOT isnan(py)")
+    kinds = dict(raw.dtypes)
+    rows = raw.select(F.concat(F.lit("ovt_"), F.col("id").cast("string")).alias("osmid"), primary(F.col("names"), kinds["names"]).alias("name"), primary(F.col("categories"), kinds["categories"]).alias("category"), F.col("geometry"))
+    amenity, shop = tx.place_bucket(F.col("category"))
+    return wkb_points(rows, "geometry").where("px IS NOT NULL").withColumns({"amenity": amenity, "shop": shop})
 
 
 def scan_esri_zones(spark: SparkSession, path: str) -> DataFrame:
@@ -69,13 +129,20 @@ def scan_esri_zones(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("f.attributes.ZONE_LABEL").alias("zone_label"), F.col("f.attributes.DESC_ENG").alias("description"), ring.alias("ring")).where("ring IS NOT NULL")
 
 
-def keyword_dim(spark: SparkSession, path: str) -> DataFrame:
-    """``main, sub, keyword, n`` of a keyword file (main: sub: list); of a keyword in two classes the later entry stays."""
+def keyword_dim(spark: SparkSession, path: str, fold: tuple[str, str] = ("", "")) -> DataFrame:
+    """``keyword, main, sub`` of a keyword file (main: sub: list), folded and in lower case; of a keyword in two classes the later entry stays."""
     text = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
     mains = text.select(F.posexplode(F.map_entries("m")).alias("i", "e")).where("e.key NOT LIKE '\\_\\_%'").select("i", F.col("e.key").alias("main"), F.from_json("e.value", "map<string,array<string>>").alias("s"))
     subs = mains.select("i", "main", F.posexplode(F.map_entries("s")).alias("j", "e")).select("i", "j", "main", F.col("e.key").alias("sub"), F.posexplode("e.value").alias("k", "keyword"))
     order = F.struct("i", "j", "k")
-    return subs.groupBy(F.lower("keyword").alias("keyword")).agg(F.max(F.struct(order.alias("o"), "main", "sub")).alias("x")).select("keyword", "x.main", "x.sub")
+    word = F.trim(F.lower(F.translate("keyword", *fold) if fold[0] else F.col("keyword")))
+    return subs.where(word != "").groupBy(word.alias("keyword")).agg(F.max(F.struct(order.alias("o"), "main", "sub")).alias("x")).select("keyword", "x.main", "x.sub")
+
+
+def strong_keywords(spark: SparkSession, path: str) -> DataFrame:
+    """``keyword``: the strong keywords of a keyword file, in lower case."""
+    text = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
+    return text.select(F.explode(F.from_json(F.col("m")["__STRONG_KEYWORDS__"], "array<string>")).alias("k")).select(F.trim(F.lower("k")).alias("keyword")).distinct()
 
 
 def sanitized(df: DataFrame) -> DataFrame:
@@ -94,7 +161,38 @@ def sanitized(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    sanitized(df).write.mode("overwrite").option("header", True).csv(path)
+    """CSV with a header that begins with a byte order mark, so that spreadsheets take it for UTF-8."""
+    rows = sanitized(df)
+    rows.withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0]).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table that write_csv wrote, columns by place; empty values are null."""
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+def write_audit_sheet(sample: DataFrame, path: str, asked: list[str]) -> None:
+    """A sampled sheet with empty columns for what people are to fill in."""
+    write_csv(sample.withColumns({c: F.lit("") for c in asked}), path)
+
+
+def persist_training(features: DataFrame, labels: DataFrame, key: str, path: str) -> DataFrame:
+    """Write features, labels and the training rows (both) as tables under path; returns the metadata row, written there too.
+
+    ``rows, training_rows, columns, positives`` (label: number of ones).
+    """
+    names = [c for c in labels.columns if c != key]
+    features.write.mode("overwrite").parquet(f"{path}/x")
+    labels.write.mode("overwrite").parquet(f"{path}/y")
+    spark = features.sparkSession
+    x, y = spark.read.parquet(f"{path}/x"), spark.read.parquet(f"{path}/y")
+    x.join(y, key).write.mode("overwrite").parquet(f"{path}/training")
+    both = spark.read.parquet(f"{path}/training")
+    positives = F.create_map(*[c for n in names for c in (F.lit(n), F.sum(F.coalesce(F.col(n), F.lit(0)).cast("long")))])
+    meta = x.agg(F.count("*").alias("rows"), F.lit(1).alias("k")).join(both.agg(F.count("*").alias("training_rows"), positives.alias("positives"), F.lit(1).alias("k")), "k")
+    meta = meta.select("rows", "training_rows", F.array(*[F.lit(c) for c in x.columns if c != key]).alias("columns"), "positives")
+    meta.write.mode("overwrite").parquet(f"{path}/metadata")
+    return spark.read.parquet(f"{path}/metadata")
 
 
 def write_features(df: DataFrame, path: str, geometry: Column, drop: list[str]) -> None:
