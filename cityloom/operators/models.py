@@ -10,9 +10,18 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cityloom.sources.files import work_path
+
 FEATURES = ["area", "perimeter", "compactness", "px", "py", "zone_code", "density", "dominant_code", "height"]
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read back: worked out once, whatever reads it."""
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def split(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """df with ``train``: four fifths of the keys by hash, whatever the partitioning."""
     return df.withColumn("train", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(5)) < 4)
@@ -25,7 +34,7 @@ def assembled(df: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
 
 def one_vs_rest(df: DataFrame, labels: list[str], key: str = "bid", rounds: int = 10) -> DataFrame:
     """``key, proba_<label>``: a boosted tree model for each 0/1 label column, fitted on the rows marked train, applied to all."""
-    data = assembled(df)
+    data = assembled(stored(df, "features"))
     out = data
     for label in labels:
         ones = data.where("train").agg(F.sum(label), F.count("*")).first()
@@ -47,6 +56,32 @@ def share_model(df: DataFrame, label: str, classes: int, key: str = "bid", trees
     return model.transform(data).select(key, F.map_filter(shares, lambda _, v: v > floor).alias("shares"))
 
 
+def sub_share_models(df: DataFrame, subs: dict[str, tuple[str, ...]], key: str = "bid", main: str = "main", sub: str = "sub", least: int = 50, trees: int = 50, floor: float = 0.05) -> DataFrame:
+    """``key, main, shares`` (sub class: share above the floor, two places) for every row of df and every main class that has a model.
+
+    df has the features, ``train``, and main and sub of the rows that are labelled, null elsewhere. A main class of fewer than least
+    labelled rows has no model. A label counts as the first of the main class's sub classes, in order, whose Chinese part it holds
+    or that holds it; a null or other label as the first of all. Models are fitted on the rows marked train.
+    """
+    df = stored(df, "sub-features")
+    out = None
+    for name, labels in subs.items():
+        labels = tuple(sorted(labels))
+        own = df.where(F.col(main) == name)
+        if own.limit(least).count() < least:
+            continue
+        n = F.lit(0.0)
+        for k, label in reversed(list(enumerate(labels))):
+            fits = F.contains(F.col(sub), F.lit(label.split("（")[0])) | F.contains(F.lit(label), F.col(sub))
+            n = F.when(F.coalesce(fits, F.lit(False)), float(k)).otherwise(n)
+        model = RandomForestClassifier(labelCol="n", featuresCol="features", numTrees=trees, maxDepth=5, seed=42).fit(assembled(own.where("train").withColumn("n", n)))
+        p = vector_to_array("probability")
+        shares = F.map_from_entries(F.transform(p, lambda x, i: F.struct(F.element_at(F.array(*[F.lit(x) for x in labels]), i + 1).alias("k"), x.alias("v"))))
+        rows = model.transform(assembled(df)).select(key, F.lit(name).alias("main"), F.transform_values(F.map_filter(shares, lambda _, v: v > floor), lambda _, v: F.round(v, 2)).alias("shares"))
+        out = rows if out is None else out.unionByName(rows)
+    return df.select(key, F.lit("").alias("main"), F.create_map(F.lit(""), F.lit(0.0)).alias("shares")).limit(0) if out is None else out
+
+
 def f1_report(df: DataFrame, truth: str, guess: str) -> DataFrame:
     """``label, support, precision, recall, f1`` of every true label."""
     hit = F.sum((F.col(truth) == F.col(guess)).cast("long"))
@@ -78,7 +113,8 @@ def _nearest(points: DataFrame, key: str, columns: list[str], k: int, cell: floa
         found = new if found is None else found.unionByName(new)
         if last:
             return found
-        open_points = open_points.join(new.select(key), key, "left_anti").select(*points.columns).localCheckpoint()
+        open_points = open_points.join(new.select(key), key, "left_anti").select(*points.columns)
+        open_points = stored(open_points, "open-points")
         if open_points.isEmpty():
             return found
         reach *= 2

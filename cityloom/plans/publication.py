@@ -390,7 +390,23 @@ def repaired_rings(v):
     return rows.select("bid", F.when(F.col("ring").isNotNull(), F.size("ring")).alias("points"), F.when(F.col("ring").isNotNull(), F.round(geo.ring_area(F.col("ring")), 6)).alias("area"))
 
 
-@query()
+def _grid_sql() -> str:
+    """The published formulas once more, step by step: degrees, geocentric coordinates, the other datum, its degrees, the grid."""
+    arc = "6378388*((1-{e}/4-3*{e}*{e}/64)*{p} - 3.0/8*({e}+{e}*{e}/4)*sin(2*{p}) + 15.0/256*{e}*{e}*sin(4*{p}))"
+    e, lat0 = "e2", "radians(22+18/60.0+43.68/3600)"
+    return f"""
+, k as (select 1/298.257223563::double as wf, 1/297.0::double as hf, radians(0.067753/3600) as rx, radians(-2.243649/3600) as ry, radians(-1.158827/3600) as rz, 1-1.094246e-6::double as m)
+, a as (select rid, radians(113.85+(rid%550)/1000.0::double) as l, radians(22.17+(rid%370)/1000.0::double) as p, k.*, 2*wf-wf*wf as we from fx_registry, k)
+, b as (select *, 6378137/sqrt(1-we*sin(p)*sin(p)) as nu from a)
+, c as (select *, (nu*cos(p)*cos(l)+162.619)/m as x0, (nu*cos(p)*sin(l)+276.959)/m as y0, (nu*(1-we)*sin(p)+161.764)/m as z0 from b)
+, d as (select *, x0+rz*y0-ry*z0 as x, y0-rz*x0+rx*z0 as y, z0+ry*x0-rx*y0 as z, 2*hf-hf*hf as e2, 6378388*(1-hf) as sb from c)
+, f as (select *, sqrt(x*x+y*y) as flat, atan2(z*6378388, sqrt(x*x+y*y)*sb) as t from d)
+, h as (select *, atan2(y, x) - radians(114+10/60.0+42.80/3600) as dl, atan2(z+e2/(1-e2)*sb*pow(sin(t),3), flat-e2*6378388*pow(cos(t),3)) as q from f)
+, i as (select *, 6378388/sqrt(1-e2*sin(q)*sin(q)) as n, (1-e2*sin(q)*sin(q))/(1-e2) as psi from h)
+ select rid, round(836694.05 + n*dl*cos(q) + n*dl*dl*dl/6*pow(cos(q),3)*(psi-tan(q)*tan(q)), 3)::double as easting, round(819069.80 + {arc.format(e=e, p='q')} - {arc.format(e=e, p=lat0)} + n*sin(q)*dl*dl/2*cos(q), 3)::double as northing from i"""
+
+
+@query(_grid_sql(), "registry")
 def reproject(v):
     """Registry points, dealt over the territory in degrees, on the grid."""
     lon, lat = 113.85 + (F.col("rid") % 550) / 1000, 22.17 + (F.col("rid") % 370) / 1000
@@ -403,9 +419,11 @@ def reproject(v):
 
 @query()
 def sub_shares_model(v):
-    """Shares of the categories in a forest's leaves."""
-    rows = q.feature_table(v).withColumn("label", F.when(F.col("category") == "9", 0.0).otherwise(F.col("category").cast("double")))
-    return models.share_model(models.split(rows, "bid"), "label", 6).select("bid", F.explode("shares").alias("label", "share")).select("bid", "label", F.round("share", 6).alias("share"))
+    """For every building, shares of the sub classes of each main class that has at least 50 decided buildings."""
+    labelled = decided(v).where(F.col("main").isin(tx.RESIDENTIAL, tx.COMMERCIAL, tx.INDUSTRIAL)).select("bid", "main", "sub")
+    rows = models.split(q.feature_table(v).join(labelled, "bid", "left"), "bid")
+    subs = {m: lb.SUB_LABELS[m] for m in (tx.RESIDENTIAL, tx.COMMERCIAL, tx.INDUSTRIAL)}
+    return models.sub_share_models(rows, subs).select("bid", "main", F.explode("shares").alias("label", "share"))
 
 
 @query()
