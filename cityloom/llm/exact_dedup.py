@@ -151,7 +151,9 @@ def equal_bytes(pairs: DataFrame, docs: DataFrame, hashed: Callable[[Column], Co
     Rows that share an id with another text are told apart by their hashes.
     """
     wanted = pairs.select(F.explode(F.array("keep", "snap")).alias("w")).distinct()
-    texts = docs.join(wanted, F.col("id").eqNullSafe(F.col("w")), "left_semi").select("id", normalised(F.col("text")).alias("t"), hashed(F.col("text")).alias("h"))
+    # written, lest the hashes be taken of every text ahead of the join
+    met = write_table(docs.join(wanted, F.col("id").eqNullSafe(F.col("w")), "left_semi").select("id", "text"), "met")
+    texts = met.select("id", normalised(F.col("text")).alias("t"), hashed(F.col("text")).alias("h"))
     texts = texts.select("id", "t", "h.digest", "h.check").groupBy("id", *KEY).agg(F.min("t").alias("t"))
     a, b = (texts.select(*[F.col(c).alias(f"{side}_{c}") for c in texts.columns]) for side in "ab")
     own = F.col("keep").eqNullSafe(F.col("a_id")) & (F.col("digest") == F.col("a_digest")) & (F.col("check") == F.col("a_check"))
