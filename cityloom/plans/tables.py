@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cityloom.functions import geometry as geo, labels as lb, polygons as pg, text as tx
-from cityloom.operators import audit, evidence as ev, models, records as rc, spatial as sp, verdicts as vd
+from cityloom.functions import alignment, geometry as geo, labels as lb, polygons as pg, text as tx
+from cityloom.operators import evidence as ev, records as rc, spatial as sp, verdicts as vd
 from cityloom.plans import publication as pb, queries as q
 from cityloom.plans.publication import _pick, _sql_pick
 from cityloom.plans.queries import B, Views, query
@@ -234,8 +234,31 @@ def row_ids(v):
     return rc.numbered(v.polys.select("building", "osmid"), "building", "osmid").select("osmid", "row_id")
 
 
+@query(" select b.bid, l.opno, p.domestic_gfa from fx_buildings b left join (select bid, min(opno) as opno from fx_permit_links group by bid) l using (bid) left join fx_permits p using (opno)", "buildings", "permit_links", "permits")
+def dimension_lookup(v):
+    """Left join of a dimension that has one row a key, the first by its order."""
+    first = sp.first_by(v.permit_links, "bid", F.col("opno"))
+    return v.buildings.select("bid").join(first, "bid", "left").join(v.permits, "opno", "left").select("bid", "opno", "domestic_gfa")
+
+
+@query(" select bid, category, null::double as heat, null::varchar as owner from fx_buildings", "buildings")
+def column_subset(v):
+    """The wanted columns: those that are there, the others as typed nulls; all else is dropped."""
+    return files.ensure_columns(v.buildings, "bid long, category string, heat double, owner string")
+
+
 # Text.
 
+
+@query(" select bid, round(case when name_en is null then 0 else 200.0*length(name_en)/(2*length(name_en)+3) end, 6)::double as ratio, case when name_en is null then 0.0 else 100.0 end::double as token_ratio, round(case when name_en is null then 0 else 200.0*(length(name_en)-1)/(2*length(name_en)) end, 6)::double as changed from fx_buildings", "buildings")
+def name_ratio_forms(v):
+    """Names against themselves with a suffix, with a word put in front, and with the last letter changed: the ratios have closed forms."""
+    n = F.col("name_en")
+    ratio, tokens = alignment.name_ratio(n, F.concat(n, F.lit(" 99"))), alignment.token_set_ratio(n, F.concat(F.lit("99 "), n))
+    changed = alignment.name_ratio(n, F.concat(F.substr(n, F.lit(1), F.length(n) - 1), F.lit("#")))
+    return v.buildings.select("bid", F.round(ratio, 6).alias("ratio"), tokens.alias("token_ratio"), F.round(changed, 6).alias("changed"))
+
+
 _TRADITIONAL, _SIMPLIFIED = "廠樓學業飯店醫診", "厂楼学业饭店医诊"
 _SIGNS = ["工廠大樓", "學校 School", "飯店", "Barber 酒", None, "醫診所 clinic"]
 
