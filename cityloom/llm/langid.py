@@ -151,7 +151,9 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
 def identify(df: DataFrame, net: ByteConvNet, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """df with the predicted language of every whole text and its share (0 to 1).
 
-    Null, empty or letterless texts: ``und`` and 0. Columns named lang_col or score_col are replaced; others stay.
+    Null, empty or letterless texts: ``und`` and 0. All windows of a text count, however long it is; of languages with equal shares
+    the first by name is taken; repeated rows get equal results. Columns named lang_col or score_col are replaced; others stay. An
+    empty table gives an empty result.
     """
     shared = df.sparkSession.sparkContext.broadcast(net)
 

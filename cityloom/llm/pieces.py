@@ -237,7 +237,11 @@ class UnigramModel:
 
 
 def encode(df: DataFrame, model_path: str = VOCABULARY, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
-    """df with ids_col, the piece ids of text_col (null text: null; empty: no ids). A column named ids_col is replaced."""
+    """df with ids_col, the piece ids of text_col (null text: null; empty: no ids).
+
+    Texts of any length are encoded whole; of segmentations with equal scores the one whose last piece is longest is taken, so repeated rows
+    get equal ids. A column named ids_col is replaced; other columns stay. An empty table gives an empty result.
+    """
     model = df.sparkSession.sparkContext.broadcast(UnigramModel.from_file(model_path))
 
     @F.arrow_udf("array<int>")

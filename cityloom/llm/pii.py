@@ -30,7 +30,7 @@ PATTERNS = {
 }
 #: Looser forms: kind, pattern, what a text must contain to be looked at.
 LOOSE = (
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{2,63}+(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{2,63}+)++", r"[\[(]at[\])]"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{2,}+(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{2,}+)++", r"[\[(]at[\])]"),
     ("phone", r"(?<![0-9A-Za-z+./-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])", r"[0-9]{3}[ .-][0-9]{4}"),
     ("secret", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])", "(?:AKIA|ASIA)[0-9A-Z]"),
     ("secret", r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key) ?[=:] ?[^\s,;]{6,}+", r"(?i)(?:password|passwd|pwd|secret|token|key) ?[=:]"),
@@ -210,7 +210,8 @@ def _joined(spans: Column) -> Column:
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, base, spans`` (arrays of k, s, e: kind by place in KINDS, start, end in code points), ``base_text, spans_text``.
 
-    One row per row of df. Null text is empty, empty texts have no spans; repeated rows get equal results, null ids stay. Base
+    One row per row of df. Null text is empty, empty texts have no spans; repeated rows get equal results, null ids stay; texts of
+    any length are searched whole, and ties of spans stay side by side, in order of kind, start and end. Base
     spans are leftmost non-overlapping matches of each kind that pass its test; failing matches are dropped without another
     try. An empty table gives an empty result; other columns are not read.
     """

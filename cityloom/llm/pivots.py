@@ -161,7 +161,7 @@ def dealt_lists(seen: DataFrame, shared: int, narrow: int = NARROW) -> DataFrame
 def near_dedup(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", nearest: int = NEAREST, shared: int = SHARED, narrow: int = NARROW) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of df.
 
-    Links are pairs that share at least ``shared`` of their ``nearest`` pivots and have a cosine of at least threshold; none is
+    Pivots equally near go by their number. Links are pairs that share at least ``shared`` of their ``nearest`` pivots and have a cosine of at least threshold; none is
     below it. Vectors that are null, zero or hold null or non-finite components link with nothing. Vectors of different lengths
     are compared among themselves. Rows that share an id are one node, with the vector of the smallest hash; a null id links
     with nothing. Equal vectors are one class, whatever their number, and link with each other. An empty table gives an empty

@@ -197,7 +197,8 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
 def score(df: DataFrame, model: CompressionClassifier, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """df with score_col in 0 to 1, of every whole text (null and empty texts: the score of no window).
 
-    A column named score_col is replaced; other columns stay.
+    All windows of a text count, however long it is; repeated rows get equal scores, ties stay ties. A column named score_col is
+    replaced; other columns stay. An empty table gives an empty result.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 

@@ -63,6 +63,8 @@ def test_language_network(spark):
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(asked, net).collect()}
     assert got[1][0] == "aa" and got[2][0] == "bb" and {got[k] for k in (3, 4, 5)} == {("und", 0.0)}
     assert langid.identify(asked.limit(0), langid.train(df.limit(0))).count() == 0
+    long = spark.createDataFrame([(1, "the other thing and " * 20000), (2, "the thing " * 3 + "ich und schön über " * 20000), (2, "the thing " * 3 + "ich und schön über " * 20000)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["lang_pred"]) for r in langid.identify(long, net).collect()) == [(1, "aa"), (2, "bb"), (2, "bb")]
 
 
 def test_binary_fuse_filter():
@@ -444,6 +446,30 @@ def test_pii_base_spans(spark):
     assert pii.find_pii(frame(spark, [])).count() == 0
 
 
+def test_pii_reliabilities_and_classifier():
+    """Three good labelers and one that guesses: their shares are found, and patterns are told apart."""
+    rng = random.Random(21)
+    counts: dict = {}
+    truth: dict = {}
+    for _ in range(4000):
+        yes = rng.random() < 0.6
+        votes = tuple((1 if (rng.random() < a) == yes else 0) if rng.random() < 0.9 else -1 for a in (0.9, 0.85, 0.8, 0.5))
+        counts[4, votes] = counts.get((4, votes), 0) + 1
+        truth.setdefault((4, votes), []).append(yes)
+    rely, post = pii.reliabilities([(k, v, c) for (k, v), c in sorted(counts.items())])
+    assert rely[4, 0, 1][0] > 0.7 > 0.2 > rely[4, 0, 1][1] and abs(rely[4, 3, 1][0] - rely[4, 3, 1][1]) < 0.12
+    right = sum(sum(y == (post[k] >= 0.5) for y in v) for k, v in truth.items())
+    assert right / 4000 > 0.88
+    weights = pii.span_classifier([(k, v, 2, c) for (k, v), c in sorted(counts.items())], post)
+    assert weights[0, 1] > weights[0, 0] and weights[0, 1] - weights[0, 0] > weights[3, 1] - weights[3, 0]
+
+
+def test_pii_long_obfuscated_addresses(spark):
+    long = "a" * 300 + " [at] " + "b" * 200 + " [dot] com"
+    got = pii.find_pii(frame(spark, [(1, f"mail {long} now", "s")])).first()["spans_text"].split(",")
+    assert f"email:5:{5 + len(long)}" in got
+
+
 def test_pii_secrets_are_marked_to_their_end(spark):
     long = "api_key=" + "aB3x9Z7q" * 100
     mixed = "password=abc@host.com!tail99X"
