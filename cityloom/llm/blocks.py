@@ -23,6 +23,19 @@ def block_pairs(member: Column, blocks: Column) -> Column:
     )
 
 
+def sided_pairs(member: Column, home: Column, others: Column, homes: Column) -> Column:
+    """As block_pairs, for a group of which the members at home need no comparison with each other.
+
+    The others are dealt into blocks 0 to others - 1, those at home into the homes blocks after them; pairs have at least one block
+    of others. Without others there is none.
+    """
+    spread = F.xxhash64(member, F.lit(17))
+    own = F.when(home, others + F.pmod(spread, F.greatest(homes, F.lit(1)).cast("long"))).otherwise(F.pmod(spread, F.greatest(others, F.lit(1)).cast("long"))).cast("int")
+    last = F.when(home, others - 1).otherwise(others + homes - 1).cast("int")
+    partners = F.when(others > 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    return F.transform(partners, lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j"), F.when(own <= other, 0).otherwise(1).alias("side")))
+
+
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], work: Callable[[pa.Table], list]) -> Iterator:
     """Apply work to each run of rows with equal keys of a partition sorted by them; runs may span batches."""
     held: list[pa.RecordBatch] = []

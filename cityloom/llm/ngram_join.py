@@ -7,6 +7,11 @@ step. At each step, sets that agree in the shortened prefix, and did not meet be
 hashes of the word tuples). From the similarities of the links found so far follows how many such links the forest would have
 missed at this length; once the estimated recall reaches the target, or the length at which even a pair at the threshold
 meets with that chance, the join is done. The members of a trie node are dealt into blocks, and pairs of blocks are verified.
+
+Large groups of near copies are not compared pair by pair. A set of a large node of the longest prefix is compared with the node's
+smallest set, its centre. As Jaccard distance keeps the triangle inequality, sets within half the threshold's distance of their
+centre all link with each other: they form a cluster, whose links follow from its size. Within a node, only what is outside the
+cluster that fills most of it is compared, with all of it.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cityloom.llm.blocks import block_pairs, grouped, lists
+from cityloom.llm.blocks import grouped, lists, sided_pairs
 from cityloom.llm.common import drop_table, partitions, write_table
 from cityloom.llm.components import connected_components, forest
 
@@ -242,7 +247,8 @@ def _verify(threshold: float, trees: int, depth: int, before: int | None):
         if not len(p) or not len(q) or i == j and len(p) < 2:
             return []
         signature = _bytes(rows.column("signature"))
-        open_pairs = np.ones((len(p), len(q)), bool)
+        cluster = np.asarray(rows.column("cluster").combine_chunks())  # -1: none
+        open_pairs = (cluster[p][:, None] != cluster[q][None]) | (cluster[p][:, None] < 0)
         keys = _keys(signature, trees, depth)
         for t in range(tree):
             open_pairs &= keys[p, t][:, None] != keys[q, t][None]
@@ -280,6 +286,28 @@ def _verify(threshold: float, trees: int, depth: int, before: int | None):
     return run
 
 
+def clusters_of(nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``rep, cluster, weight``: sets of nodes (tree, prefix, rep) of more than BLOCK members that are within half the threshold's distance of a centre.
+
+    The centre of a node is its smallest set; a set of several such nodes takes the smallest of their centres. Centres are dealt
+    out with a salt, so that no task meets all sets of one.
+    """
+    large = nodes.groupBy("tree", "prefix").agg(F.count("*").alias("members"), F.min("rep").alias("centre")).where(F.col("members") > BLOCK)
+    own = nodes.join(large, ["tree", "prefix"]).groupBy("rep").agg(F.min(F.struct("centre", "members")).alias("c")).select("rep", "c.centre", F.ceil(F.col("c.members") / BLOCK).cast("int").alias("salts"))
+    own = write_table(own, "centres")
+    centre = own.groupBy("centre").agg(F.max("salts").alias("salts")).join(sets.select(F.col("rep").alias("centre"), F.col("shingles").alias("of_centre")), "centre")
+    centre = centre.select("centre", "of_centre", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    most = own.groupBy("centre").agg(F.max("salts").alias("all_salts"))
+    members = own.join(most, "centre").join(sets.select("rep", "weight", "shingles"), "rep").withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(29)), F.col("all_salts").cast("long")).cast("int"))
+    pairs = members.drop("salts", "all_salts").join(centre, ["centre", "salt"])
+    common = F.size(F.array_intersect("shingles", "of_centre"))
+    near = common >= (1 - (1 - threshold) / 2) * (F.size("shingles") + F.size("of_centre") - common) + 1e-9
+    found = write_table(pairs.where(near).select("rep", F.col("centre").alias("cluster"), "weight"), "clusters")
+    several = found.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
+    drop_table(own)
+    return write_table(found.join(several, "cluster", "left_semi").select("rep", "cluster", "weight"), "clusters")
+
+
 def ngram_join(df: DataFrame, threshold: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, labels: int = LABELS, recall: float = RECALL) -> DataFrame:
     """``doc_id, n_links, component_id, kept`` for every row of df.
 
@@ -307,23 +335,39 @@ def ngram_join(df: DataFrame, threshold: float = 0.8, words: int = 5, id_col: st
     sets = docs.join(wanted, docs["id"] == wanted["rep"]).select("rep", "weight", "signature", "n", _shingles(words).asNondeterministic()("text").alias("shingles"))
     sets = write_table(sets.where(F.size("shingles") == F.col("n")).drop("n"), "sets")
     spread = F.xxhash64("rep")
-    found, handled, before, similar = None, None, None, np.zeros(BINS)
+
+    def nodes_of(depth: int) -> DataFrame:
+        return live.where(F.col("deep") >= depth).select("tree", F.substring("labels", 1, depth * WIDTH).alias("prefix"), "rep")
+
+    clusters = clusters_of(nodes_of(depths[0]), sets, threshold)
+    inside = clusters.join(clusters.groupBy("cluster").agg(F.sum("weight").alias("all")), "cluster")
+    found = inside.select(F.lit(0).alias("kind"), "rep", (F.col("all") - F.col("weight")).alias("links"), F.col("rep").alias("root"))
+    found = write_table(found.union(inside.where("rep <> cluster").select(F.lit(1), "rep", F.lit(0).cast("long"), "cluster")), "links")
+    handled, before, similar = None, None, np.zeros(BINS)
     for depth in depths:
-        nodes = live.where(F.col("deep") >= depth).select("tree", F.substring("labels", 1, depth * WIDTH).alias("prefix"), "rep")
-        full = nodes.groupBy("tree", "prefix").agg(F.count("*").alias("members"), F.sum(spread % (1 << 40)).alias("x"), F.bit_xor(spread).alias("y")).where("members > 1")
+        nodes = nodes_of(depth).join(clusters.select("rep", "cluster"), "rep", "left")
+        parts = nodes.groupBy("tree", "prefix", "cluster").agg(F.count("*").alias("n"), F.sum(spread % (1 << 40)).alias("x"), F.bit_xor(spread).alias("y"))
+        home = F.max(F.when(F.col("cluster").isNotNull(), F.struct("n", "cluster")))
+        full = parts.groupBy("tree", "prefix").agg(F.sum("n").alias("members"), F.sum("x").alias("x"), F.bit_xor("y").alias("y"), home.alias("home")).where("members > 1")
         # a node with the same members as one of an earlier tree, or of a longer prefix, has nothing to add
-        full = full.groupBy("members", "x", "y").agg(F.min(F.struct("tree", "prefix")).alias("k"))
+        full = full.groupBy("members", "x", "y").agg(F.min(F.struct("tree", "prefix", "home")).alias("k"))
         full = write_table(full if handled is None else full.join(handled, ["members", "x", "y"], "left_anti"), "nodes")
         handled = full.select("members", "x", "y") if handled is None else handled.union(full.select("members", "x", "y"))
-        sized = full.select("k.tree", "k.prefix", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-        visits = nodes.join(sized, ["tree", "prefix"]).groupBy("rep").agg(F.collect_list(F.struct("tree", "prefix", "blocks")).alias("visits"))
-        dealt = sets.join(visits, "rep").select("rep", "weight", "signature", "shingles", F.explode("visits").alias("v")).select("rep", "weight", "signature", "shingles", "v.*")
-        dealt = dealt.select("rep", "weight", "signature", "shingles", "tree", "prefix", F.explode(block_pairs(F.col("rep"), F.col("blocks"))).alias("p")).select("rep", "weight", "signature", "shingles", "tree", "prefix", "p.*")
+        # one block where all members fit; else those of the cluster that has most of them apart from the others
+        split = (F.col("members") > BLOCK) & F.col("k.home").isNotNull()
+        at_home = F.when(split, F.col("k.home.n")).otherwise(0)
+        sized = full.select("k.tree", "k.prefix", F.when(split, F.col("k.home.cluster")).otherwise(-1).alias("home"), F.ceil((F.col("members") - at_home) / BLOCK).cast("int").alias("others"), F.ceil(at_home / BLOCK).cast("int").alias("homes"))
+        seen = nodes.join(sized.where("others > 0"), ["tree", "prefix"]).withColumn("at_home", F.coalesce(F.col("cluster") == F.col("home"), F.lit(False)))
+        visits = seen.groupBy("rep", F.coalesce("cluster", F.lit(-1)).alias("cluster")).agg(F.collect_list(F.struct("tree", "prefix", "at_home", "others", "homes")).alias("visits"))
+        columns = ["rep", "weight", "cluster", "signature", "shingles"]
+        dealt = sets.join(visits, "rep").select(*columns, F.explode("visits").alias("v")).select(*columns, "v.*")
+        pairs = F.explode(sided_pairs(F.col("rep"), F.col("at_home"), F.col("others"), F.col("homes"))).alias("p")
+        dealt = dealt.select(*columns, "tree", "prefix", pairs).select(*columns, "tree", "prefix", "p.*")
         keyed = dealt.repartition(partitions(spark), "tree", "prefix", "i", "j").sortWithinPartitions("tree", "prefix", "i", "j", "side", "rep")
         new = write_table(keyed.mapInArrow(_verify(threshold, trees, depth, before), "kind int, rep long, links long, root long"), "links")
         for r in new.where("kind = 2").groupBy("rep").agg(F.sum("links").alias("links")).collect():
             similar[r["rep"]] += r["links"]
-        found = new if found is None else found.union(new)
+        found = found.union(new)
         before = depth
         if estimated_recall(similar, depth, trees) >= recall:
             break

@@ -166,6 +166,36 @@ def test_large_group_is_dealt_into_blocks(spark):
     assert tuple(got) == (len(rows) - 1, len(rows) - 1, 0)
 
 
+def test_clusters_of_near_copies_lose_no_link(spark, monkeypatch):
+    """A large group of copies, near and less near, with blocks of 8: clusters, those outside them, and a second group beside it."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    rng = random.Random(31)
+    rows = []
+    for base in ([f"a{k}" for k in range(120)], [f"b{k}" for k in range(150)]):
+        for _ in range(70):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 1, 1, 2, 3, 4])):
+                w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+            if rng.random() < 0.2:
+                w = w + [f"t{rng.randrange(10**6)}" for _ in range(rng.randrange(20))]
+            rows.append((len(rows), " ".join(w), "s"))
+    rows += [(1000 + k, rows[0][1], "s") for k in range(5)]
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, t, _ in rows for w in [t.split()]}
+    link = {a: {b for b in sets if b != a and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])} for a in sets}
+    met = []
+    monkeypatch.setattr(ngram_join, "clusters_of", lambda *a, f=ngram_join.clusters_of: met.append(f(*a)) or met[0])
+    got = {r["doc_id"]: r for r in ngram_join.ngram_join(frame(spark, rows)).collect()}
+    assert met[0].count() > 30
+    assert all(got[k]["n_links"] <= len(link[k]) for k in sets) and sum(got[k]["n_links"] for k in sets) >= 0.995 * sum(map(len, link.values()))
+    for k in sets:
+        group, queue = {k}, [k]
+        while queue:
+            new = link[queue.pop()] - group
+            group |= new
+            queue += new
+        assert got[k]["component_id"] == min(group)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1060)] + [(None, 1), (7, 7)]
