@@ -719,7 +719,7 @@ def vector_round_trip(v):
     return v.buildings.select("bid", F.format_string("%.2f", back[tx.dominant_label(back)]).alias("top"), text.alias("vector"), tx.dominant_label(back).alias("dominant"), back[tx.dominant_label(back)].alias("share"))
 
 
-@query(_EV + _FUSED + " select bid, (main='住宅类别')::int as is_residential, (main='商业类别')::int as is_commercial, (main='工业类别')::int as is_industrial from fu where main in ('住宅类别','商业类别','工业类别') and (source in ('OSM_Aggregation','BDBIAR','Keyword','Keyword_Priority','LandsD_Category','Inherited_via_Consensus_merge','Machine_Learning','Corrected_by_Rule') or source like '%Inherited%' or source like '%\_LLM\_Corrected%' escape '\\')".replace("\\\\", "\\"), *_EV_VIEWS)
+@query(_EV + _FUSED + " select bid, (main='住宅类别')::int as is_residential, (main='商业类别')::int as is_commercial, (main='工业类别')::int as is_industrial from fu where main in ('住宅类别','商业类别','工业类别') and (source in ('OSM_Aggregation','BDBIAR','Keyword','Keyword_Priority','LandsD_Category','Inherited_via_Consensus_merge','Machine_Learning','Corrected_by_Rule') or source like '%Inherited%' or position('_LLM_Corrected' in source) > 0)", *_EV_VIEWS)
 def training_set(v):
     return training(v).select("bid", "is_residential", "is_commercial", "is_industrial")
 
