@@ -343,25 +343,27 @@ def ngram_join(df: DataFrame, threshold: float = 0.8, words: int = 5, id_col: st
     inside = clusters.join(clusters.groupBy("cluster").agg(F.sum("weight").alias("all")), "cluster")
     found = inside.select(F.lit(0).alias("kind"), "rep", (F.col("all") - F.col("weight")).alias("links"), F.col("rep").alias("root"))
     found = write_table(found.union(inside.where("rep <> cluster").select(F.lit(1), "rep", F.lit(0).cast("long"), "cluster")), "links")
+    bare, sets = sets, write_table(sets.join(clusters.select("rep", "cluster"), "rep", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1))), "sets")
+    drop_table(bare)
     handled, before, similar = None, None, np.zeros(BINS)
     for depth in depths:
-        nodes = nodes_of(depth).join(clusters.select("rep", "cluster"), "rep", "left")
-        parts = nodes.groupBy("tree", "prefix", "cluster").agg(F.count("*").alias("n"), F.sum(spread % (1 << 40)).alias("x"), F.bit_xor(spread).alias("y"))
-        home = F.max(F.when(F.col("cluster").isNotNull(), F.struct("n", "cluster")))
-        full = parts.groupBy("tree", "prefix").agg(F.sum("n").alias("members"), F.sum("x").alias("x"), F.bit_xor("y").alias("y"), home.alias("home")).where("members > 1")
+        nodes = nodes_of(depth)
+        full = nodes.groupBy("tree", "prefix").agg(F.count("*").alias("members"), F.sum(spread % (1 << 40)).alias("x"), F.bit_xor(spread).alias("y")).where("members > 1")
         # a node with the same members as one of an earlier tree, or of a longer prefix, has nothing to add
-        full = full.groupBy("members", "x", "y").agg(F.min(F.struct("tree", "prefix", "home")).alias("k"))
+        full = full.groupBy("members", "x", "y").agg(F.min(F.struct("tree", "prefix")).alias("k"))
         full = write_table(full if handled is None else full.join(handled, ["members", "x", "y"], "left_anti"), "nodes")
         handled = full.select("members", "x", "y") if handled is None else handled.union(full.select("members", "x", "y"))
         # one block where all members fit; else those of the cluster that has most of them apart from the others
-        split = (F.col("members") > BLOCK) & F.col("k.home").isNotNull()
-        at_home = F.when(split, F.col("k.home.n")).otherwise(0)
-        sized = full.select("k.tree", "k.prefix", F.when(split, F.col("k.home.cluster")).otherwise(-1).alias("home"), F.ceil((F.col("members") - at_home) / BLOCK).cast("int").alias("others"), F.ceil(at_home / BLOCK).cast("int").alias("homes"))
-        seen = nodes.join(sized.where("others > 0"), ["tree", "prefix"]).withColumn("at_home", F.coalesce(F.col("cluster") == F.col("home"), F.lit(False)))
-        visits = seen.groupBy("rep", F.coalesce("cluster", F.lit(-1)).alias("cluster")).agg(F.collect_list(F.struct("tree", "prefix", "at_home", "others", "homes")).alias("visits"))
+        small = full.where(F.col("members") <= BLOCK).select("k.tree", "k.prefix", F.lit(-2).cast("long").alias("home"), F.lit(1).alias("others"), F.lit(0).alias("homes"))
+        large = full.where(F.col("members") > BLOCK).select("members", "k.tree", "k.prefix")
+        most = nodes.join(clusters.select("rep", "cluster"), "rep").groupBy("tree", "prefix", "cluster").agg(F.count("*").alias("n")).groupBy("tree", "prefix").agg(F.max(F.struct("n", "cluster")).alias("home"))
+        at_home = F.coalesce("home.n", F.lit(0))
+        large = large.join(most, ["tree", "prefix"], "left").select("tree", "prefix", F.coalesce("home.cluster", F.lit(-2)).alias("home"), F.ceil((F.col("members") - at_home) / BLOCK).cast("int").alias("others"), F.ceil(at_home / BLOCK).cast("int").alias("homes"))
+        sized = small.unionByName(large).where("others > 0")
+        visits = nodes.join(sized, ["tree", "prefix"]).groupBy("rep").agg(F.collect_list(F.struct("tree", "prefix", "home", "others", "homes")).alias("visits"))
         columns = ["rep", "weight", "cluster", "signature", "shingles"]
         dealt = sets.join(visits, "rep").select(*columns, F.explode("visits").alias("v")).select(*columns, "v.*")
-        pairs = F.explode(sided_pairs(F.col("rep"), F.col("at_home"), F.col("others"), F.col("homes"))).alias("p")
+        pairs = F.explode(sided_pairs(F.col("rep"), F.col("cluster") == F.col("home"), F.col("others"), F.col("homes"))).alias("p")
         dealt = dealt.select(*columns, "tree", "prefix", pairs).select(*columns, "tree", "prefix", "p.*")
         keyed = dealt.repartition(partitions(spark), "tree", "prefix", "i", "j").sortWithinPartitions("tree", "prefix", "i", "j", "side", "rep")
         new = write_table(keyed.mapInArrow(_verify(threshold, trees, depth, before), "kind int, rep long, links long, root long"), "links")
