@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cityloom.llm import chat, exact_dedup, langid, mixing, ngram_join, pieces, pii, pivots, toxicity, warc
+from cityloom.llm import chat, exact_dedup, infill, langid, licenses, mixing, ngram_join, pieces, pii, pivots, ranked, toxicity, warc
 from cityloom.llm.common import bounded_batches, documents, id_remainder
+from cityloom.llm.words import WORD
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,13 +89,34 @@ def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicit
     return toxicity.train(docs, labels)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(documents(spark, sf_dir))
+    back = infill.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(documents(spark, sf_dir))
+    base = F.filter("matches", lambda m: m["base"])
+    starts = F.transform(base, lambda m: m["start"])
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        licenses.labels_of(base).alias("base_labels"), licenses.labels_of(F.col("matches")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["strength"])), F.lit(0.0)).alias("score"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_embedding_dedup, op4_exact_dedup, op5_chat_format, op6_pii, op7_warc, op8_ngram_join, op9_mixing, op10_toxicity, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_embedding_dedup, op4_exact_dedup, op5_chat_format, op6_pii, op7_warc, op8_ngram_join, op9_mixing, op10_toxicity, op11_fill_in_middle, op12_ranked_search, op13_license_scan, pipeline)}
 
 _OP3 = """
 WITH RECURSIVE v AS (
@@ -147,4 +169,56 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 A
   CASE WHEN payload_bytes >= 1000 AND page_id < best THEN best END AS refers_to FROM w
 """
 
-ORACLE_SQL = {"op3_embedding_dedup": _OP3, "op4_exact_dedup": _OP4, "op5_chat_format": _OP5, "op7_warc": _OP7}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '{WORD}')"
+
+_OP11 = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), g AS (
+  SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM t
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g
+), p AS (
+  SELECT doc_id, text, n, form, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:n], '') AS suffix FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p
+"""
+
+_OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+k AS (SELECT r, doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM k),
+i AS (SELECT row_number() OVER () AS item, item_id, list_distinct({_WORDS}) AS terms FROM benchmark),
+q AS (SELECT item, item_id, unnest(terms) AS term FROM i),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY r, term),
+f AS (SELECT term, floor(1000 * ln((2 * (SELECT docs FROM s) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p GROUP BY term),
+c AS (
+  SELECT item, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))))::BIGINT AS score
+  FROM q JOIN p USING (term) JOIN f USING (term) JOIN k USING (r), s GROUP BY item, item_id, r, doc_id
+), o AS (SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM c WHERE score > 0)
+SELECT * FROM o WHERE rank <= 10
+"""
+
+
+def _op13() -> str:
+    def places(phrase: str) -> str:
+        return "list_filter(range(len(w)), lambda i: " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split(), 1)) + ")"
+
+    both = [*licenses.BASE, *licenses.TEMPLATES]
+    met = [f"regexp_matches(j, '{licenses.pattern(t)}')" for _, t in both]
+    named = lambda some: "array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN {m} THEN '{name}' END" for m, (name, _) in some) + "], lambda x: x IS NOT NULL))), ',')"
+    pairs = list(zip(met, both))
+    strength = ", ".join(f"CASE WHEN {m} THEN {licenses.mandatory(t)}::DOUBLE / {licenses.mandatory(t) + 1} ELSE 0 END" for m, (_, t) in pairs)
+    return f"""
+WITH t AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS j, list_concat({", ".join(places(t) for _, t in licenses.BASE)}) AS hits FROM t)
+SELECT doc_id, len(w) AS n_words, len(hits) AS n_base, list_min(hits) AS first_word, list_max(hits) AS last_word,
+  {named(pairs[: len(licenses.BASE)])} AS base_labels, {named(pairs)} AS labels, greatest({strength})::DOUBLE AS score FROM b
+"""
+
+
+ORACLE_SQL = {"op3_embedding_dedup": _OP3, "op4_exact_dedup": _OP4, "op5_chat_format": _OP5, "op7_warc": _OP7, "op11_fill_in_middle": _OP11, "op12_ranked_search": _OP12, "op13_license_scan": _op13()}
