@@ -10,18 +10,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cityloom.sources.files import work_path
+from cityloom.sources.files import stored
 
 FEATURES = ["area", "perimeter", "compactness", "px", "py", "zone_code", "density", "dominant_code", "height"]
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read back: worked out once, whatever reads it."""
-    path = work_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def split(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """df with ``train``: four fifths of the keys by hash, whatever the partitioning."""
     return df.withColumn("train", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(5)) < 4)
