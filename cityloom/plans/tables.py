@@ -14,7 +14,7 @@ from cityloom.operators import evidence as ev, records as rc, spatial as sp, ver
 from cityloom.plans import publication as pb, queries as q
 from cityloom.plans.publication import _pick, _sql_pick
 from cityloom.plans.queries import B, Views, query
-from cityloom.sources import files
+from cityloom.sources import collections, files
 
 # Sources and sinks: the views are written, and read back by the source.
 
@@ -59,6 +59,21 @@ def scan_geojson_geom(v):
     return rows.select("zone_id", "kind", F.size("parts").cast("long").alias("parts"), F.size(F.flatten("parts")).cast("long").alias("rings"), F.round(geo.ring_area(F.col("ring")), 6).alias("area"))
 
 
+@query(""" select bid, '{'||coalesce(name_en, 'no "name" \\')||'}]' as name, round((x2-x1)*(y2-y1), 6) as area from fx_buildings""", "buildings")
+def scan_collection(v):
+    """All buildings as one collection in one file, with braces, quotes and backslashes in names and lists named alike elsewhere; read in ranges of 64 kB."""
+    path = files.work_path(v.spark, "collection")
+    name = F.concat(F.lit("{"), F.coalesce("name_en", F.lit('no "name" \\')), F.lit("}]"))
+    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct("bid", name.alias("name")).alias("properties"), _shape("Polygon", F.array(_outline(*B))).alias("geometry")))
+    first = v.buildings.agg(F.min("bid").alias("first")).withColumn("k", F.lit(1))
+    lines = v.buildings.withColumn("k", F.lit(1)).join(F.broadcast(first), "k").select(F.col("bid").alias("n"), F.concat(F.when(F.col("bid") == F.col("first"), "").otherwise(","), feature).alias("value"))
+    ends = v.spark.createDataFrame([(-1, '{"crs": {"features": [{"bid": 1}]}, "features" : ['), (1 << 62, '], "other": [{"properties": {"bid": -1}}]}')], "n long, value string")
+    lines.unionByName(ends).repartition(1).sortWithinPartitions("n").select("value").write.text(path)
+    rows = collections.read_features(v.spark, path, "properties struct<bid:long,name:string>, geometry struct<type:string,coordinates:string>", size=1 << 16)
+    shape = files.feature_geometry(F.col("f.geometry"))["parts"]
+    return rows.select("f.properties.*", F.round(geo.ring_area(F.get(F.get(shape, F.lit(0)), F.lit(0))), 6).alias("area"))
+
+
 @query(" select bid, category, name_en, round((x2-x1)*(y2-y1), 6) as area from fx_buildings", "buildings")
 def geojson_sink(v):
     """Line-delimited features, written and read back."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cityloom.functions import geometry as geo, text as tx
+from cityloom.sources.collections import read_features
 
 RING = "array<struct<x:double,y:double>>"
 
@@ -34,8 +35,10 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, or one that fits a pattern."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    system = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.exists(p) or bool(system.globStatus(p))
 
 
 def prefer_cached(spark: SparkSession, cached: str, raw: DataFrame) -> DataFrame:
@@ -71,11 +74,11 @@ def scan_geojson(spark: SparkSession, path: str, properties: str, geometry: bool
     """One row per feature of collections under path: the properties (a DDL string) and, if asked, ``kind, px, py, parts, ring``.
 
     parts has all polygons with their holes, ring is the outer ring of the first. Files that are not JSON, or not there, give no row.
+    A large collection is read by many tasks.
     """
-    schema = f"features array<struct<properties:struct<{properties}>, geometry:struct<type:string, coordinates:string>>>"
     if not exists(spark, path):
         return spark.createDataFrame([], StructType.fromDDL(properties))
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+    rows = read_features(spark, path, f"properties struct<{properties}>, geometry struct<type:string, coordinates:string>")
     if not geometry:
         return rows.select("f.properties.*")
     shape = feature_geometry(F.col("f.geometry"), to_grid)
@@ -130,8 +133,7 @@ def scan_places(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_esri_zones(spark: SparkSession, path: str) -> DataFrame:
     """Zones of all files under path: label, description and outer ring; features without a ring are left out."""
-    schema = "features array<struct<attributes:struct<ZONE_LABEL:string,DESC_ENG:string>, geometry:struct<rings:array<array<array<double>>>>>>"
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path).select(F.explode("features").alias("f"))
+    rows = read_features(spark, path, "attributes struct<ZONE_LABEL:string,DESC_ENG:string>, geometry struct<rings:array<array<array<double>>>>")
     ring = F.transform(F.get(F.col("f.geometry.rings"), F.lit(0)), lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
     return rows.select(F.col("f.attributes.ZONE_LABEL").alias("zone_label"), F.col("f.attributes.DESC_ENG").alias("description"), ring.alias("ring")).where("ring IS NOT NULL")
 
