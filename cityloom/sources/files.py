@@ -154,6 +154,13 @@ def strong_keywords(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(F.from_json(F.col("m")["__STRONG_KEYWORDS__"], "array<string>")).alias("k")).select(F.trim(F.lower("k")).alias("keyword")).distinct()
 
 
+def phrase_table(spark: SparkSession, path: str) -> DataFrame:
+    """``phrase, to`` of phrase files: a phrase, a tab, its conversions parted by blanks, of which the first counts; other lines are skipped."""
+    line = F.split("value", "\t")
+    rows = spark.read.text(path).where(~F.col("value").startswith("#") & F.contains("value", F.lit("\t")))
+    return rows.select(line[0].alias("phrase"), F.split(line[1], " ")[0].alias("to")).where("phrase <> ''")
+
+
 def sanitized(df: DataFrame) -> DataFrame:
     """Columns fit for a text sink: nested ones as JSON, NaN, infinities, nulls and the text nan empty."""
     out = {}
