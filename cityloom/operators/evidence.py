@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cityloom.functions.automata import Keywords, with_hits
 from cityloom.functions.text import (
     COMMERCIAL, DEFAULT_SUB, EDUCATION, HEALTH, INDUSTRIAL, MIXED, NOISE, NON_ASSESSED, NON_MANUFACTURING, OFFICE, OTHER_COMMERCIAL, OTHER_INDUSTRIAL, PRIVATE_HOUSING, PUBLIC_HOUSING, RESIDENTIAL, RESTAURANT, RETAIL, TEMPORARY, TRANSPORT, UNKNOWN, clean_tag, keyword_hits,
 )
@@ -115,6 +116,21 @@ def keyword_evidence(buildings: DataFrame, keywords: dict[str, tuple[str, str]],
     return rows.select("bid", "main", "sub", weight.alias("weight"))
 
 
+def keyword_hits_evidence(buildings: DataFrame, keywords: Keywords, table: DataFrame, strong: tuple[str, ...]) -> DataFrame:
+    """As keyword_evidence, for keywords of a table (keyword, main, sub) of any number: all of a text are found in one pass, their classes joined from the table.
+
+    A keyword is strong if it is among those found. buildings: bid, category, text, area; keywords is the automaton of the table, in lower case.
+    """
+    rows = buildings.select("bid", "category", "area", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    found = with_hits(rows, F.col("low"), keywords, "found").withColumn("strong", F.arrays_overlap("found", F.array(*[F.lit(s) for s in strong]).cast("array<string>")))
+    each = found.withColumn("keyword", F.explode(F.array_distinct("found"))).join(table.select("keyword", "main", "sub"), "keyword")
+    large = F.col("low").rlike(_FUNCTIONAL) & (F.coalesce("area", F.lit(0.0)) > 50)
+    term = ((F.col("main") == COMMERCIAL) & F.col("low").rlike(_SHOP)) | ((F.col("main") == INDUSTRIAL) & F.col("low").rlike(_PLANT))
+    weight = F.when(F.col("strong"), 90).when(F.col("main") == NON_ASSESSED, F.when(large, 30).otherwise(65)).when(term, 80)
+    weight = weight.when((F.col("main") == COMMERCIAL) & F.col("category").isin("1", "2", "3"), 10).otherwise(50)
+    return each.select("bid", "main", "sub", weight.alias("weight"))
+
+
 def ev_keyword(hits: DataFrame) -> DataFrame:
     """Heaviest keyword evidence of a building from (bid, main, sub, weight); ties by main, then sub."""
     best = hits.groupBy("bid").agg(F.min(F.struct((-F.col("weight")).alias("w"), F.col("main").alias("main"), F.col("sub").alias("sub"))).alias("k"))

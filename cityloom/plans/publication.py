@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cityloom.functions import geometry as geo, labels as lb, polygons as pg, text as tx
+from cityloom.functions import automata, geometry as geo, labels as lb, polygons as pg, text as tx
 from cityloom.operators import audit, evidence as ev, models, proportions as pr, records as rc, spatial as sp, verdicts as vd
 from cityloom.plans import queries as q
 from cityloom.plans.queries import B, Views, query
+from cityloom.sources import files
 
 
 def _pick(values: list[str | None], key: str = "bid") -> Column:
@@ -74,7 +75,7 @@ def override_reasons(v):
 
 
 def _inside_pois(v: Views) -> DataFrame:
-    return sp.grid_pairs(v.buildings.select("bid", *B), q.poi_classes(v).select("osmid", "px", "py", "name", "amenity", "shop", "main", "sub"), B, sp.POINT, 40.0)
+    return v.once(q.inside_pois)
 
 
 @query(
@@ -110,24 +111,39 @@ def ev_category(v):
 
 #: Words of the stand-in descriptions as keywords: word, main, sub.
 _WORDS = {"gear": (tx.INDUSTRIAL, "金属及机械（Metal & Machinery）"), "widget": (tx.COMMERCIAL, tx.RETAIL), "bolt": (tx.NON_ASSESSED, tx.TEMPORARY), "standard": (tx.COMMERCIAL, tx.OFFICE)}
-_HITS = " unnest([{'w':'gear','m':'工业类别','s':'金属及机械（Metal & Machinery）'},{'w':'widget','m':'商业类别','s':'零售（Retail）'},{'w':'bolt','m':'非评估类别','s':'临时/杂项设施'},{'w':'standard','m':'商业类别','s':'办公室（Office）'}])"
 
 
-@query(
-    f", t as (select bid, category, lower(coalesce(name_en,'')||' '||coalesce(info_desc,'')) as t, (x2-x1)*(y2-y1) as area from fx_buildings), h as (select bid, category, t, area, u.m as main, u.s as sub from (select *, {_HITS} as u from t) where regexp_matches(t, '\\b'||u.w||'\\b'))"
-    ", w as (select bid, main, sub, case when regexp_matches(t, '\\bpromo\\b') then 90 when main='非评估类别' then 65 when main='商业类别' and category in ('1','2','3') then 10 else 50 end as weight from h), r as (select *, row_number() over (partition by bid order by weight desc, main, sub) rn from w) select bid, main, sub, weight::double as weight from r where rn=1", "buildings",
-)
+@query(q._EV + " select bid, main, sub, weight::double as weight from e5", *q._EV_VIEWS)
 def ev_keyword(v):
-    text = F.concat_ws(" ", F.coalesce("name_en", F.lit("")), F.coalesce("info_desc", F.lit("")))
-    rows = v.buildings.select("bid", "category", text.alias("text"), geo.box_area(*(F.col(c) for c in B)).alias("area"))
-    return ev.ev_keyword(ev.keyword_evidence(rows, _WORDS, ["promo"])).select("bid", "main", "sub", "weight")
+    """Names, descriptions and matched addresses against some words and all addresses of the registry."""
+    return q.evidence_part(v, "Keyword").select("bid", "main", "sub", "weight")
 
 
-@query(" select bid, case when regexp_matches(name_en, 'blue|red') then '商业类别' end as main, 70.0::double as weight from fx_buildings where category='9' and bid%2=0 and regexp_matches(name_en, 'blue|red')", "buildings")
+@query(q._EV + " select bid, main, weight::double as weight from e6", *q._EV_VIEWS)
 def ev_name(v):
-    name = F.when(F.col("name_en").rlike("blue|red"), F.concat(F.lit("The Garden School "), "name_en"))
-    known = v.buildings.where("bid % 2 = 1").select("bid")
-    return ev.ev_name(v.buildings, known, name).select("bid", "main", "weight")
+    """Category 9, where no other source says anything."""
+    return q.all_evidence(v).where("src = 'Name_Keyword'").select("bid", "main", "weight")
+
+
+@query(q._EV + ", h as (select bid, regexp_extract_all(t, '\\b(hot gear|old bolt|standard|widget|small|promo|gear|bolt)\\b') as w, a from kt) select bid, array_to_string(case when a is null then w else list_append(w, a) end, '|') as hits from h", *q._EV_VIEWS)
+def keyword_scan(v):
+    """All keywords of a building's texts from left to right, the longest at a place."""
+    text = F.concat_ws(" ", F.coalesce("name_en", F.lit("")), F.coalesce("info_desc", F.lit("")), F.coalesce("address", F.lit("")))
+    rows = v.buildings.join(v.once(q.matched).select("bid", "address"), "bid", "left").withColumn("low", F.lower(text))
+    return automata.with_hits(rows, F.col("low"), automata.keywords_of(q.keyword_table(v))).select("bid", F.array_join("hits", "|").alias("hits"))
+
+
+_PHRASES = (("old bolt", "OB"), ("bolt", "B"), ("old", "O"), ("hot gear", "hot gear"), ("gear", "G"), ("hot", "H"), ("small ring", "SR"), ("ring", "R"))
+
+
+@query(" select bid, replace(replace(replace(replace(replace(replace(replace(replace(replace(name_en, 'old bolt', 'OB'), 'hot gear', '~'), 'small ring', 'SR'), 'bolt', 'B'), 'old', 'O'), 'gear', 'G'), 'hot', 'H'), 'ring', 'R'), '~', 'hot gear') as text from fx_buildings", "buildings")
+def fold_phrases(v):
+    """Conversion by a phrase file, the longest phrase at each place: what a phrase keeps its parts would change."""
+    path = files.work_path(v.spark, "phrases")
+    table = v.spark.createDataFrame(list(_PHRASES), "phrase string, to string")
+    table.select(F.concat_ws("\t", "phrase", F.translate("to", " ", "_")).alias("value")).write.text(path)
+    read = files.phrase_table(v.spark, path).withColumn("to", F.translate("to", "_", " "))
+    return automata.converted(v.buildings, F.col("name_en"), automata.phrases_of(read), "text").select("bid", "text")
 
 
 # Shares.
@@ -137,7 +153,7 @@ def _weighted_features(v: Views) -> DataFrame:
     """Classified polygons by overlap and area, and classified points."""
     area = (F.col("f_x2") - F.col("f_x1")) * (F.col("f_y2") - F.col("f_y1"))
     tag = F.col("f_building")
-    polys = q.strong(v).select("bid", ev.looked_up(tag, ev.TAG_CLASS, 0).alias("main"), ev.looked_up(tag, ev.TAG_CLASS, 1).alias("sub"), (F.least("ratio", F.lit(1.0)) * area).alias("weight"))
+    polys = v.once(q.strong).select("bid", ev.looked_up(tag, ev.TAG_CLASS, 0).alias("main"), ev.looked_up(tag, ev.TAG_CLASS, 1).alias("sub"), (F.least("ratio", F.lit(1.0)) * area).alias("weight"))
     pois = _inside_pois(v).where("main IS NOT NULL").select("bid", "main", "sub", F.lit(0.3).alias("weight"))
     return polys.unionByName(pois)
 
@@ -157,12 +173,12 @@ _SHARE_VIEWS = ("buildings", "permits", "permit_links", "polys", "pois")
 
 @query(_SHARES + " select mm.bid, mm.main, round(share, 6) as share from mm join fx_buildings using (bid)", *_SHARE_VIEWS)
 def main_shares(v):
-    return pr.main_shares(q.gfa(v), _weighted_features(v)).where("share > 1e-12").select("bid", "main", F.round("share", 6).alias("share"))
+    return pr.main_shares(v.once(q.gfa), _weighted_features(v)).where("share > 1e-12").select("bid", "main", F.round("share", 6).alias("share"))
 
 
 @query(_SHARES + " select mm.bid, mm.main, coalesce(sp.sub, case mm.main when '住宅类别' then '私人房屋（Private Housing）' when '商业类别' then '其他商业（Other Commercial）' else '其他工业（Other Industrial）' end) as sub, round(share*coalesce(part,1.0), 6) as share from mm join fx_buildings using (bid) left join sp on sp.bid=mm.bid and sp.main=mm.main", *_SHARE_VIEWS)
 def prop_by_gfa(v):
-    return pr.prop_by_gfa(q.gfa(v), _weighted_features(v)).where("share > 1e-12").select("bid", "main", "sub", F.round("share", 6).alias("share"))
+    return pr.prop_by_gfa(v.once(q.gfa), _weighted_features(v)).where("share > 1e-12").select("bid", "main", "sub", F.round("share", 6).alias("share"))
 
 
 _SINGLE = [tx.COMMERCIAL, tx.RESIDENTIAL, tx.MIXED, tx.COMMERCIAL, tx.INDUSTRIAL]
@@ -192,7 +208,7 @@ def decided(v: Views) -> DataFrame:
     """Decided buildings: evidence, podium override, shares, and the sub class that these give."""
     board = ev.podium_override(q.fused(v), v.buildings, q.building_pois(v)).drop("overridden")
     n = F.coalesce(F.nullif(tx.safe_number(F.col("storeys")), F.lit(0.0)), F.lit(5.0))
-    return pr.with_shares(board, q.gfa(v), _weighted_features(v), v.buildings, n, q.building_pois(v))
+    return pr.with_shares(board, v.once(q.gfa), _weighted_features(v), v.buildings, n, q.building_pois(v))
 
 
 @query(_FULL + " select bid, main, sub, conf, conflicted, mixed, source from fin", *_FULL_VIEWS)

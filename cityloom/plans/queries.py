@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cityloom.functions import alignment, geometry as geo, labels as lb, text as tx
+from cityloom.functions import alignment, automata, geometry as geo, labels as lb, text as tx
 from cityloom.operators import evidence as ev, models, records as rc, spatial as sp, verdicts as vd
 from cityloom.plans.views import view, with_views
+from cityloom.sources.files import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,7 +21,13 @@ class Views:
     """The views of one data folder, by short name."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.held = spark, sf_dir, {}
+
+    def once(self, make: Callable[[Views], DataFrame]) -> DataFrame:
+        """A table that several parts of a query read, worked out once and written to the shared folder."""
+        if make.__name__ not in self.held:
+            self.held[make.__name__] = stored(make(self), make.__name__)
+        return self.held[make.__name__]
 
     def __getattr__(self, name: str) -> DataFrame:
         return view(self.spark, self.sf_dir, f"fx_{name}")
@@ -441,6 +448,16 @@ def label_english(v):
 
 # Evidence and fusion.
 
+_KD = "select lower(address) as keyword, case usage_class when 'MACHINERY' then '工业类别' when 'BUILDING' then '住宅类别' when 'AUTOMOBILE' then '非评估类别' else '商业类别' end as main, case usage_class when 'MACHINERY' then '其他工业（Other Industrial）' when 'BUILDING' then '私人房屋（Private Housing）' when 'HOUSEHOLD' then '办公室（Office）' when 'FURNITURE' then '零售（Retail）' else '交通基础设施' end as sub from fx_registry union all from (values ('gear','工业类别','金属及机械（Metal & Machinery）'),('widget','商业类别','零售（Retail）'),('bolt','非评估类别','临时/杂项设施'),('standard','商业类别','办公室（Office）'),('promo','商业类别','其他商业（Other Commercial）'),('hot gear','商业类别','食肆（Restaurant）'),('old bolt','住宅类别','私人房屋（Private Housing）'),('small','住宅类别','私人房屋（Private Housing）'))"
+#: A building's keywords: addresses occur in no other text than that of their own buildings.
+_E5 = f"""
+, kd as ({_KD})
+, kt as (select b.bid, category, (x2-x1)*(y2-y1) as area, lower(coalesce(name_en,'')||' '||coalesce(info_desc,'')||' '||coalesce(address,'')) as t, lower(address) as a from fx_buildings b left join (select bid, address from n join fx_registry using (rid)) r on r.bid=b.bid)
+, kh as (select bid, unnest(list_distinct(list_concat(regexp_extract_all(t, '\\b(hot gear|old bolt|standard|widget|small|promo|gear|bolt)\\b'), case when a is null then [] else [a] end))) as keyword from kt)
+, ks as (select bid, max((keyword in ('promo','hot gear'))::int) as strong from kh group by bid)
+, kw as (select bid, kd.main, kd.sub, case when strong=1 then 90 when kd.main='非评估类别' then case when area > 50 and regexp_matches(t, '\\b(building|tower|block|hall|house|centre)\\b|大厦|大楼|中心|馆') then 30 else 65 end when kd.main='商业类别' and regexp_matches(t, 'commercial|商業|office|寫字樓|centre') then 80 when kd.main='工业类别' and regexp_matches(t, 'industrial|工業|factory|工廠|warehouse') then 80 when kd.main='商业类别' and category in ('1','2','3') then 10 else 50 end as weight from kh join kt using (bid) join ks using (bid) join kd using (keyword))
+, e5 as (select bid, main, sub, weight/100.0 as conf, weight from (select *, row_number() over (partition by bid order by weight desc, main, sub) rn from kw) where rn=1)"""
+
 _EV = (
     _GFA
     + f"""
@@ -454,7 +471,9 @@ _EV = (
 , ct as (select bid, main, row_number() over (partition by bid order by round(v,9) desc, main) rn, sum(v) over (partition by bid) t from cv)
 , e3 as (select ct.bid, main, sub, least(t, 0.9) as conf, case when t < 0.1 then 40.0 else 75+least(t*20,20.0::double) end as weight from ct join cs on cs.bid=ct.bid and cs.rn=1 where ct.rn = 1)
 , e4 as (select bid, case when category in ('1','2','3') then '住宅类别' else '商业类别' end as main, case category when '3' then '公共房屋（Public Housing）' when '4' then '其他商业（Other Commercial）' else '私人房屋（Private Housing）' end as sub, 0.5 as conf, 50.0 as weight from fx_buildings where category in ('1','2','3','4'))
-, e as (select 1 as o, 'GFA' as src, bid, main, sub, conf::double as conf, weight::double as weight from e1 union all select 2, 'BDBIAR', bid, main, sub, conf::double, weight::double from e2 union all select 3, 'OSM', bid, main, sub, conf::double, weight::double from e3 union all select 4, 'LandsD_Category', bid, main, sub, conf::double, weight::double from e4)
+{_E5}, e0 as (select 1 as o, 'GFA' as src, bid, main, sub, conf::double as conf, weight::double as weight from e1 union all select 2, 'BDBIAR', bid, main, sub, conf::double, weight::double from e2 union all select 3, 'OSM', bid, main, sub, conf::double, weight::double from e3 union all select 4, 'LandsD_Category', bid, main, sub, conf::double, weight::double from e4 union all select 5, 'Keyword', bid, main, sub, conf::double, weight::double from e5)
+, e6 as (select bid, case when n like '%garden%' and n not like '%school%' then '住宅类别' else '商业类别' end as main, case when n like '%garden%' and n not like '%school%' then '私人房屋（Private Housing）' else '教育（Education）' end as sub, case when n like '%school%' then 70 else 60 end as weight from (select bid, lower(replace(replace(coalesce(name_en,''),'ring','Garden'),'gizmo','School')) as n from fx_buildings where category='9' and bid not in (select bid from e0)) where n like '%garden%' or n like '%school%')
+, e as (select * from e0 union all select 6, 'Name_Keyword', bid, main, sub, weight/100.0::double, weight::double from e6)
 , sb as (select bid, main, sum(weight) as score, string_agg(distinct src, '+' order by src) as sources, first(sub order by weight desc, o) filter (sub is not null) as sub, row_number() over (partition by bid order by round(sum(weight),9) desc, main) rn, sum(sum(weight)) over (partition by bid) total from e group by bid, main)
 , w as (select bid, max(main) filter (rn=1) as winner, max(score) filter (rn=1) as score, max(main) filter (rn=2) as runner_up, max(score) filter (rn=2) as runner_score, max(total) as total, max(sources) filter (rn=1) as sources, max(sub) filter (rn=1) as wsub from sb group by bid)
 """
@@ -462,20 +481,67 @@ _EV = (
 _EV_VIEWS = ("buildings", "permits", "permit_links", "registry", "polys")
 
 
-def all_evidence(v: Views) -> DataFrame:
-    """Floor areas, registry, crowd and category."""
-    spelled = F.create_map(*[F.lit(x) for p in (("MACHINERY", "Factory"), ("BUILDING", "Residential"), ("HOUSEHOLD", "Commercial")) for x in p])[F.col("usage_class")]
-    matched = sp.nearest_within(v.buildings.select("bid", *B), v.registry.select("rid", "px", "py", "usage_class"), 30.0).where("rid IS NOT NULL")
-    main, sub = tx.registry_class(spelled)
-    tag = F.col("f_building")
-    crowd = strong(v).select("bid", ev.looked_up(tag, ev.TAG_CLASS, 0).alias("main"), ev.looked_up(tag, ev.TAG_CLASS, 1).alias("sub"), F.least("ratio", F.lit(1.0)).alias("weight"))
-    parts = [ev.ev_gfa(gfa(v)), ev.ev_registry(matched, main, sub), ev.ev_crowd(crowd), ev.ev_category(v.buildings)]
+def matched(v: Views) -> DataFrame:
+    """Buildings with their nearest registry point within 30 m."""
+    near = sp.nearest_within(v.buildings.select("bid", *B), v.registry.select("rid", "px", "py", "usage_class", "address"), 30.0)
+    return near.where("rid IS NOT NULL").select("bid", "rid", "usage_class", "address", "distance")
+
+
+#: Keywords of the stand-ins besides the addresses of the registry: word, main, sub; and the strong ones.
+KEYWORDS = (
+    ("gear", tx.INDUSTRIAL, "金属及机械（Metal & Machinery）"), ("widget", tx.COMMERCIAL, tx.RETAIL), ("bolt", tx.NON_ASSESSED, tx.TEMPORARY), ("standard", tx.COMMERCIAL, tx.OFFICE), ("promo", tx.COMMERCIAL, tx.OTHER_COMMERCIAL),
+    ("hot gear", tx.COMMERCIAL, tx.RESTAURANT), ("old bolt", tx.RESIDENTIAL, tx.PRIVATE_HOUSING), ("small", tx.RESIDENTIAL, tx.PRIVATE_HOUSING),
+)
+STRONG = ("promo", "hot gear")
+#: Class of an address by the usage of its registry point.
+ADDRESS_CLASS = {"MACHINERY": (tx.INDUSTRIAL, tx.OTHER_INDUSTRIAL), "BUILDING": (tx.RESIDENTIAL, tx.PRIVATE_HOUSING), "HOUSEHOLD": (tx.COMMERCIAL, tx.OFFICE), "FURNITURE": (tx.COMMERCIAL, tx.RETAIL), "AUTOMOBILE": (tx.NON_ASSESSED, tx.TRANSPORT)}
+
+
+def keyword_table(v: Views) -> DataFrame:
+    """``keyword, main, sub``: every address of the registry, and the words."""
+    usage = F.col("usage_class")
+    addresses = v.registry.select(F.lower("address").alias("keyword"), ev.looked_up(usage, ADDRESS_CLASS, 0).alias("main"), ev.looked_up(usage, ADDRESS_CLASS, 1).alias("sub"))
+    return addresses.unionByName(v.spark.createDataFrame(list(KEYWORDS), "keyword string, main string, sub string"))
+
+
+def told_name() -> Column:
+    """The name with two of the stand-ins' nouns spelled as words that decide by themselves."""
+    return F.replace(F.replace(F.coalesce("name_en", F.lit("")), F.lit("ring"), F.lit("Garden")), F.lit("gizmo"), F.lit("School"))
+
+
+def evidence_part(v: Views, src: str) -> DataFrame:
+    """The evidence of one source but names."""
+    if src == "GFA":
+        return ev.ev_gfa(v.once(gfa))
+    if src == "BDBIAR":
+        spelled = F.create_map(*[F.lit(x) for p in (("MACHINERY", "Factory"), ("BUILDING", "Residential"), ("HOUSEHOLD", "Commercial")) for x in p])[F.col("usage_class")]
+        return ev.ev_registry(v.once(matched), *tx.registry_class(spelled))
+    if src == "OSM":
+        tag = F.col("f_building")
+        return ev.ev_crowd(v.once(strong).select("bid", ev.looked_up(tag, ev.TAG_CLASS, 0).alias("main"), ev.looked_up(tag, ev.TAG_CLASS, 1).alias("sub"), F.least("ratio", F.lit(1.0)).alias("weight")))
+    if src == "LandsD_Category":
+        return ev.ev_category(v.buildings)
+    text = F.concat_ws(" ", F.coalesce("name_en", F.lit("")), F.coalesce("info_desc", F.lit("")), F.coalesce("address", F.lit("")))
+    rows = v.buildings.join(v.once(matched).select("bid", "address"), "bid", "left").select("bid", "category", text.alias("text"), geo.box_area(*(F.col(c) for c in B)).alias("area"))
+    table = keyword_table(v)
+    return ev.ev_keyword(ev.keyword_hits_evidence(rows, automata.keywords_of(table), table, STRONG))
+
+
+def told(v: Views) -> DataFrame:
+    """Floor areas, registry, crowd, category and keywords."""
+    parts = [evidence_part(v, src) for src in ev.SOURCES[:-1]]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def all_evidence(v: Views) -> DataFrame:
+    """The same, and names of buildings of category 9 that none of them tells of."""
+    rows = v.once(told)
+    return rows.unionByName(ev.ev_name(v.buildings, rows, told_name()))
+
+
 def _evidence_of(rows: DataFrame) -> DataFrame:
     return rows.select("bid", "main", "sub", F.round("conf", 6).alias("conf"), F.round("weight", 6).alias("weight"))
 
@@ -487,17 +553,17 @@ def evidence_rows(v):
 
 @query(_EV + " select bid, main, sub, round(conf, 6) as conf, round(weight, 6) as weight from e where src = 'GFA'", *_EV_VIEWS)
 def ev_gfa(v):
-    return _evidence_of(ev.ev_gfa(gfa(v)))
+    return _evidence_of(evidence_part(v, "GFA"))
 
 
 @query(_EV + " select bid, main, sub, round(conf, 6) as conf, round(weight, 6) as weight from e where src = 'BDBIAR'", *_EV_VIEWS)
 def ev_registry(v):
-    return _evidence_of(all_evidence(v).where("src = 'BDBIAR'"))
+    return _evidence_of(evidence_part(v, "BDBIAR"))
 
 
 @query(_EV + " select bid, main, sub, round(conf, 6) as conf, round(weight, 6) as weight from e where src = 'OSM'", *_EV_VIEWS)
 def ev_crowd(v):
-    return _evidence_of(all_evidence(v).where("src = 'OSM'"))
+    return _evidence_of(evidence_part(v, "OSM"))
 
 
 @query(_EV + " select bid, winner, round(score,6) as score, runner_up, round(runner_score,6) as runner_score, round(total,6) as total, sources, wsub as sub from w", *_EV_VIEWS)
@@ -539,8 +605,14 @@ def flow_counts(v):
 _POI = ", pc as (select bid, case when amenity in ('restaurant','school') or shop in ('retail','bank') then '商业类别' end as main, case when amenity='restaurant' then '食肆（Restaurant）' when amenity='school' then '教育（Education）' when shop='retail' then '零售（Retail）' when shop='bank' then '办公室（Office）' end as sub from fx_buildings join fx_pois on px between x1 and x2 and py between y1 and y2)"
 
 
+def inside_pois(v: Views) -> DataFrame:
+    """Buildings and the points within them, with what their tags say."""
+    points = poi_classes(v).select("osmid", "px", "py", "name", "amenity", "shop", "main", "sub")
+    return sp.grid_pairs(v.buildings.select("bid", *B), points, B, sp.POINT, 40.0).drop(*B, "px", "py")
+
+
 def building_pois(v: Views) -> DataFrame:
-    return sp.grid_pairs(v.buildings.select("bid", *B), poi_classes(v).select("osmid", "px", "py", "amenity", "shop", "main", "sub"), B, sp.POINT, 40.0).select("bid", "amenity", "shop", "main", "sub")
+    return v.once(inside_pois).select("bid", "amenity", "shop", "main", "sub")
 
 
 _PODIUM = """, pk as (select bid, case when amenity='restaurant' then '食肆（Restaurant）' when shop='retail' then '零售（Retail）' when shop='bank' then '其他商业（Other Commercial）' when amenity='school' then '教育（Education）' end as psub from fx_buildings join fx_pois on px between x1 and x2 and py between y1 and y2 where coalesce(amenity,'nan')<>'nan' or shop is not null)
