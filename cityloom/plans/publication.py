@@ -206,6 +206,7 @@ _FULL_VIEWS = (*q._EV_VIEWS, "pois")
 
 def decided(v: Views) -> DataFrame:
     """Decided buildings: evidence, podium override, shares, and the sub class that these give."""
+    v.together(q.gfa, q.matched, q.strong, q.inside_pois)
     board = ev.podium_override(q.fused(v), v.buildings, q.building_pois(v)).drop("overridden")
     n = F.coalesce(F.nullif(tx.safe_number(F.col("storeys")), F.lit(0.0)), F.lit(5.0))
     return pr.with_shares(board, v.once(q.gfa), _weighted_features(v), v.buildings, n, q.building_pois(v))

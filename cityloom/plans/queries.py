@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,13 @@ class Views:
             self.held[make.__name__] = stored(make(self), make.__name__)
         return self.held[make.__name__]
 
+    def together(self, *makes: Callable[[Views], DataFrame]) -> None:
+        """The same for several tables that don't need each other, as jobs side by side."""
+        new = [m for m in makes if m.__name__ not in self.held]
+        if len(new) > 1:
+            with ThreadPoolExecutor(len(new)) as pool:
+                list(pool.map(self.once, new))
+
     def __getattr__(self, name: str) -> DataFrame:
         return view(self.spark, self.sf_dir, f"fx_{name}")
 
@@ -529,6 +537,7 @@ def evidence_part(v: Views, src: str) -> DataFrame:
 
 def told(v: Views) -> DataFrame:
     """Floor areas, registry, crowd, category and keywords."""
+    v.together(gfa, matched, strong)
     parts = [evidence_part(v, src) for src in ev.SOURCES[:-1]]
     out = parts[0]
     for p in parts[1:]:
