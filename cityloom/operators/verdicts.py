@@ -125,6 +125,20 @@ def apply_pairs(buildings: DataFrame, pairs: DataFrame) -> DataFrame:
     return j.select("bid", main.alias("main"), source.alias("source"))
 
 
+def apply_pair_rows(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """rows (bid, main, sub, vector, source) after the pairs: a merged fragment takes its host's main, sub and vector, a deleted one is noise; others stay.
+
+    Of several hosts the one with the smallest id counts; a host that is not among the rows gives nothing.
+    """
+    host = rows.select(F.col("bid").alias("host_id"), F.struct(F.col("bid").alias("host"), "main", "sub", "vector").alias("h"))
+    gain = pairs.where(F.col("final").isin(*INHERIT)).join(host, "host_id").groupBy(F.col("fragment_id").alias("bid")).agg(F.min("h").alias("h"))
+    gone = pairs.where(F.col("final").isin(*DELETE)).select(F.col("fragment_id").alias("bid"), F.lit(True).alias("gone")).distinct()
+    j = rows.join(gain, "bid", "left").join(gone, "bid", "left")
+    noise = {"main": F.lit(NON_ASSESSED), "sub": F.lit(NON_ASSESSED), "vector": F.lit(f"{NON_ASSESSED}:1.00"), "source": F.lit("Deleted")}
+    taken = {**{c: F.col(f"h.{c}") for c in ("main", "sub", "vector")}, "source": F.concat(F.lit("Inherited_"), F.col("h.host").cast("string"))}
+    return j.select("bid", *[F.when(F.col("gone"), noise[c]).when(F.col("h").isNotNull(), taken[c]).otherwise(F.col(c)).alias(c) for c in ("main", "sub", "vector", "source")])
+
+
 def _cleaned(c: str) -> Column:
     t = F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
     return F.regexp_replace(F.when(F.lower(t).isin("unknown", "nan", "none", ""), UNKNOWN).otherwise(t), "餐饮（(?:Catering|Restaurant)）", RESTAURANT)
