@@ -203,8 +203,17 @@ class UnigramModel:
         parts = [self.segment(chunks[a:b]) for a, b in zip(np.append(0, cuts[:-1]), cuts)]
         return np.concatenate([p for p, _ in parts]), np.concatenate([n for _, n in parts])
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(flat ids, offsets) of texts; a null or empty text has no ids. Each distinct word of the batch is segmented once."""
+    def encode(self, texts: list[str | None], most: int = 2 << 20) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, offsets) of texts; a null or empty text has no ids. Texts go in runs of about most characters, so that the words of a whole batch are never held at once."""
+        upto = np.cumsum([len(t or "") for t in texts])
+        cuts = np.append(np.flatnonzero(np.diff(upto // most)) + 1, len(texts))
+        parts = [self._encode_run(texts[a:b]) for a, b in zip(np.append(0, cuts[:-1]), cuts)]
+        ids = np.concatenate([p for p, _ in parts])
+        before = np.cumsum([0] + [len(p) for p, _ in parts[:-1]])
+        return ids, np.concatenate([[0], *[at[1:] + n for (_, at), n in zip(parts, before)]])
+
+    def _encode_run(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """encode() of a run: each distinct word of it is segmented once."""
         cut = _CHUNK.findall if self.whole_words else (lambda x: [x])
         flat: list[str] = []
         many = np.zeros(len(texts), np.int64)
