@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from cityloom.llm.common import write_table
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "secret", "ssn")
+KINDS = (*BASE, "secret", "ssn", "account")
 _LOCAL = "A-Za-z0-9._%+-"
 _PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 #: The base forms. A match starts where the last one ended or where a run begins, which is where a leftmost match can start, and
@@ -28,12 +28,22 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
+_NAMED = "(?:password|passwd|pwd|secret|token|api[_-]?key)"
 #: Looser forms: kind, pattern, what a text must contain to be looked at.
 LOOSE = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{2,}+(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{2,}+)++", r"[\[(]at[\])]"),
     ("phone", r"(?<![0-9A-Za-z+./-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])", r"[0-9]{3}[ .-][0-9]{4}"),
     ("secret", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])", "(?:AKIA|ASIA)[0-9A-Z]"),
-    ("secret", r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key) ?[=:] ?[^\s,;]{6,}+", r"(?i)(?:password|passwd|pwd|secret|token|key) ?[=:]"),
+    # a quoted value alone
+    ("secret", rf"(?i)(?<={_NAMED} ?[=:] ?[\"'])[^\"'\n]{{6,}}+(?=[\"'])", rf"(?i){_NAMED} ?[=:]"),
+    # and with its name, from that to the value's last sign that is no punctuation
+    ("secret", rf"(?i)(?<![a-z0-9]){_NAMED} ?[=:] ?[\"']?[^\s,;\"']{{5,}}[A-Za-z0-9/+=_-]", rf"(?i){_NAMED} ?[=:]"),
+    # long runs of letters and digits without a name before them: keys, or hashes, or mere numbers of parts
+    ("secret", r"(?<![A-Za-z0-9_/.-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{24,}+(?![A-Za-z0-9/.])", "[A-Za-z0-9_-]{24}"),
+    # card numbers whose check digit is wrong, or numbers of something else
+    ("account", r"(?<![0-9A-Za-z.+/-])[0-9]{4}(?:[ -]?[0-9]{4}){2,3}[0-9]{0,3}(?![0-9A-Za-z])", "[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}"),
+    # four parts of which one is too large, or more parts: hardly an address
+    ("ip", r"(?<![0-9.])[0-9]{1,4}(?:\.[0-9]{1,4}){3,5}(?![0-9.])", r"[0-9]\.[0-9]{1,4}\.[0-9]{1,4}\.[0-9]"),
     ("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", r"[0-9]-[0-9]{2}-[0-9]"),
 )
 #: Gazetteers: what a span of the kind holds if it is one, and what speaks against it.
@@ -42,8 +52,9 @@ GAZETTEER = {
     "ip": (r"^(?:[1-9]|[1-9][0-9]|1[0-9][0-9]|2[0-1][0-9]|22[0-3])\.", r"^(?:0|127|255)\."),
     "card": (r"^[3-6]", r"^(?:0|1|9)"),
     "phone": (r"^\(?[2-9][0-9]{2}", r"^\(?(?:000|111|123)"),
-    "secret": (r"(?i)^(?:AKIA|ASIA|password|passwd|pwd|secret|token|api)", r"(?i)[=:] ?(?:none|null|true|false|xxx|\*\*\*|changeme|example)"),
+    "secret": (r"^(?:AKIA|ASIA|gh[pousr]_|sk-|xox[bp]-|eyJ)|(?i:(?:^|[\"' =:])[0-9a-f]{32,}$)", r"(?i)^(?:none|null|true|false|xxx+|changeme|example|undefined|required|redacted)|(?:^|[_-])(?:test|dummy|sample)"),
     "ssn": (r"^(?!000|666|9)[0-9]", r"^(?:000|666|9)|-00-|-0000$"),
+    "account": (r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))", r"^(?:0|1|7|8|9)|^(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])"),
 }
 #: Words shortly before a span that speak for a kind, and ones that speak against any.
 CONTEXT = {
@@ -51,11 +62,12 @@ CONTEXT = {
     "ip": r"(?i)\b(?:ip|host|server|address|from)\b",
     "card": r"(?i)\b(?:card|visa|mastercard|credit|debit|payment)\b",
     "phone": r"(?i)\b(?:phone|tel|call|mobile|cell|fax|contact)\b",
-    "secret": r"(?i)\b(?:key|secret|login|credential|access|auth|aws)\b",
+    "secret": r"(?i)(?:key|secret|login|credential|access|auth|aws|token|passw(?:or)?d|pwd)\b",
     "ssn": r"(?i)\b(?:ssn|social|security|insured)\b",
+    "account": r"(?i)\b(?:account|acct|iban|card|visa|mastercard|credit|debit|payment)\b",
 }
-AGAINST = r"(?i)\b(?:version|isbn|issn|figure|table|section|chapter|page|doi|order|serial)\b"
-LABELERS = ("regex", "gazetteer", "context", "shape")
+AGAINST = r"(?i)\b(?:version|isbn|issn|figure|table|section|chapter|page|doi|order|serial|commit|sha|sha1|sha256|md5|hash|checksum|digest|revision|invoice|tracking|sku|build)\b"
+LABELERS = ("regex", "gazetteer", "context", "shape", "check")
 
 
 def located(text: Column, pattern: str, wanted: Column) -> tuple[Column, Column]:
@@ -108,8 +120,23 @@ def _votes(kind: str, span: Column, text: Column) -> list[Column]:
     good, bad = GAZETTEER[kind]
     digits = F.length(F.regexp_replace(t, "[^0-9]", ""))
     kinds = F.size(F.array_distinct(F.split(t, "")))
-    strict = {"email": t.rlike(r"^\S+ [\[(]at[\])] \S+(?: [\[(]dot[\])] \S+)+$"), "phone": t.rlike(r"^\([0-9]{3}\) |^([0-9]{3})([.-])[0-9]{3}\2[0-9]{4}$"), "secret": t.rlike(r"[0-9]") & t.rlike("[A-Za-z]"), "ssn": digits == 9}.get(kind, F.lit(True))
-    return [_vote(strict, F.lit(False)), _vote(t.rlike(good), t.rlike(bad)), _vote(before.rlike(CONTEXT[kind]), before.rlike(AGAINST)), _vote(kinds >= 8, kinds <= 5)]
+    strict = {"email": t.rlike(r"^\S+ [\[(]at[\])] \S+(?: [\[(]dot[\])] \S+)+$"), "phone": t.rlike(r"^\([0-9]{3}\) |^([0-9]{3})([.-])[0-9]{3}\2[0-9]{4}$"), "secret": t.rlike(r"[0-9]") & t.rlike("[A-Za-z]"), "ssn": digits == 9, "account": digits.isin(15, 16)}.get(kind, F.lit(True))
+    wrong = {"ip": ~t.rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), "account": digits < 13}.get(kind, F.lit(False))
+    few = {"account": 6, "ip": 3}.get(kind, 8)
+    context = F.when(before.rlike(AGAINST), 0).when(before.rlike(CONTEXT[kind]), 1).otherwise(-1)
+    return [_vote(strict & ~wrong, wrong), _vote(t.rlike(good), t.rlike(bad)), context, _vote(kinds >= few, kinds < few - 1), _checked(kind, t)]
+
+
+def _checked(kind: str, t: Column) -> Column:
+    """The sums and ranges that numbers of a kind keep: for if kept, against if not, nothing for other kinds."""
+    if kind == "account":
+        return F.when(_luhn(F.regexp_replace(t, "[^0-9]", "")), 1).otherwise(0)
+    if kind == "ip":
+        return F.when(base_valid("ip", t), 1).otherwise(0)
+    if kind == "secret":  # letters and digits in turns, as in no word
+        turns = F.length(F.regexp_replace(F.regexp_replace(t, "[A-Za-z]+", "a"), "[0-9]+", "0"))
+        return F.when(turns >= 6, 1).when(turns <= 2, 0).otherwise(-1)
+    return F.lit(-1)
 
 
 def _span(kind: str, x: Column, *more: Column) -> Column:
@@ -150,7 +177,8 @@ def reliabilities(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int
     whose labelers all agree, does not run off to certainty.
     """
     start = {1: (0.6, 0.15), 0: (0.1, 0.5), -1: (0.3, 0.35)}
-    rely = {(k, n, v): start[v] for k in range(len(KINDS)) for n in range(len(LABELERS)) for v in (1, 0, -1)}
+    labelers = max((len(v) for _, v, _ in patterns), default=len(LABELERS))
+    rely = {(k, n, v): start[v] for k in range(len(KINDS)) for n in range(labelers) for v in (1, 0, -1)}
     share = {k: prior for k in range(len(KINDS))}
     post: dict = {}
     for _ in range(rounds):
@@ -164,7 +192,7 @@ def reliabilities(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int
             yes = sum(c * post[k, v] for v, c in own)
             no = sum(c * (1 - post[k, v]) for v, c in own)
             share[k] = min(0.98, max(0.02, (yes + 10 * prior) / (yes + no + 10)))
-            for n in range(len(LABELERS)):
+            for n in range(labelers):
                 for x in (1, 0, -1):
                     hit = [(v, c) for v, c in own if v[n] == x]
                     rely[k, n, x] = ((sum(c * post[k, v] for v, c in hit) + 20 * start[x][0]) / (yes + 20), (sum(c * (1 - post[k, v]) for v, c in hit) + 20 * start[x][1]) / (no + 20))
