@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,7 +84,7 @@ _A, _F, _LAT0, _LON0, _N0, _E0 = 6378388.0, 1 / 297.0, math.radians(22 + 18 / 60
 
 def _arc(lat):
     e2 = 2 * _F - _F * _F
-    sin = F.sin if isinstance(lat, Column) else math.sin
+    sin = F.sin if isinstance(lat, Column) else np.sin if isinstance(lat, np.ndarray) else math.sin
     a0, a2, a4 = 1 - e2 / 4 - 3 * e2 * e2 / 64, 3 / 8 * (e2 + e2 * e2 / 4), 15 / 256 * e2 * e2
     return _A * (a0 * lat - a2 * sin(2 * lat) + a4 * sin(4 * lat))
 
@@ -119,3 +121,68 @@ def wgs84_to_grid(lon: Column, lat: Column) -> tuple[Column, Column]:
     t = F.atan2(z * _A, flat * b)
     out = F.atan2(z + e2 / (1 - e2) * b * F.pow(F.sin(t), 3), flat - e2 * _A * F.pow(F.cos(t), 3))
     return to_grid(F.degrees(F.atan2(y, x)), F.degrees(out))
+
+
+def _forward(lon: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """wgs84_to_grid of arrays of radians."""
+    e2 = 2 * _WGS_F - _WGS_F * _WGS_F
+    nu = _WGS_A / np.sqrt(1 - e2 * np.sin(lat) ** 2)
+    x = np.stack([nu * np.cos(lat) * np.cos(lon), nu * np.cos(lat) * np.sin(lon), nu * (1 - e2) * np.sin(lat)])
+    x = _turned() @ ((x - np.array(_SHIFT)[:, None]) / (1 + _SCALE * 1e-6))
+    d, p = _geodetic(x, _A, _F)
+    e2, d = 2 * _F - _F * _F, d - _LON0
+    nu = _A / np.sqrt(1 - e2 * np.sin(p) ** 2)
+    psi, t, c = (1 - e2 * np.sin(p) ** 2) / (1 - e2), np.tan(p), np.cos(p)
+    north = _N0 + _arc(p) - _arc(_LAT0) + nu * np.sin(p) * d * d / 2 * c
+    return _E0 + nu * d * c + nu * d**3 / 6 * c**3 * (psi - t * t), north
+
+
+def _turned() -> np.ndarray:
+    rx, ry, rz = (math.radians(s / 3600) for s in _TURN)
+    return np.array([[1, rz, -ry], [-rz, 1, rx], [ry, -rx, 1]])
+
+
+def _geodetic(x: np.ndarray, a: float, f: float) -> tuple[np.ndarray, np.ndarray]:
+    """(longitude, latitude) in radians of geocentric coordinates, by Bowring's formula."""
+    e2, b = 2 * f - f * f, a * (1 - f)
+    flat = np.hypot(x[0], x[1])
+    t = np.arctan2(x[2] * a, flat * b)
+    return np.arctan2(x[1], x[0]), np.arctan2(x[2] + e2 / (1 - e2) * b * np.sin(t) ** 3, flat - e2 * a * np.cos(t) ** 3)
+
+
+def degrees_of(east: np.ndarray, north: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(longitude, latitude) in WGS84 degrees of places on the grid.
+
+    The latitude at which the meridian's arc is as long as the northing (the footpoint) is found by iteration; the inverse series
+    leads from there to the place, and the shift between the datums is undone. What then is left between the place and what
+    wgs84_to_grid makes of the degrees, millimetres as the series end and heights are not known, is taken out in three steps.
+    """
+    e2 = 2 * _F - _F * _F
+    m = north - _N0 + _arc(_LAT0)
+    p = m / _A
+    for _ in range(6):
+        p = p + (m - _arc(p)) * (1 - e2 * np.sin(p) ** 2) ** 1.5 / (_A * (1 - e2))
+    w = 1 - e2 * np.sin(p) ** 2
+    nu, rho = _A / np.sqrt(w), _A * (1 - e2) / w**1.5
+    psi, t, d = nu / rho, np.tan(p), east - _E0
+    lon = _LON0 + (d / nu - d**3 / (6 * nu**3) * (psi + 2 * t * t)) / np.cos(p)
+    lat = p - t / (rho * nu) * d * d / 2
+    nu = _A / np.sqrt(1 - e2 * np.sin(lat) ** 2)
+    x = np.stack([nu * np.cos(lat) * np.cos(lon), nu * np.cos(lat) * np.sin(lon), nu * (1 - e2) * np.sin(lat)])
+    lon, lat = _geodetic(np.linalg.inv(_turned()) @ x * (1 + _SCALE * 1e-6) + np.array(_SHIFT)[:, None], _WGS_A, _WGS_F)
+    for _ in range(3):
+        x, y = _forward(lon, lat)
+        lon, lat = lon + (east - x) / (_A * np.cos(lat)), lat + (north - y) / _A
+    return np.degrees(lon), np.degrees(lat)
+
+
+def grid_to_wgs84(east: Column, north: Column) -> Column:
+    """``struct(lon, lat)`` in WGS84 degrees of eastings and northings; null where either is."""
+
+    @F.arrow_udf("struct<lon:double,lat:double>")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        none = np.asarray(x.is_null()) | np.asarray(y.is_null())
+        lon, lat = degrees_of(*(np.asarray(c.cast(pa.float64()).fill_null(start)) for c, start in ((x, _E0), (y, _N0))))
+        return pa.StructArray.from_arrays([pa.array(lon), pa.array(lat)], ["lon", "lat"], mask=pa.array(none))
+
+    return run(east, north)

@@ -10,6 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cityloom.operators.neighbours import nearest
 from cityloom.sources.files import stored
 
 FEATURES = ["area", "perimeter", "compactness", "px", "py", "zone_code", "density", "dominant_code", "height"]
@@ -40,6 +41,35 @@ def one_vs_rest(df: DataFrame, labels: list[str], key: str = "bid", rounds: int
     return out.select(key, *[f"proba_{c}" for c in labels])
 
 
+def refitted(df: DataFrame, labels: list[str], key: str = "bid", columns: list[str] = FEATURES, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(``key, proba_<label>`` of every row, ``label, f1`` of the validation rows).
+
+    df has the features, the 0/1 labels, ``labelled`` and ``train``. Each label's model is fitted on the oversampled training rows and
+    judged on the labelled rows kept back; then it is fitted anew on all labelled rows, oversampled too, and that model scores every row. A label that all or no labelled rows
+    have is not learnt: every row gets that answer.
+    """
+    data = stored(df.select(key, "labelled", "train", *columns, *labels), "refit")
+    every = assembled(data, columns)
+    out, scores = data.select(key), []
+
+    def model(rows: DataFrame, label: str):
+        more = assembled(oversample(rows.select(key, *columns, label), label, key, columns), columns)
+        return GBTClassifier(labelCol=label, featuresCol="features", maxIter=rounds, maxDepth=4, seed=42).fit(more)
+
+    for label in labels:
+        ones, n, own, tried = data.where("labelled").agg(F.sum(label), F.count("*"), F.sum(F.when(F.col("train"), F.col(label))), F.count_if("train")).first()
+        if not ones or ones == n:
+            out = out.withColumn(f"proba_{label}", F.lit(float(bool(ones))))
+            continue
+        if own and own < tried:
+            judged = model(data.where("labelled AND train"), label).transform(every.where("labelled AND NOT train"))
+            hit, said, true = judged.agg(F.sum(F.col("prediction") * F.col(label)), F.sum("prediction"), F.sum(label)).first()
+            scores.append((label, float(2 * (hit or 0) / ((said or 0) + (true or 0)) if (said or 0) + (true or 0) else 0.0)))
+        final = model(data.where("labelled"), label).transform(every).select(key, vector_to_array("probability")[1].alias(f"proba_{label}"))
+        out = out.join(final, key)
+    return out, df.sparkSession.createDataFrame(scores, "label string, f1 double")
+
+
 def share_model(df: DataFrame, label: str, classes: int, key: str = "bid", trees: int = 50, floor: float = 0.05) -> DataFrame:
     """``key, shares``: class shares of a forest's leaves, those above the floor."""
     data = assembled(df)
@@ -85,50 +115,29 @@ def f1_report(df: DataFrame, truth: str, guess: str) -> DataFrame:
     return j.select("label", "support", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round(f1, 6).alias("f1"))
 
 
-def _nearest(points: DataFrame, key: str, columns: list[str], k: int, cell: float) -> DataFrame:
-    """points with ``near``: the k nearest others, or all if there are fewer, the closest first.
+def _nearest(points: DataFrame, key: str, columns: list[str], k: int, cell: float | None = None) -> DataFrame:
+    """``key``, the columns and ``near``: the k nearest others by the columns, or all if there are fewer, the closest first."""
+    found = nearest(points, key, columns, k)
+    near = F.sort_array(F.collect_list(F.struct("rank", "d", f"n_{key}", *[f"n_{c}" for c in columns]))).alias("near")
+    return points.select(key, *columns).join(found.groupBy(key).agg(near), key)
 
-    Points with fewer within reach look again twice as far, until they have k or the reach spans all points.
-    """
-    from cityloom.operators.spatial import POINT, grid_pairs, point_distance, prefixed
-
-    n, *box = points.agg(F.count("*"), F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
-    k, span = min(k, n - 1), math.hypot(box[1] - box[0], box[3] - box[2])
-    reach = min(cell, 2 * span * math.sqrt(k / n)) or cell
-    others, open_points, found = prefixed(points, "n_"), points, None
-    while True:
-        pairs = grid_pairs(open_points, others, POINT, ("n_px", "n_py", "n_px", "n_py"), reach, reach)
-        pairs = pairs.withColumn("d", point_distance(F.col("px"), F.col("py"), F.col("n_px"), F.col("n_py"))).where((F.col(key) != F.col(f"n_{key}")) & (F.col("d") <= reach))
-        near = F.slice(F.sort_array(F.collect_list(F.struct("d", f"n_{key}", *[f"n_{c}" for c in columns]))), 1, k).alias("near")
-        best = pairs.groupBy(*points.columns).agg(near)
-        last = reach > span
-        new = best if last else best.where(F.size("near") >= k)
-        found = new if found is None else found.unionByName(new)
-        if last:
-            return found
-        open_points = open_points.join(new.select(key), key, "left_anti").select(*points.columns)
-        open_points = stored(open_points, "open-points")
-        if open_points.isEmpty():
-            return found
-        reach *= 2
-
-
-def oversample(df: DataFrame, label: str, key: str, columns: list[str], least: int = 200, k: int = 5, cell: float = 300.0) -> DataFrame:
-    """df with synthetic rows of the positive class: points between a row and one of its k nearest.
+
+def oversample(df: DataFrame, label: str, key: str, columns: list[str], least: int = 200, k: int = 5, cell: float | None = None) -> DataFrame:
+    """df with synthetic rows of the positive class: points between a row and one of its k nearest by all the columns.
 
     Up to ``least`` positives if there are fewer; else as many as there are other rows, if positives are under half of all. The
     copies are dealt evenly over the positives, what is left over to those with the smallest hashes. Fewer than two positives
-    stay as they are.
+    stay as they are. Null columns count as 0. cell says nothing any more: the search has cells of its own.
     """
     rare = df.where(F.col(label) == 1)
     total, n = df.agg(F.count("*"), F.count(F.when(F.col(label) == 1, 1))).first()
     target = least if n < least else total - n if n and total / n > 2 else n
-    points = rare.select(key, *dict.fromkeys(["px", "py", *columns])).where("px IS NOT NULL AND py IS NOT NULL")
+    points = rare.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
     seeds = points.count() if n > 1 and target > n else 0
     if seeds < 2:
         return df
     whole, rest = divmod(target - n, seeds)
-    best = _nearest(points, key, columns, k, cell)
+    best = _nearest(points, key, columns, k)
     more = points.select(F.col(key).alias("more")).orderBy(F.xxhash64("more", F.lit(1)), "more").limit(rest)
     copies = F.lit(whole) + F.col("more").isNotNull().cast("int")
     made = best.join(more, F.col(key) == F.col("more"), "left").withColumn("copies", copies).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))

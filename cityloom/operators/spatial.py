@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cityloom.functions.geometry import overlap_area, point_box_distance, point_distance
+from cityloom.sources.files import stored
 
 BOX = ("x1", "y1", "x2", "y2")
 POINT = ("px", "py", "px", "py")
@@ -84,17 +85,55 @@ def neighbours(points: DataFrame, key: str, reach: float, cell: float | None = N
     return pairs.where((F.col(key) != F.col(f"n_{key}")) & (d <= reach))
 
 
+def counted(points: DataFrame, key: str, reach: float, label: str | None = None, few: int = 32, levels: int = 7) -> DataFrame:
+    """``key, n`` (with a label: ``key, label, n``) of the points within reach of each, itself included; those of a null label are not counted.
+
+    Points are counted by cell at several levels, halved from one to the next. A cell wholly within the circle adds its number, one
+    outside adds nothing; one on the rim is looked into, by its points if it has few or is of the last level, else by its quarters. So a dense place
+    costs a point about the root of its neighbours, not their number, and no pair is made of what lies inside.
+    """
+    by = [label] if label else []
+    base = points.select(key, "px", "py", *by)
+    known = base.where(F.col(label).isNotNull()) if label else base
+    at = lambda c, side: F.floor(F.col(c) / side)
+
+    def cells(side: float) -> DataFrame:
+        return known.groupBy(at("px", side).alias("cx"), at("py", side).alias("cy"), *by).agg(F.count("*").alias("n"))
+
+    side = reach
+    near = F.array(*[F.struct((at("px", side) + i).alias("cx"), (at("py", side) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    frontier = base.select(key, "px", "py", F.explode(near).alias("c")).select(key, "px", "py", "c.*").join(cells(side), ["cx", "cy"])
+    found = None
+    for level in range(levels):
+        x1, y1 = F.col("cx") * side, F.col("cy") * side
+        far = point_distance(F.greatest(F.abs(F.col("px") - x1), F.abs(F.col("px") - x1 - side)), F.greatest(F.abs(F.col("py") - y1), F.abs(F.col("py") - y1 - side)), F.lit(0.0), F.lit(0.0))
+        close = point_box_distance(F.col("px"), F.col("py"), x1, y1, x1 + side, y1 + side)
+        kind = F.when(far <= reach * (1 - 1e-12), "within").when(close > reach * (1 + 1e-12), "outside").when((F.col("n") <= few) | F.lit(level == levels - 1), "points").otherwise("quarters")
+        now = stored(frontier.withColumn("kind", kind).where("kind <> 'outside'"), "counted")
+        others = known.select(at("px", side).alias("cx"), at("py", side).alias("cy"), F.col("px").alias("ox"), F.col("py").alias("oy"), *by)
+        one = now.where("kind = 'points'").join(others, ["cx", "cy", *by]).where(point_distance(F.col("px"), F.col("py"), F.col("ox"), F.col("oy")) <= reach)
+        new = now.where("kind = 'within'").select(key, *by, "n").unionByName(one.groupBy(key, *by).agg(F.count("*").alias("n")))
+        found = new if found is None else found.unionByName(new)
+        rest = now.where("kind = 'quarters'")
+        if rest.isEmpty():
+            break
+        side /= 2
+        quarters = F.array(*[F.struct((2 * F.col("cx") + i).alias("cx"), (2 * F.col("cy") + j).alias("cy")) for i in (0, 1) for j in (0, 1)])
+        frontier = rest.select(key, "px", "py", *by, F.explode(quarters).alias("c")).select(key, "px", "py", *by, "c.*").join(cells(side), ["cx", "cy", *by])
+    return found.groupBy(key, *by).agg(F.sum("n").alias("n"))
+
+
 def density(points: DataFrame, key: str, reach: float = 50.0) -> DataFrame:
     """Number of other points within reach of each point."""
-    counts = neighbours(points.select(key, "px", "py"), key, reach).groupBy(key).agg(F.count("*").alias("density"))
+    counts = counted(points, key, reach).select(key, (F.col("n") - 1).alias("density"))
     return points.join(counts, key, "left").withColumn("density", F.coalesce("density", F.lit(0)).cast("long"))
 
 
 def dominant_neighbour(points: DataFrame, key: str, label: str, reach: float = 100.0) -> DataFrame:
     """Most frequent known label among the neighbours of each point (ties: first by name); null without any."""
-    known = neighbours(points.select(key, "px", "py", label), key, reach).where(F.col(f"n_{label}").isNotNull())
-    counts = known.groupBy(key, f"n_{label}").agg(F.count("*").alias("n"))
-    best = counts.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(f"n_{label}").alias("dominant"))).alias("b"))
+    own = points.select(key, F.col(label).alias("__own"))
+    counts = counted(points, key, reach, label).join(own, key).withColumn("n", F.col("n") - F.col(label).eqNullSafe(F.col("__own")).cast("int")).where("n > 0")
+    best = counts.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(label).alias("dominant"))).alias("b"))
     return points.join(best.select(key, "b.dominant"), key, "left")
 
 

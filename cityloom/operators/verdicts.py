@@ -205,6 +205,19 @@ def pending(rows: DataFrame, log: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(log.select(*keys).distinct(), keys, "left_anti")
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    """Append decisions to the log; fits ``foreachBatch`` as it is."""
-    rows.write.mode("append").parquet(path)
+def append_log(rows: DataFrame, path: str, batch: int | None = None) -> None:
+    """Append decisions to the log.
+
+    With a batch number the rows are that batch, whatever the log had of it: a batch that is written again, because it failed midway or its
+    writer did not hear of its success, replaces itself, and no other batch is touched. So it fits ``foreachBatch``, which may repeat a
+    batch: ``lambda rows, n: append_log(rows, path, n)``. A batch without rows leaves none behind.
+    """
+    if batch is None:
+        rows.write.mode("append").parquet(path)
+        return
+    spark = rows.sparkSession
+    if rows.isEmpty():
+        gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={batch}")
+        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+        return
+    rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)

@@ -431,6 +431,15 @@ def reproject(v):
     return v.registry.select("rid", F.round(east, 3).alias("easting"), F.round(north, 3).alias("northing"))
 
 
+@query(" select rid, round(113.85+(rid%550)/1000.0::double, 8) as lon, round(22.17+(rid%370)/1000.0::double, 8) as lat from fx_registry", "registry")
+def grid_degrees(v):
+    """Registry points, dealt over the territory in degrees, put on the grid and brought back."""
+    east, north = geo.wgs84_to_grid(113.85 + (F.col("rid") % 550) / 1000, 22.17 + (F.col("rid") % 370) / 1000)
+    placed = v.registry.select("rid", east.alias("east"), north.alias("north"))
+    back = placed.select("rid", geo.grid_to_wgs84(F.col("east"), F.col("north")).alias("at"))
+    return back.select("rid", F.round("at.lon", 8).alias("lon"), F.round("at.lat", 8).alias("lat"))
+
+
 # Models.
 
 

@@ -663,11 +663,13 @@ def post_sub(v):
     return v.buildings.select("bid", ev.post_sub(main, F.lit("own"), F.col("name_en")).alias("sub"))
 
 
-@query(" select bid, ((x2-x1)*(y2-y1) < 60 and name_en is null and bid % 2 = 0) as screened from fx_buildings", "buildings")
+@query(f" select bid, (x2-x1)*(y2-y1) < 5 and name_en is null and bid not in (select bid from {_NEAR}) and bid not in (select bid from fx_buildings b join fx_polys f on {_MEET} where {_OVER} >= 0.2) as screened from fx_buildings", "buildings", "registry", "polys")
 def prescreen(v):
-    area = geo.box_area(*(F.col(c) for c in B)) / 12
-    odd = F.col("bid") % 2 != 0
-    return v.buildings.select("bid", ev.prescreen(area, odd, F.lit(False), F.col("name_en")).alias("screened"))
+    """Buildings of less than five square metres without a name, a registry point and a crowd feature."""
+    flag = lambda df, name: df.select("bid", F.lit(True).alias(name)).distinct()
+    rows = v.buildings.join(flag(matched(v), "registered"), "bid", "left").join(flag(strong(v), "featured"), "bid", "left")
+    said = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return rows.select("bid", ev.prescreen(geo.box_area(*(F.col(c) for c in B)), said("registered"), said("featured"), F.col("name_en")).alias("screened"))
 
 
 # Verdicts and pairs.
@@ -839,10 +841,10 @@ def features(v):
 
 @query()
 def ml_scores(v):
-    rows = feature_table(v).join(training(v).select("bid", "is_residential", "is_commercial", "is_industrial"), "bid", "left")
+    """Probabilities of models that were judged on a fifth of the decided buildings, then fitted anew on all of them."""
     labels = ["is_residential", "is_commercial", "is_industrial"]
-    rows = models.split(rows, "bid").withColumn("train", F.col("train") & F.col("is_residential").isNotNull()).fillna(0, labels)
-    return models.one_vs_rest(rows, labels)
+    rows = feature_table(v).join(training(v).select("bid", *labels), "bid", "left").withColumn("labelled", F.col("is_residential").isNotNull()).fillna(0, labels)
+    return models.refitted(models.split(rows, "bid"), labels)[0]
 
 
 @query(" , p as (select category as truth, case when bid % 4 = 0 then '1' else category end as guess from fx_buildings), t as (select truth as label, count(*) as support, count(*) filter (truth=guess) as hits from p group by 1), g as (select guess as label, count(*) as guessed from p group by 1), j as (select t.label, support, coalesce(hits*1.0/guessed, 0)::double as pr, (hits*1.0/support)::double as rc from t left join g using (label)) select label, support, round(pr, 6) as precision, round(rc, 6) as recall, round(case when pr+rc > 0 then 2*pr*rc/(pr+rc) else 0 end, 6) as f1 from j", "buildings")

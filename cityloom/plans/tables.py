@@ -152,6 +152,17 @@ def append_log(v):
     return v.spark.read.parquet(path)
 
 
+@query(" select seq, ai_decision, (seq%3)::int as batch from fx_pair_log where ai_decision is not null and seq%3 < 2", "pair_log")
+def log_batches(v):
+    """Three batches of the log; the second is written by half, then as a whole and once more, the third has its rows taken back."""
+    path = files.work_path(v.spark, "log")
+    said = v.pair_log.where("ai_decision IS NOT NULL").select("seq", "ai_decision")
+    part = lambda n: said.where(F.col("seq") % 3 == n)
+    for n, rows in ((0, part(0)), (1, part(1).where("ai_decision = 'keep'")), (2, part(2)), (1, part(1)), (1, part(1)), (2, part(2).where("false"))):
+        vd.append_log(rows, path, n)
+    return v.spark.read.parquet(path).select("seq", "ai_decision", "batch")
+
+
 @query(" select count(*) as rows, count(*) filter (category in ('1','2')) as training_rows, 3::bigint as columns, count(*) filter (category='1') as positives from fx_buildings", "buildings")
 def persist_training(v):
     x = v.buildings.select("bid", "top_height", "base_height", "category")
