@@ -173,11 +173,17 @@ def nearest(points: DataFrame, key: str, columns: list[str], k: int, cell: int =
     found = stored(few.select("key", *cols).mapInArrow(placed, f"{ddl}, cell long"), "knn-cells")
     asking = found.join(vectors.select("key"), "key", "left_semi")
     own = stored(_first(_asked(found, asking.withColumn("reach", F.lit(float("inf"))), cols, need, kind), need), "knn-own")
+    if not tree.depth:  # one cell: nothing is further away
+        return _lists_taken(rows, vectors, own, few, key, columns, cols, k)
     reach = own.where(F.col("rank") == need).select(F.col("vid").alias("key"), F.col("d").alias("reach"))
     again = asking.join(reach, "key", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
     further = again.select("key", *cols, "reach", "cell").mapInArrow(reached, f"{ddl}, reach double, cell long")
     lists = stored(_first(own.drop("rank").unionByName(_asked(found, stored(further, "knn-further"), cols, need, kind)), need), "knn-lists")
-    # every point takes the list of its vector, without itself
+    return _lists_taken(rows, vectors, lists, few, key, columns, cols, k)
+
+
+def _lists_taken(rows: DataFrame, vectors: DataFrame, lists: DataFrame, few: DataFrame, key: str, columns: list[str], cols: list[str], k: int) -> DataFrame:
+    """Every point takes the list of its vector, without itself."""
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in cols]
     of = rows.alias("a").join(vectors.alias("b"), same).select(F.col("a.key").alias("key"), F.col("b.key").alias("vid"))
     pairs = of.join(lists, "vid").where(F.col("key") != F.col("found"))
