@@ -456,7 +456,7 @@ def label_english(v):
 
 # Evidence and fusion.
 
-_KD = "select lower(address) as keyword, case usage_class when 'MACHINERY' then '工业类别' when 'BUILDING' then '住宅类别' when 'AUTOMOBILE' then '非评估类别' else '商业类别' end as main, case usage_class when 'MACHINERY' then '其他工业（Other Industrial）' when 'BUILDING' then '私人房屋（Private Housing）' when 'HOUSEHOLD' then '办公室（Office）' when 'FURNITURE' then '零售（Retail）' else '交通基础设施' end as sub from fx_registry union all from (values ('gear','工业类别','金属及机械（Metal & Machinery）'),('widget','商业类别','零售（Retail）'),('bolt','非评估类别','临时/杂项设施'),('standard','商业类别','办公室（Office）'),('promo','商业类别','其他商业（Other Commercial）'),('hot gear','商业类别','食肆（Restaurant）'),('old bolt','住宅类别','私人房屋（Private Housing）'),('small','住宅类别','私人房屋（Private Housing）'))"
+_KD = "select lower(address) as keyword, case usage_class when 'MACHINERY' then '工业类别' when 'BUILDING' then '住宅类别' when 'AUTOMOBILE' then '非评估类别' else '商业类别' end as main, case usage_class when 'MACHINERY' then '其他工业（Other Industrial）' when 'BUILDING' then '私人房屋（Private Housing）' when 'HOUSEHOLD' then '办公室（Office）' when 'FURNITURE' then '零售（Retail）' else '交通基础设施' end as sub from fx_registry union all from (values ('gear','工业类别','金属及机械（Metal & Machinery）'),('widget','商业类别','零售（Retail）'),('bolt','非评估类别','临时/杂项设施'),('standard','商业类别','办公室（Office）'),('promo','住宅类别','私人房屋（Private Housing）'),('hot gear','商业类别','食肆（Restaurant）'),('old bolt','住宅类别','私人房屋（Private Housing）'),('small','住宅类别','私人房屋（Private Housing）'))"
 #: A building's keywords: addresses occur in no other text than that of their own buildings.
 _E5 = f"""
 , kd as ({_KD})
@@ -497,7 +497,7 @@ def matched(v: Views) -> DataFrame:
 
 #: Keywords of the stand-ins besides the addresses of the registry: word, main, sub; and the strong ones.
 KEYWORDS = (
-    ("gear", tx.INDUSTRIAL, "金属及机械（Metal & Machinery）"), ("widget", tx.COMMERCIAL, tx.RETAIL), ("bolt", tx.NON_ASSESSED, tx.TEMPORARY), ("standard", tx.COMMERCIAL, tx.OFFICE), ("promo", tx.COMMERCIAL, tx.OTHER_COMMERCIAL),
+    ("gear", tx.INDUSTRIAL, "金属及机械（Metal & Machinery）"), ("widget", tx.COMMERCIAL, tx.RETAIL), ("bolt", tx.NON_ASSESSED, tx.TEMPORARY), ("standard", tx.COMMERCIAL, tx.OFFICE), ("promo", tx.RESIDENTIAL, tx.PRIVATE_HOUSING),
     ("hot gear", tx.COMMERCIAL, tx.RESTAURANT), ("old bolt", tx.RESIDENTIAL, tx.PRIVATE_HOUSING), ("small", tx.RESIDENTIAL, tx.PRIVATE_HOUSING),
 )
 STRONG = ("promo", "hot gear")
