@@ -60,3 +60,33 @@ def test_grid_join_is_not_broadcast(town):
     _, _, p, b = town
     plan = sp.grid_pairs(b, p, sp.BOX, sp.POINT, 40.0)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_counts_make_no_pair_of_points(spark):
+    """The search for neighbours neither joins points with points nor sends cells through the driver; equal points, far ones and unknown labels are counted right."""
+    rng = random.Random(5)
+    rows = [(k, rng.randrange(0, 400) / 4, rng.randrange(0, 400) / 4, rng.choice(["a", "a", "a", "b", None])) for k in range(1500)]
+    rows += [(2000 + k, 50.0, 50.0, "c") for k in range(100)] + [(3000, -4000.0, 9000.0, "a"), (3001, None, 1.0, "a"), (3002, 1.0, float("nan"), "a")]
+    df = spark.createDataFrame(rows, "bid long, px double, py double, kind string").repartition(3)
+    counts = sp.counted(df, "bid", 20.0, "kind")
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "MapInArrow" in plan
+    sound = [r for r in rows if r[1] is not None and r[2] == r[2]]
+    want = {}
+    for a in sound:
+        for b in sound:
+            if b[3] and math.sqrt((a[1] - b[1]) * (a[1] - b[1]) + (a[2] - b[2]) * (a[2] - b[2])) <= 20.0:
+                want[a[0], b[3]] = want.get((a[0], b[3]), 0) + 1
+    assert {(r["bid"], r["kind"]): r["n"] for r in counts.collect()} == want
+
+
+def test_touched_equals_pairs(town):
+    _, boxes, _, b = town
+    f = b.select(F.col("bid").alias("osmid"), *[(F.col(c) + 3).alias(c) for c in sp.BOX]).where("osmid % 3 = 0")
+    for least in (0.0, 0.2):
+        met = sp.touched(b, f, least)
+        want = {r["bid"] for r in sp.intersects(b, f).where(F.col("ratio") >= least).select("bid").collect()}
+        got = [r["bid"] for r in met.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "LeftSemi" in plan and "Broadcast" not in plan
