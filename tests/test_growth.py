@@ -6,7 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cityloom.operators import cover as cv, spatial as sp
+from cityloom.functions import automata, text as tx
+from cityloom.operators import cover as cv, evidence as ev, spatial as sp
+from cityloom.plans import queries as plans
 
 
 def box_gap(p, b):
@@ -90,3 +92,25 @@ def test_touched_equals_pairs(town):
         assert len(got) == len(set(got)) and set(got) == want
         plan = met._jdf.queryExecution().executedPlan().toString()
         assert "LeftSemi" in plan and "Broadcast" not in plan
+
+
+def test_crowd_evidence_writes_no_pairs(spark):
+    """Features of a tag are summed as they are found: a building has as many rows as tags, not as features, and the same sums."""
+    v = plans.Views(spark, "/root/testdata/sf0.001")
+    overlap, area = F.least("ratio", F.lit(1.0)), (F.col("f_x2") - F.col("f_x1")) * (F.col("f_y2") - F.col("f_y1"))
+    want = {(r["bid"], r["f_building"]): (0.0, 0.0) for r in plans.strong(v).collect()}
+    for r in plans.strong(v).select("bid", "f_building", overlap.alias("o"), (overlap * area).alias("w")).collect():
+        old = want[r["bid"], r["f_building"]]
+        want[r["bid"], r["f_building"]] = (old[0] + r["o"], old[1] + r["w"])
+    rows = plans.crowd(v).collect()
+    got = {(r["bid"], r["f_building"]): (pytest.approx(r["votes"]), pytest.approx(r["weight"])) for r in rows}
+    assert len(rows) == len(got) > 0 and want == got
+    plans.evidence_part(v, "OSM")
+    assert "strong" not in v.held
+
+
+def test_equal_rows_of_a_keyword_table_are_one(spark):
+    b = spark.createDataFrame([(1, "9", "an old bolt", 10.0)], "bid long, category string, text string, area double")
+    table = spark.createDataFrame([("bolt", tx.COMMERCIAL, tx.OFFICE)] * 3 + [("bolt", tx.INDUSTRIAL, tx.OTHER_INDUSTRIAL)], "keyword string, main string, sub string")
+    got = ev.keyword_hits_evidence(b, automata.keywords_of(table), table, ())
+    assert sorted(map(tuple, got.collect())) == sorted([(1, tx.COMMERCIAL, tx.OFFICE, 50), (1, tx.INDUSTRIAL, tx.OTHER_INDUSTRIAL, 50)])
