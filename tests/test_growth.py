@@ -114,3 +114,30 @@ def test_equal_rows_of_a_keyword_table_are_one(spark):
     table = spark.createDataFrame([("bolt", tx.COMMERCIAL, tx.OFFICE)] * 3 + [("bolt", tx.INDUSTRIAL, tx.OTHER_INDUSTRIAL)], "keyword string, main string, sub string")
     got = ev.keyword_hits_evidence(b, automata.keywords_of(table), table, ())
     assert sorted(map(tuple, got.collect())) == sorted([(1, tx.COMMERCIAL, tx.OFFICE, 50), (1, tx.INDUSTRIAL, tx.OTHER_INDUSTRIAL, 50)])
+
+
+def test_counts_in_boxes_equal_brute_force(town):
+    """Points within boxes are counted by label without a pair of a box and a point, also where a cell is dealt to several tasks."""
+    points, boxes, p, b = town
+    labelled = p.withColumn("label", F.when(F.col("rid") % 3 < 2, F.concat(F.lit("k"), (F.col("rid") % 3).cast("string"))))
+    want = {}
+    for bid, x1, y1, x2, y2 in boxes:
+        for rid, x, y in points:
+            if rid % 3 < 2 and x is not None and x1 <= x <= x2 and y1 <= y <= y2:
+                want[bid, f"k{rid % 3}"] = want.get((bid, f"k{rid % 3}"), 0) + 1
+    odd = b.unionByName(b.limit(1).selectExpr("7777L as bid", "x1", "y1", "double('nan') as x2", "y2")).unionByName(b.limit(1).selectExpr("7778L as bid", "x1", "y1", "cast(null as double) as x2", "y2"))
+    for sizes in ({}, {"cell": 16.0, "ranked": 50, "asking": 7}):
+        rows = sp.counted_within(odd, labelled, "bid", "label", **sizes).collect()
+        assert len(rows) == len(want) and {(r["bid"], r["label"]): r["n"] for r in rows} == want
+
+
+def test_shares_make_no_row_for_a_point(spark):
+    """What a building's points tell is counted by tag: evidence, podiums and shares write no row for each point within a building."""
+    from cityloom.plans import publication
+
+    v = plans.Views(spark, "/root/testdata/sf0.001")
+    decided = publication.decided(v)
+    assert "inside_pois" not in v.held and decided.count() == v.buildings.count()
+    tags = [(r["bid"], r["amenity"], r["shop"]) for r in plans.building_pois(v).collect()]
+    assert len(tags) == len(set(tags)) > 0
+    assert plans.building_pois(v).agg(F.sum("n")).first()[0] == plans.inside_pois(v).count()
