@@ -83,7 +83,8 @@ def _inside_pois(v: Views) -> DataFrame:
     " from fx_buildings join fx_pois on px between x1 and x2 and py between y1 and y2 where amenity in ('restaurant','school') or shop in ('retail','bank') group by bid", "buildings", "pois",
 )
 def poi_trace(v):
-    told = _inside_pois(v).where("sub IS NOT NULL").withColumn("label", lb.poi_label(F.col("name"), lb.poi_tag(F.col("amenity"), F.col("shop"), F.lit(None)), F.col("sub")))
+    label = lb.poi_label(F.col("name"), lb.poi_tag(F.col("amenity"), F.col("shop"), F.lit(None)), F.col("sub"))  # once for a point, not for a pair
+    told = sp.grid_pairs(v.buildings.select("bid", *B), q.poi_classes(v).where("sub IS NOT NULL").select("osmid", "px", "py", label.alias("label")), B, sp.POINT, 10.0)
     rows = F.array_sort(F.collect_list(F.struct("osmid", "label")))
     return told.groupBy("bid").agg(F.array_join(F.transform(rows, lambda r: r["label"]), " | ").alias("trace"))
 

@@ -141,3 +141,15 @@ def test_shares_make_no_row_for_a_point(spark):
     tags = [(r["bid"], r["amenity"], r["shop"]) for r in plans.building_pois(v).collect()]
     assert len(tags) == len(set(tags)) > 0
     assert plans.building_pois(v).agg(F.sum("n")).first()[0] == plans.inside_pois(v).count()
+
+
+def test_traces_are_joined_once(spark):
+    """A point's label is worked out before the join, and the pairs go straight to their buildings; they were written first."""
+    from cityloom.plans import publication
+
+    v = plans.Views(spark, "/root/testdata/sf0.001")
+    rows = publication.poi_trace(v)
+    assert not v.held
+    said = v.pois.join(plans.inside_pois(v).where("sub IS NOT NULL").select("osmid", "bid"), "osmid").groupBy("bid").count()
+    want = {r["bid"]: r["count"] for r in said.collect()}
+    assert {r["bid"]: r["trace"].count("->") for r in rows.collect()} == want and want
