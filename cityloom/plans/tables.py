@@ -245,7 +245,7 @@ def coverage_by_gfa(v):
 
 @query(q._STRONG + ", c as (select bid, count(distinct osmid) n from s group by bid) select count(*) as buildings, round(avg(n), 6) as mean, min(n) as least, quantile_cont(n, 0.25)::double as q1, quantile_cont(n, 0.5)::double as median, quantile_cont(n, 0.75)::double as q3, max(n) as most, round(stddev_samp(n), 6) as deviation from c", "buildings", "polys")
 def multi_match_summary(v):
-    c = q.strong(v).groupBy("bid").agg(F.countDistinct("f_osmid").alias("n"))
+    c = q.features_of(v).select("bid", F.col("features").alias("n"))
     part = lambda p: F.percentile("n", F.lit(p))
     return c.agg(F.count("*").alias("buildings"), F.round(F.avg("n"), 6).alias("mean"), F.min("n").alias("least"), part(0.25).alias("q1"), part(0.5).alias("median"), part(0.75).alias("q3"), F.max("n").alias("most"), F.round(F.stddev_samp("n"), 6).alias("deviation"))
 
