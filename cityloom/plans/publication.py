@@ -84,9 +84,8 @@ def _inside_pois(v: Views) -> DataFrame:
 )
 def poi_trace(v):
     label = lb.poi_label(F.col("name"), lb.poi_tag(F.col("amenity"), F.col("shop"), F.lit(None)), F.col("sub"))  # once for a point, not for a pair
-    told = sp.grid_pairs(v.buildings.select("bid", *B), q.poi_classes(v).where("sub IS NOT NULL").select("osmid", "px", "py", label.alias("label")), B, sp.POINT, 10.0)
-    rows = F.array_sort(F.collect_list(F.struct("osmid", "label")))
-    return told.groupBy("bid").agg(F.array_join(F.transform(rows, lambda r: r["label"]), " | ").alias("trace"))
+    points = q.poi_classes(v).where("sub IS NOT NULL").select("osmid", "px", "py", label.alias("trace"))
+    return sp.texts_within(v.buildings.select("bid", *B), points, "bid", "osmid", "trace")
 
 
 _STRONG_NAMES = ("商場", "Plaza", "工廠")
