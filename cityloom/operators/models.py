@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cityloom.operators.neighbours import nearest
-from cityloom.sources.files import stored
+from cityloom.sources.files import growing, stored
 
 FEATURES = ["area", "perimeter", "compactness", "px", "py", "zone_code", "density", "dominant_code", "height"]
 
@@ -119,7 +119,7 @@ def _nearest(points: DataFrame, key: str, columns: list[str], k: int, cell: floa
     """``key``, the columns and ``near``: the k nearest others by the columns, or all if there are fewer, the closest first."""
     found = nearest(points, key, columns, k)
     near = F.sort_array(F.collect_list(F.struct("rank", "d", f"n_{key}", *[f"n_{c}" for c in columns]))).alias("near")
-    return points.select(key, *columns).join(found.groupBy(key).agg(near), key)
+    return points.select(key, *columns).join(growing(found.groupBy(key).agg(near)), key)
 
 
 def oversample(df: DataFrame, label: str, key: str, columns: list[str], least: int = 200, k: int = 5, cell: float | None = None) -> DataFrame:
@@ -140,7 +140,7 @@ def oversample(df: DataFrame, label: str, key: str, columns: list[str], least: i
     best = _nearest(points, key, columns, k)
     more = points.select(F.col(key).alias("more")).orderBy(F.xxhash64("more", F.lit(1)), "more").limit(rest)
     copies = F.lit(whole) + F.col("more").isNotNull().cast("int")
-    made = best.join(more, F.col(key) == F.col("more"), "left").withColumn("copies", copies).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    made = best.join(growing(more), F.col(key) == F.col("more"), "left").withColumn("copies", copies).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     other = F.get(F.col("near"), F.pmod(F.xxhash64(key, "copy"), F.size("near")).cast("int"))
     t = F.pmod(F.xxhash64("copy", key), F.lit(1000)) / 1000.0
     rows = made.select(F.lit(1).alias(label), *[(F.col(c) + t * (other[f"n_{c}"] - F.col(c))).alias(c) for c in columns], F.lit(True).alias("train"))

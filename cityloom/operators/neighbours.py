@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cityloom.sources.files import stored
+from cityloom.sources.files import growing, stored
 
 #: Different vectors of a cell, rows of the sample, vectors that ask in a cell at once, and in one task.
 CELL, SAMPLE, BLOCK, ASKING = 1024, 100_000, 256, 65_536
@@ -128,8 +128,8 @@ def _search(columns: list[str], need: int):
 def _asked(found: DataFrame, asking: DataFrame, columns: list[str], need: int, kind: str) -> DataFrame:
     """``vid, d, found``: asking (cell, key, columns, reach) answered from found (cell, key, columns); a cell where very many ask is dealt to several tasks."""
     salts = asking.groupBy("cell").agg(F.ceil(F.count("*") / ASKING).cast("int").alias("salts"))
-    targets = found.join(salts, "cell").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    asks = asking.join(salts, "cell").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts").cast("long")).cast("int"))
+    targets = found.join(growing(salts), "cell").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    asks = asking.join(growing(salts), "cell").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts").cast("long")).cast("int"))
     wanted = ["cell", "salt", "key", *columns]
     both = targets.select(*wanted, F.lit(0).alias("side"), F.lit(0.0).alias("reach")).unionByName(asks.select(*wanted, F.lit(1).alias("side"), "reach"))
     dealt = both.repartition("cell", "salt").sortWithinPartitions("cell", "salt", "side", "key")
